@@ -17,6 +17,15 @@ def d(x: float) -> str:
     return f"CAST('{float(x)!r}' AS DOUBLE)"
 
 
+def rnd(expr: str, digits: int) -> str:
+    """Spark's ``round``: HALF_UP on the shortest decimal text of the double.
+
+    (DuckDB's own ``round`` of a double works on the binary value, so the two
+    engines would disagree on decimal ties such as 2181.575.)
+    """
+    return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
+
+
 APN_SQL = r"NULLIF(upper(regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '[- ]', '', 'g')), '')"
 APN_RAW_SQL = r"upper(regexp_replace(regexp_replace({c}, '^\s+|\s+$', '', 'g'), '[- ]', '', 'g'))"
 
@@ -64,7 +73,7 @@ def triangulation_cte(method: str = "exact", a: Assumptions | None = None, name:
     med = "median(value_estimate)" if method == "exact" else "quantile_disc(value_estimate, 0.5)"
     sp = f"CASE WHEN med <> 0 THEN (mx - mn) / med ELSE {d(1.0)} END"
     return f"""{name} AS (
-  SELECT apn, round(med, 2) AS value_estimate, n_sources, round({sp}, 4) AS spread_pct,
+  SELECT apn, {rnd('med', 2)} AS value_estimate, n_sources, {rnd(f'{sp}', 4)} AS spread_pct,
     CASE WHEN n_sources IS NULL THEN NULL WHEN n_sources < 2 THEN 'low'
          WHEN {sp} <= {d(a.high_spread)} THEN 'high' WHEN {sp} <= {d(a.medium_spread)} THEN 'medium'
          ELSE 'low' END AS value_confidence
@@ -93,15 +102,15 @@ def screen_cte(a: Assumptions | None = None, tri: str = "tri", name: str = "scre
   FROM {name}_in
 ),
 {name} AS (
-  SELECT apn, listing_key, address, postal_code, property_type, round(v, 2) AS value, value_confidence,
-    round(rent, 2) AS est_monthly_rent, round(pit, 2) AS monthly_pitia,
-    round(CASE WHEN pit > 0 THEN rent / pit END, 3) AS dscr,
-    round(CASE WHEN v > 0 THEN loan / v END, 4) AS ltv,
-    round(v - list_price, 2) AS instant_equity,
-    round(v - (list_price + closing + {d(0.0)}), 2) AS equity_after_close,
+  SELECT apn, listing_key, address, postal_code, property_type, {rnd('v', 2)} AS value, value_confidence,
+    {rnd('rent', 2)} AS est_monthly_rent, {rnd('pit', 2)} AS monthly_pitia,
+    {rnd('CASE WHEN pit > 0 THEN rent / pit END', 3)} AS dscr,
+    {rnd('CASE WHEN v > 0 THEN loan / v END', 4)} AS ltv,
+    {rnd('v - list_price', 2)} AS instant_equity,
+    {rnd(f'v - (list_price + closing + {d(0.0)})', 2)} AS equity_after_close,
     has_hoa, coalesce(monthly_hoa, {d(0.0)}) AS monthly_hoa,
-    coalesce(round(CASE WHEN pit > 0 THEN rent / pit END, 3) >= {d(a.dscr_threshold)}, false)
-      AND coalesce(round(CASE WHEN v > 0 THEN loan / v END, 4) <= {d(float(a.ltv_target) + 0.001)}, false) AS passes
+    coalesce({rnd('CASE WHEN pit > 0 THEN rent / pit END', 3)} >= {d(a.dscr_threshold)}, false)
+      AND coalesce({rnd('CASE WHEN v > 0 THEN loan / v END', 4)} <= {d(float(a.ltv_target) + 0.001)}, false) AS passes
   FROM {name}_pit
 )"""
 
@@ -124,3 +133,56 @@ def gold_ctes(a: Assumptions | None = None, method: str = "exact") -> str:
 
 def with_base(*ctes: str) -> str:
     return "WITH " + ",\n".join((CTES,) + ctes)
+
+
+def latest_bronze_cte(name: str = "latest_bronze") -> str:
+    return f"""{name} AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY ListingKey ORDER BY ModificationTimestamp DESC NULLS LAST,
+      seq DESC NULLS LAST) AS rn
+    FROM fx_bronze WHERE ListingKey IS NOT NULL
+  ) x WHERE rn = 1
+)"""
+
+
+def ml_features_ctes(a: Assumptions | None = None, tri: str = "tri") -> str:
+    a = a or Assumptions()
+    return f"""{latest_bronze_cte()},
+ml_in AS (
+  SELECT {apn('ParcelNumber')} AS apn, ListingKey AS listing_key, UnparsedAddress AS address,
+    PostalCode AS postal_code, PropertyType AS property_type, ListPrice AS list_price, BedroomsTotal AS beds,
+    BathroomsTotal AS baths, LivingArea AS sqft, TaxAnnualAmount AS annual_property_tax,
+    coalesce(MonthlyHOAAmt, {d(0.0)}) AS monthly_hoa, coalesce(MonthlyHOAAmt, {d(0.0)}) > 0 AS has_hoa,
+    source, CAST(NULL AS VARCHAR) AS search_url, CAST(NULL AS DOUBLE) AS value_estimate
+  FROM latest_bronze
+),
+ml_calc AS (
+  SELECT m.*, t.value_confidence,
+    m.list_price * {d(a.ltv_target)} AS loan, m.list_price * {d(a.rent_to_price_monthly)} AS rent,
+    coalesce(m.value_estimate, m.list_price) AS v, m.list_price * {d(a.closing_pct)} AS closing
+  FROM ml_in m LEFT JOIN {tri} t ON m.apn = t.apn
+),
+ml_pi AS (SELECT *, {payment_sql('loan', a)} AS pi FROM ml_calc),
+ml_pit AS (
+  SELECT *, pi + annual_property_tax / {d(12.0)} + {d(a.annual_insurance / 12.0)} + coalesce(monthly_hoa, {d(0.0)}) AS pit
+  FROM ml_pi
+),
+ml_r AS (
+  SELECT *, {rnd('CASE WHEN pit > 0 THEN rent / pit END', 3)} AS dscr_r, {rnd('CASE WHEN v > 0 THEN loan / v END', 4)} AS ltv_r,
+    {rnd('v - list_price', 2)} AS ie_r
+  FROM ml_pit
+),
+ml AS (
+  SELECT beds, baths, sqft, list_price,
+    CASE WHEN sqft IS NOT NULL AND sqft > 0 THEN list_price / sqft END AS price_per_sqft,
+    annual_property_tax,
+    CASE WHEN list_price IS NOT NULL AND list_price > 0 THEN annual_property_tax / list_price END AS tax_rate,
+    monthly_hoa, has_hoa, property_type, postal_code,
+    {rnd('rent', 2)} AS est_monthly_rent, {rnd('pi', 2)} AS monthly_pi, {rnd('pit', 2)} AS monthly_pitia,
+    dscr_r AS dscr, ltv_r AS ltv, ie_r AS instant_equity,
+    {rnd(f'v - (list_price + closing + {d(0.0)})', 2)} AS equity_after_close,
+    coalesce(dscr_r >= {d(a.dscr_threshold)} AND ltv_r <= {d(a.max_ltv_for_target)} AND ie_r > 0, false)
+      AS heuristic_investment_grade,
+    apn, listing_key, address, source, search_url, value_estimate, value_confidence
+  FROM ml_r
+)"""
