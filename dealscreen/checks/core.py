@@ -135,3 +135,63 @@ register("investment_grade",
          + "\nSELECT listing_key, dscr, ltv, instant_equity, heuristic_investment_grade FROM ml")(
     lambda spark, sf: _ml(spark, sf).select("listing_key", "dscr", "ltv", "instant_equity",
                                             "heuristic_investment_grade"))
+
+# --------------------------------------------------------------------------- #
+# Ranking with and without a model, end-to-end pipeline
+# --------------------------------------------------------------------------- #
+
+
+def _rank_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    from dealscreen.config import scratch_path
+    from dealscreen.operators.rank import rank
+
+    # No model is saved at this path: the deterministic rank is written.
+    return rank(gold(spark, sf), model_path=scratch_path(spark, "no-model"),
+                target_path=scratch_path(spark, "gold_ranked"))
+
+
+register("rank_fallback", osql.gold_ctes() + "\nSELECT * FROM gold")(_rank_fallback)
+
+
+def train_rank_model(screen: DataFrame, path: str) -> str:
+    """Fit and save a small regression pipeline whose output is ``rank_score``
+    (negated predicted pass score: lower is better)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    prep = SQLTransformer(statement=(
+        "SELECT *, coalesce(dscr, 0D) AS f_dscr, coalesce(ltv, 1D) AS f_ltv, "
+        "coalesce(equity_after_close, 0D) / 100000D AS f_equity, CAST(passes AS DOUBLE) AS label FROM __THIS__"))
+    va = VectorAssembler(inputCols=["f_dscr", "f_ltv", "f_equity"], outputCol="features")
+    lr = LinearRegression(featuresCol="features", labelCol="label", predictionCol="model_score", maxIter=20)
+    post = SQLTransformer(statement="SELECT *, -model_score AS rank_score FROM __THIS__")
+    Pipeline(stages=[prep, va, lr, post]).fit(screen.drop("rank_score")).write().overwrite().save(path)
+    return path
+
+
+def _rank_with_model(spark: SparkSession, sf: str) -> DataFrame:
+    from dealscreen.config import scratch_path
+    from dealscreen.operators.rank import rank
+
+    g = gold(spark, sf)
+    path = train_rank_model(g, scratch_path(spark, "rank-model"))
+    return rank(g, model_path=path, target_path=scratch_path(spark, "gold_ranked_model"))
+
+
+register("rank_with_model")(_rank_with_model)
+
+
+def _pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import uuid
+
+    from dealscreen.config import Namespace, scratch_path
+    from dealscreen.plans.pipeline import run_pipeline
+
+    ns = Namespace(tenant=f"e2e_{uuid.uuid4().hex[:8]}")
+    b = bronze(spark, sf)
+    return run_pipeline(spark, b, [fixtures.estimate_feed(spark, sf, b)], ns=ns, a=Assumptions(),
+                        location_root=scratch_path(spark, "warehouse"))
+
+
+register("pipeline_end_to_end", osql.gold_ctes() + "\nSELECT * FROM gold")(_pipeline)
