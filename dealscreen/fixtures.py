@@ -10,6 +10,7 @@ The expressions are plain SQL that Spark and DuckDB evaluate identically;
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The adapter expressions over `orders` / `lineitem`.
 BRONZE_EXPRS = [
@@ -86,3 +87,119 @@ def estimate_feed(spark: SparkSession, sf_dir: str, bronze: DataFrame | None = N
         .alias("l")
     )
     return b.join(li, b["seq"] == li["l_orderkey"]).selectExpr(*ESTIMATE_EXPRS)
+
+
+# --------------------------------------------------------------------------- #
+# Saved pages built from the listing versions (for the page / portal readers)
+# --------------------------------------------------------------------------- #
+# Rows per page and the page-number rules of the generated pages.
+ROWS_PER_PAGE = 20
+ROWS_PER_ENVELOPE = 1000
+PAGE_EXPR = f"CAST(floor(seq / {ROWS_PER_PAGE}) AS BIGINT)"
+BLOCKED_TITLE_RULE = "page % 9 = 5"        # title reads like a captcha interstitial
+CARD_ONLY_RULE = "page % 11 = 7"           # layout a: no JSON island, home cards only
+CAPTCHA_ELEMENT_RULE = "page % 13 = 3"     # layout b: a #captcha element on the page
+
+_RECORD_EXPRS = {
+    "a": """to_variant_object(named_struct(
+        'id', CASE WHEN seq % 2 = 0 THEN ListingKey END,
+        'listingId', CASE WHEN seq % 2 = 1 THEN ListingKey END,
+        'price', CASE WHEN seq % 7 <> 0 THEN ListPrice END,
+        'listPrice', CASE WHEN seq % 7 = 0 THEN ListPrice END,
+        'address', CASE WHEN seq % 3 = 0 THEN to_variant_object(named_struct('streetAddress', UnparsedAddress))
+                        ELSE CAST(UnparsedAddress AS VARIANT) END,
+        'zipCode', CASE WHEN seq % 2 = 0 THEN PostalCode END,
+        'zip', CASE WHEN seq % 2 = 1 THEN PostalCode END,
+        'beds', BedroomsTotal, 'baths', BathroomsTotal, 'sqft', LivingArea,
+        'url', concat('/home/', ListingKey)))""",
+    "b": """to_variant_object(named_struct(
+        'zpid', CASE WHEN seq % 2 = 0 THEN ListingKey END,
+        'id', CASE WHEN seq % 2 = 1 THEN ListingKey END,
+        'price', CASE WHEN seq % 5 <> 0 THEN concat('$', format_number(ListPrice, 0)) END,
+        'listPrice', CASE WHEN seq % 5 = 0 THEN concat('$', format_number(ListPrice, 0)) END,
+        'address', CASE WHEN seq % 2 = 0 THEN UnparsedAddress END,
+        'addressStreet', CASE WHEN seq % 2 = 1 THEN UnparsedAddress END,
+        'zipcode', CASE WHEN seq % 3 = 0 THEN PostalCode END,
+        'zip', CASE WHEN seq % 3 <> 0 THEN PostalCode END,
+        'beds', CASE WHEN seq % 4 <> 0 THEN BedroomsTotal END,
+        'bedrooms', CASE WHEN seq % 4 = 0 THEN BedroomsTotal END,
+        'baths', BathroomsTotal,
+        'area', concat(format_number(LivingArea, 0), ' sqft'),
+        'detailUrl', concat('/homedetails/', ListingKey)))""",
+    "c": """to_variant_object(named_struct(
+        'id', CASE WHEN seq % 2 = 0 THEN ListingKey END,
+        'listingId', CASE WHEN seq % 2 = 1 THEN ListingKey END,
+        'price', ListPrice,
+        'address', CASE WHEN seq % 3 = 1 THEN to_variant_object(named_struct('streetAddress', UnparsedAddress))
+                        ELSE CAST(UnparsedAddress AS VARIANT) END,
+        'zip', CASE WHEN seq % 2 = 1 THEN PostalCode END,
+        'postalCode', CASE WHEN seq % 2 = 0 THEN PostalCode END,
+        'bedrooms', BedroomsTotal, 'baths', BathroomsTotal,
+        'livingArea', LivingArea, 'url', concat('/listing/', ListingKey)))""",
+}
+
+_PROPS_EXPRS = {
+    "a": """CASE
+        WHEN page % 4 = 0 THEN to_variant_object(named_struct('searchResults', recs))
+        WHEN page % 4 = 1 THEN to_variant_object(named_struct('searchResults', CAST(array() AS ARRAY<VARIANT>), 'listings', recs))
+        WHEN page % 4 = 2 THEN to_variant_object(named_struct('homes', recs))
+        ELSE to_variant_object(named_struct('searchResults', to_json(recs))) END""",
+    "b": """CASE
+        WHEN page % 2 = 0 THEN to_variant_object(named_struct('searchPageState',
+             named_struct('cat1', named_struct('searchResults', recs))))
+        ELSE to_variant_object(named_struct('searchPageState', named_struct('cat1', named_struct('searchResults', CAST(array() AS ARRAY<VARIANT>))),
+             'initialSearchState', named_struct('listings', recs))) END""",
+    "c": """CASE WHEN page % 2 = 0 THEN to_variant_object(named_struct('listings', recs))
+        ELSE to_variant_object(named_struct('searchResults', recs)) END""",
+}
+
+
+def portal_pages(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
+    """One saved results page per ``ROWS_PER_PAGE`` listing versions, in the
+    given portal layout (JSON island, blocked titles, card-only pages).
+
+    Pages group rows by ``seq``, a unique key, so a page never holds more
+    than ``ROWS_PER_PAGE`` records however large the table is.
+    """
+    b = bronze_listings(spark, sf_dir).selectExpr("*", f"{PAGE_EXPR} AS page")
+    pages = b.groupBy("page").agg(
+        F.expr(f"collect_list({_RECORD_EXPRS[layout]})").alias("recs"),
+        F.expr("collect_list(concat('<div class=\"card\" data-rf-test-id=\"homecard\" id=\"', ListingKey, '\"></div>'))")
+        .alias("cards"),
+    )
+    title = f"CASE WHEN {BLOCKED_TITLE_RULE} THEN 'Captcha check' ELSE concat('Homes for sale, page ', CAST(page AS STRING)) END"
+    island = ("concat('<script id=\"__NEXT_DATA__\" type=\"application/json\">', "
+              f"to_json(to_variant_object(named_struct('props', named_struct('pageProps', {_PROPS_EXPRS[layout]})))), "
+              "'</script>')")
+    body = f"CASE WHEN {CARD_ONLY_RULE} THEN array_join(cards, '') ELSE {island} END" if layout == "a" else island
+    captcha = f"CASE WHEN {CAPTCHA_ELEMENT_RULE} THEN '<div id=\"captcha\"></div>' ELSE '' END" if layout == "b" else "''"
+    return pages.selectExpr(
+        "page AS page_id",
+        f"concat('<html><head><title>', {title}, '</title></head><body>', {captcha}, {body}, '</body></html>') AS html",
+    )
+
+
+def island_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose data sits in one of two island patterns, some broken."""
+    b = bronze_listings(spark, sf_dir).selectExpr("*", f"{PAGE_EXPR} AS page")
+    pages = b.groupBy("page").agg(
+        F.expr("collect_list(named_struct('id', ListingKey, 'price', ListPrice))").alias("recs"))
+    good = "to_json(named_struct('props', named_struct('pageProps', named_struct('searchResults', recs))))"
+    broken = "'<script id=\"__NEXT_DATA__\" type=\"application/json\">{\"props\": </script>'"
+    nd = f"concat('<script id=\"__NEXT_DATA__\" type=\"application/json\">', {good}, '</script>')"
+    state = f"concat('<script>window.__PRELOADED_STATE__ = ', {good}, ';</script>')"
+    body = (f"CASE page % 4 WHEN 0 THEN {nd} WHEN 1 THEN concat({broken}, {state}) "
+            f"WHEN 2 THEN concat('<script>var x = 1;</script>', {nd}) ELSE {broken} END")
+    return pages.selectExpr("page AS page_id", f"concat('<html><body>', {body}, '</body></html>') AS html")
+
+
+def envelope_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paged result envelopes (``value`` array + next link), one text row per page."""
+    b = bronze_listings(spark, sf_dir).selectExpr("*", f"CAST(floor(seq / {ROWS_PER_ENVELOPE}) AS BIGINT) AS page")
+    pages = b.groupBy("page").agg(F.expr(
+        "collect_list(named_struct('ListingKey', ListingKey, 'ListPrice', ListPrice, "
+        "'ModificationTimestamp', ModificationTimestamp, 'seq', seq))").alias("recs"))
+    return pages.selectExpr(
+        "page",
+        "to_json(named_struct('value', CASE WHEN page % 5 <> 4 THEN recs END, "
+        f"'@odata.nextLink', concat('Property?$top={ROWS_PER_ENVELOPE}&$skip=', CAST((page + 1) * {ROWS_PER_ENVELOPE} AS STRING)))) AS body")

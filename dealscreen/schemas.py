@@ -25,7 +25,7 @@ BRONZE_FIELDS = [
     ("PropertyType", S), ("ListPrice", D), ("TaxAnnualAmount", D), ("MonthlyHOAAmt", D),
     ("BedroomsTotal", I), ("BathroomsTotal", D), ("LivingArea", D), ("City", S), ("State", S),
     ("source", S), ("search_url", S), ("value_estimate", D), ("estimate_source", S),
-    ("ModificationTimestamp", T.TimestampType()), ("seq", L),
+    ("ModificationTimestamp", T.TimestampNTZType()), ("seq", L),
 ]
 BRONZE_SCHEMA = _struct(*BRONZE_FIELDS)
 CORRUPT_COL = "_corrupt_record"
