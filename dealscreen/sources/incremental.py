@@ -39,7 +39,7 @@ def read_watermark(spark: SparkSession, state_path: str):
     """The stored high-water mark, or None when unset (missing or blank)."""
     if not _exists(spark, state_path):
         return None
-    wm = F.try_cast(F.nullif(F.trim(F.col("watermark").cast("string")), F.lit("")), "timestamp_ntz")
+    wm = F.nullif(F.trim(F.col("watermark").cast("string")), F.lit("")).try_cast("timestamp_ntz")
     return spark.read.parquet(state_path).agg(F.max(wm).alias("w")).first()["w"]
 
 
