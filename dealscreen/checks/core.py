@@ -9,7 +9,8 @@ from dealscreen import oracle_sql as osql
 from dealscreen.checks import register
 from dealscreen.config import Assumptions
 from dealscreen.operators import serve
-from dealscreen.operators.rank import rank_deals
+from dealscreen.operators.rank import rank_deals, top_k_deals
+from dealscreen.schemas import GOLD_DEAL_SCREEN_COLS
 from dealscreen.operators.screen import deal_screen, join_values
 from dealscreen.operators.triangulate import value_triangulation
 from dealscreen.plans.gold import gold_deal_screen
@@ -93,6 +94,11 @@ register("rank_distributed", osql.gold_ctes() + "\nSELECT listing_key, rank_scor
 register("top_deals", osql.gold_ctes() + "\nSELECT * FROM gold ORDER BY rank_score LIMIT 50")(
     lambda spark, sf: serve.top_deals(gold(spark, sf)))
 
+register("top_deals_direct", osql.gold_ctes() + "\nSELECT * FROM gold ORDER BY rank_score LIMIT 50")(
+    lambda spark, sf: top_k_deals(
+        deal_screen(listings(spark, sf), value_triangulation(estimates(spark, sf))), 50
+    ).select(*GOLD_DEAL_SCREEN_COLS))
+
 register("top_deals_filtered",
          osql.gold_ctes() + f"\nSELECT * FROM gold WHERE passes = TRUE AND dscr >= {osql.d(1.3)} "
                             "ORDER BY rank_score LIMIT 50")(

@@ -38,29 +38,38 @@ def kind(v) -> Column:
 
 
 def truthy(v) -> Column:
-    """Python truthiness of a JSON value: non-empty list / object / string, non-zero number, true."""
+    """Python truthiness of a JSON value: non-empty list / object / string, non-zero number, true.
+
+    A non-empty list is recognised from its first element, so the common case
+    never walks the whole value; the kind is only computed otherwise.
+    """
     c = _col(v)
     k = kind(c)
     return F.coalesce(
-        F.when(k == "ARRAY", F.size(get(c, "$", "array<variant>")) > 0)
+        F.when(get(c, "$[0]").isNotNull(), F.lit(True))
+        .when(k == "ARRAY", F.lit(False))
         .when(k == "OBJECT", F.size(get(c, "$", "map<string,variant>")) > 0)
         .when(k == "STRING", F.length(get(c, "$", "string")) > 0)
         .when(k == "BOOLEAN", get(c, "$", "boolean"))
-        .when(k.isin("VOID"), F.lit(False))
+        .when(k == "VOID", F.lit(False))
         .otherwise(get(c, "$", "double") != 0),
         F.lit(False),
     )
 
 
-def first_truthy(v, paths: Sequence[str]) -> Column:
-    """``a or b or c``: the first truthy value among the paths (else null)."""
+def first_truthy_of(cols: Sequence[Column]) -> Column:
+    """``a or b or c`` over already-extracted values (else null)."""
     out = None
-    for p in reversed(paths):
-        x = get(v, p)
+    for x in reversed(list(cols)):
         out = F.when(truthy(x), x) if out is None else F.when(truthy(x), x).otherwise(out)
     return out
 
 
+def first_truthy(v, paths: Sequence[str]) -> Column:
+    """``a or b or c``: the first truthy value among the paths (else null)."""
+    return first_truthy_of([get(v, p) for p in paths])
+
+
 def as_list(v, parse_strings: bool = False) -> Column:
     """The value as ``array<variant>``; a JSON string holding a list is parsed
     when ``parse_strings``; anything else is an empty list."""

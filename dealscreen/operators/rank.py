@@ -38,6 +38,26 @@ def deal_order() -> list[Column]:
 
 
 _ID_BITS = 33  # monotonically_increasing_id(): partition id << 33 | row index
+_MAX_RANGES = 100_000
+
+
+def range_partitions(df: DataFrame) -> int:
+    """Number of ranges for a global sort of ``df``.
+
+    At least ``spark.sql.shuffle.partitions``; more when the optimizer's size
+    estimate divided by the advisory partition size asks for it, so ranges stay
+    near the advisory size (and in executor memory) as the data grows.
+    """
+    spark = df.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    advisory = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+    try:
+        adv = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(advisory))
+        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        size = int(raw if isinstance(raw, int) else raw.toString())
+    except Exception:  # statistics unavailable: keep the configured count
+        return base
+    return int(max(base, min(_MAX_RANGES, -(-size // max(adv, 1)))))
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank_score",
@@ -48,7 +68,7 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank_
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = int(num_partitions or spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(num_partitions or range_partitions(df))
     ranged = (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
@@ -72,6 +92,16 @@ def rank_deals(screen: DataFrame, num_partitions: int | None = None) -> DataFram
     return global_row_number(screen, deal_order(), "rank_score", num_partitions)
 
 
+def top_k_deals(screen: DataFrame, k: int = 50) -> DataFrame:
+    """The k best deals with their rank, without ranking the whole table.
+
+    ``orderBy().limit(k)`` keeps k rows per task (TakeOrderedAndProject); only
+    those k rows are then numbered, so the gather is bounded by k.
+    """
+    top = screen.orderBy(*deal_order()).limit(int(k))
+    return top.withColumn("rank_score", F.row_number().over(Window.orderBy(*deal_order())).cast("bigint"))
+
+
 def load_model(path: str | None):
     """A saved ``pyspark.ml`` PipelineModel, or None when there is none.
 

@@ -139,14 +139,23 @@ def _record_c(h: Column, source: str, c: SearchCriteria) -> Column:
     )
 
 
-def _results(props: Column, layout: str) -> Column:
+# Result-list candidates per layout, in order of preference.
+_CANDIDATES = {
+    "a": ["$.searchResults", "$.listings", "$.homes"],
+    "b": ["$.searchPageState.cat1.searchResults", "$.initialSearchState.listings"],
+    "c": ["$.listings", "$.searchResults"],
+}
+
+
+def _results(cands: list[Column], layout: str) -> Column:
+    """a: first non-empty candidate, a JSON string holding a list is parsed;
+    b: first non-empty candidate; c: first present candidate."""
     if layout == "a":
-        return js.as_list(js.first_truthy(props, ["$.searchResults", "$.listings", "$.homes"]), parse_strings=True)
+        return js.as_list(js.first_truthy_of(cands), parse_strings=True)
     if layout == "b":
-        return js.as_list(js.first_truthy(props, ["$.searchPageState.cat1.searchResults",
-                                                  "$.initialSearchState.listings"]))
+        return js.as_list(js.first_truthy_of(cands))
     if layout == "c":
-        return js.as_list(js.first(props, ["$.listings", "$.searchResults"], "variant"))
+        return js.as_list(F.coalesce(*cands))
     raise ValueError(f"unknown layout {layout!r}")
 
 
@@ -159,19 +168,31 @@ def map_portal_records(pages: DataFrame, layout: str, source: str | None = None,
     """Saved pages of one layout -> portal records (lower-case fields).
 
     Layout "a" falls back to one key-only record per home-card element on
-    pages whose JSON gave no records.
+    pages whose JSON gave no records. The page is parsed once: each stage is
+    its own projection, so the island and result list are not re-evaluated
+    per field.
     """
     c = criteria or SearchCriteria()
     src = source or f"portal_{layout}"
     keep = [x for x in pages.columns if x != html_col]
     ok = filter_blocked_pages(pages, layout, html_col)
-    props = js.get(extract_json_island(F.col(html_col), patterns), "$.props.pageProps")
-    results = _results(props, layout)
-    recs = F.transform(results, lambda h: _RECORD[layout](h, src, c))
-    if card_fallback if card_fallback is not None else layout == "a":
-        cards = F.transform(homecard_ids(F.col(html_col)), lambda i: _record(src, c, listing_key=i))
-        recs = F.when(F.size(recs) > 0, recs).otherwise(cards)
-    return ok.select(*keep, F.inline(recs))
+    use_cards = card_fallback if card_fallback is not None else layout == "a"
+    if layout not in _CANDIDATES:
+        raise ValueError(f"unknown layout {layout!r}")
+    parsed = ok.select(
+        *keep,
+        js.get(extract_json_island(F.col(html_col), patterns), "$.props.pageProps").alias("_props"),
+        (homecard_ids(F.col(html_col)) if use_cards else F.array().cast("array<string>")).alias("_cards"),
+    )
+    cands = parsed.select(*keep, "_cards", *[js.get("_props", p).alias(f"_c{i}")
+                                             for i, p in enumerate(_CANDIDATES[layout])])
+    n = len(_CANDIDATES[layout])
+    listed = cands.select(*keep, _results([F.col(f"_c{i}") for i in range(n)], layout).alias("_results"), "_cards")
+    recs = F.transform(F.col("_results"), lambda h: _RECORD[layout](h, src, c))
+    if use_cards:
+        cards = F.transform(F.col("_cards"), lambda i: _record(src, c, listing_key=i))
+        recs = F.when(F.size(F.col("_results")) > 0, recs).otherwise(cards)
+    return listed.select(*keep, F.inline(recs))
 
 
 def map_portal_cards(pages: DataFrame, source: str = "portal_a", criteria: SearchCriteria | None = None,
