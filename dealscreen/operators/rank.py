@@ -38,27 +38,6 @@ def deal_order() -> list[Column]:
 
 
 _ID_BITS = 33  # monotonically_increasing_id(): partition id << 33 | row index
-_MAX_RANGES = 100_000
-
-
-def range_partitions(df: DataFrame) -> int:
-    """Number of ranges for a global sort of ``df``.
-
-    At least ``spark.sql.shuffle.partitions``; more when the optimizer's size
-    estimate divided by the advisory partition size asks for it, so ranges stay
-    near the advisory size (and in executor memory) as the data grows.
-    """
-    spark = df.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    advisory = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
-    try:
-        adv = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(advisory))
-        raw = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        size = int(raw if isinstance(raw, int) else raw.toString())
-    except Exception:  # statistics unavailable: keep the configured count
-        return base
-    return int(max(base, min(_MAX_RANGES, -(-size // max(adv, 1)))))
-
 
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank_score",
                       num_partitions: int | None = None) -> DataFrame:
@@ -68,10 +47,12 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank_
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = int(num_partitions or range_partitions(df))
+    # Without an explicit count, the exchange starts from the session's
+    # partition count and AQE merges adjacent ranges up to the advisory size,
+    # so ranges stay contiguous (order is kept) and sized for executor memory.
+    ranged = df.repartitionByRange(int(num_partitions), *order) if num_partitions else df.repartitionByRange(*order)
     ranged = (
-        df.repartitionByRange(n, *order)
-        .sortWithinPartitions(*order)
+        ranged.sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_rid", F.monotonically_increasing_id())
     )

@@ -17,6 +17,8 @@ from dealscreen.operators.rank import rank
 from dealscreen.plans.gold import gold_deal_screen, gold_value_triangulation
 from dealscreen.plans.ml_features import ml_features
 from dealscreen.plans.silver import silver_listings, silver_value_estimates
+from dealscreen.schemas import (GOLD_DEAL_SCREEN_COLS, GOLD_TRIANGULATION_COLS, ML_ALL_COLS, SILVER_LISTINGS_COLS,
+                                SILVER_VALUE_ESTIMATES_COLS, assert_schema)
 
 
 @dataclass(frozen=True)
@@ -51,9 +53,11 @@ def run_pipeline(spark: SparkSession, bronze: DataFrame, estimate_feeds: Sequenc
     t = PipelineTables.licensed(ns)
 
     b = _overwrite(bronze, t.bronze)
-    listings = _overwrite(silver_listings(b), t.silver_listings)
-    estimates = _overwrite(silver_value_estimates(list(estimate_feeds)), t.silver_value_estimates)
-    values = _overwrite(gold_value_triangulation(estimates, method, a), t.gold_value_triangulation)
-    _overwrite(ml_features(b, values, a), t.silver_ml_features)
-    screen = _overwrite(gold_deal_screen(listings, values, a), t.gold_deal_screen)
+    listings = _overwrite(assert_schema(silver_listings(b), SILVER_LISTINGS_COLS), t.silver_listings)
+    estimates = _overwrite(assert_schema(silver_value_estimates(list(estimate_feeds)), SILVER_VALUE_ESTIMATES_COLS),
+                           t.silver_value_estimates)
+    values = _overwrite(assert_schema(gold_value_triangulation(estimates, method, a), GOLD_TRIANGULATION_COLS),
+                        t.gold_value_triangulation)
+    _overwrite(assert_schema(ml_features(b, values, a), ML_ALL_COLS), t.silver_ml_features)
+    screen = _overwrite(assert_schema(gold_deal_screen(listings, values, a), GOLD_DEAL_SCREEN_COLS), t.gold_deal_screen)
     return rank(screen, model_path=model_path, target=t.gold_ranked)

@@ -88,3 +88,9 @@ def write_landing(df: DataFrame, landing: str, prefix: str = "listings", label:
     path = batch_dir(landing, prefix, label)
     df.write.mode("append").option("ignoreNullFields", "false").json(path)
     return spark.read.text(path).agg(F.count(F.lit(1)).alias("n_records"))
+
+
+def write_portal_batch(df: DataFrame, landing: str, dry_run: bool = False) -> DataFrame:
+    """Portal search results as one ``public_search_<yyyyMMddTHHmmss>`` batch."""
+    label = datetime.now(timezone.utc).strftime("%Y%m%dT%H%M%S")
+    return write_landing(df, landing, "public_search", label, dry_run)

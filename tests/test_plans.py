@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from dealscreen.checks import core
 from dealscreen.operators import serve
-from dealscreen.operators.rank import range_partitions
 from dealscreen.sources import incremental as inc
 
 
@@ -42,13 +41,3 @@ def test_pull_predicate_reaches_the_scan(spark, sf_dir, tmp_path):
     p = plan(q)
     assert "GreaterThan(ModificationTimestamp" in p
     assert "ReadSchema: struct<ListingKey:string,ListPrice:double,ModificationTimestamp:timestamp_ntz>" in p
-
-
-def test_range_partitions_grow_with_size(spark):
-    small = spark.range(10)
-    assert range_partitions(small) == int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
-    try:
-        assert range_partitions(spark.range(100000).select(F.col("id"), F.lit("x" * 50).alias("pad"))) > 8
-    finally:
-        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")

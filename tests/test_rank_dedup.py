@@ -70,3 +70,15 @@ def test_missing_model_falls_back(spark, tmp_path):
     df = screen_rows(spark, [("L1", True, 1.0), ("L2", False, 2.0)])
     out = {r.listing_key: r.rank_score for r in rank(df, model_path=str(tmp_path / "absent")).collect()}
     assert out == {"L1": 1, "L2": 2}
+
+
+def test_rank_with_adaptive_ranges(spark):
+    rows = [(f"L{i:05d}", i % 4 == 0, float((i * 7919) % 1000)) for i in range(3000)]
+    df = screen_rows(spark, rows)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    try:
+        ours = {r.listing_key: r.rank_score for r in rank_deals(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    ref = df.withColumn("rank_score", F.row_number().over(Window.orderBy(*deal_order())))
+    assert ours == {r.listing_key: r.rank_score for r in ref.collect()}
