@@ -15,23 +15,26 @@ from dealscreen.config import Assumptions
 from dealscreen.functions import deal_math as dm
 
 
+# A parcel-less listing joins on a key no parcel can have (parcel keys never
+# contain NUL), made unique by its listing key.
+_NO_PARCEL = "\u0000"
+
+
 def join_values(listings: DataFrame, values: DataFrame,
                 columns: tuple[str, ...] = ("value_estimate", "value_confidence")) -> DataFrame:
     """Left join listings to one triangulated value row per parcel.
 
-    Listings without a parcel number can never match; they bypass the join
-    instead of all hashing to one reducer, and come back with null values.
-    A hot parcel on the listing side is split by AQE's skew-join handling
-    (the value side holds one row per parcel); AQE also turns the join into
-    a broadcast when the value side is measured small at run time.
+    Listings without a parcel number can never match; instead of all hashing
+    to one reducer under a null key, each gets its own never-matching key, so
+    they spread over the cluster in the same single pass. A hot parcel on the
+    listing side is split by AQE's skew-join handling (the value side holds one
+    row per parcel); AQE also turns the join into a broadcast when the value
+    side is measured small at run time.
     """
-    vals = values.select("apn", *columns)
-    keyed = listings.filter(F.col("apn").isNotNull()).join(vals, "apn", "left")
-    types = dict(vals.dtypes)
-    unkeyed = listings.filter(F.col("apn").isNull()).select(
-        "*", *[F.lit(None).cast(types[c]).alias(c) for c in columns]
-    )
-    return keyed.unionByName(unkeyed)
+    vals = values.select(F.col("apn").alias("_vk"), *columns)
+    key = F.coalesce(F.col("apn"), F.concat(F.lit(_NO_PARCEL), F.col("listing_key")))
+    left = listings.withColumn("_jk", key)
+    return left.join(vals, left["_jk"] == vals["_vk"], "left").drop("_jk", "_vk")
 
 
 def screen_columns(df: DataFrame, a: Assumptions) -> DataFrame:
