@@ -82,3 +82,13 @@ def test_rank_with_adaptive_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     ref = df.withColumn("rank_score", F.row_number().over(Window.orderBy(*deal_order())))
     assert ours == {r.listing_key: r.rank_score for r in ref.collect()}
+
+
+def test_rank_pin_modes_agree(spark):
+    rows = [(f"L{i:04d}", i % 3 == 0, None if i % 7 == 0 else float((i * 37) % 50)) for i in range(400)]
+    df = screen_rows(spark, rows)
+    a = {r.listing_key: r.rank_score for r in global_row_number(df, deal_order(), pin="parquet",
+                                                                num_partitions=5).collect()}
+    b = {r.listing_key: r.rank_score for r in global_row_number(df, deal_order(), pin="checkpoint",
+                                                                num_partitions=3).collect()}
+    assert a == b and sorted(a.values()) == list(range(1, 401))
