@@ -154,3 +154,23 @@ def _quarantine(spark: SparkSession, sf: str) -> DataFrame:
 register("bronze_quarantine", osql.with_base() + """
 SELECT count(*) FILTER (WHERE seq % 101 = 0) AS n_corrupt, count(*) FILTER (WHERE seq % 101 <> 0) AS n_good
 FROM fx_bronze""")(_quarantine)
+
+
+def _landing_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import uuid
+
+    from dealscreen.config import Namespace
+    from dealscreen.plans.pipeline import run_from_landing
+
+    root = scratch_path(spark, "scheduled")
+    landing = f"{root}/landing"
+    b = conform(bronze(spark, sf), BRONZE_SCHEMA)
+    for i, cond in enumerate(STREAM_SLICES):
+        files.write_landing(b.filter(cond), landing, "listings", label=f"s{i}")
+    feeds = [fx.estimate_feed(spark, sf)]
+    return run_from_landing(spark, landing, feeds, f"{root}/_checkpoint", f"{root}/bronze",
+                            ns=Namespace(tenant=f"sched_{uuid.uuid4().hex[:8]}"),
+                            location_root=f"{root}/warehouse")
+
+
+register("landing_pipeline", osql.gold_ctes() + "\nSELECT * FROM gold")(_landing_pipeline)

@@ -61,3 +61,15 @@ def run_pipeline(spark: SparkSession, bronze: DataFrame, estimate_feeds: Sequenc
     _overwrite(assert_schema(ml_features(b, values, a), ML_ALL_COLS), t.silver_ml_features)
     screen = _overwrite(assert_schema(gold_deal_screen(listings, values, a), GOLD_DEAL_SCREEN_COLS), t.gold_deal_screen)
     return rank(screen, model_path=model_path, target=t.gold_ranked)
+
+
+def run_from_landing(spark: SparkSession, landing: str, estimate_feeds: Sequence[DataFrame], checkpoint: str,
+                     bronze_path: str, **kw) -> DataFrame:
+    """Scheduled run: drain new landing files into bronze (stream, exactly once
+    per file), then recompute every batch layer from the whole bronze table."""
+    from dealscreen.sources.files import good_rows
+    from dealscreen.streaming.bronze import run_bronze
+
+    run_bronze(spark, landing, checkpoint, target_path=bronze_path)
+    bronze = good_rows(spark.read.parquet(bronze_path))
+    return run_pipeline(spark, bronze, estimate_feeds, **kw)
