@@ -33,3 +33,32 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="dealscreen-ckpt-"))
     return spark
+
+
+def cluster_conf(input_bytes: int, executor_cores: int = 4, executor_memory_gb: int = 16) -> dict[str, str]:
+    """Suggested SQL settings for a cluster run over ``input_bytes`` of input.
+
+    Shuffles start with enough partitions for ~256 MiB each at the input size
+    (AQE then merges small ones and splits skewed join partitions); scan
+    splits are 256 MiB; broadcast is left to AQE's runtime size check with a
+    bounded threshold. These are settings a job submitter passes; the library
+    never sets them itself.
+    """
+    target = 256 * 1024 * 1024
+    parts = max(200, min(100_000, -(-int(input_bytes) // target)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.executor.cores": str(executor_cores),
+        "spark.executor.memory": f"{executor_memory_gb}g",
+    }
