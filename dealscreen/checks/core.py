@@ -201,3 +201,38 @@ def _pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 
 register("pipeline_end_to_end", osql.gold_ctes() + "\nSELECT * FROM gold")(_pipeline)
+
+
+def _save_rule_model(screen: DataFrame, path: str, statement: str) -> str:
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer
+
+    Pipeline(stages=[SQLTransformer(statement=statement)]).fit(screen).write().overwrite().save(path)
+    return path
+
+
+def _rank_rule_model(spark: SparkSession, sf: str) -> DataFrame:
+    from dealscreen.config import scratch_path
+    from dealscreen.operators.rank import rank
+
+    g = gold(spark, sf)
+    path = _save_rule_model(g.drop("rank_score"), scratch_path(spark, "rule-model"),
+                            "SELECT *, -coalesce(equity_after_close, 0D) AS rank_score FROM __THIS__")
+    return rank(g, model_path=path)
+
+
+register("rank_with_rule_model", osql.gold_ctes() + f"""
+SELECT {osql.GOLD_COLS}, -coalesce(equity_after_close, {osql.d(0.0)}) AS rank_score FROM gold""")(_rank_rule_model)
+
+
+def _rank_model_without_score(spark: SparkSession, sf: str) -> DataFrame:
+    from dealscreen.config import scratch_path
+    from dealscreen.operators.rank import rank
+
+    g = gold(spark, sf)
+    path = _save_rule_model(g.drop("rank_score"), scratch_path(spark, "scoreless-model"),
+                            "SELECT *, 1 AS unrelated FROM __THIS__")
+    return rank(g, model_path=path)
+
+
+register("rank_model_without_score", osql.gold_ctes() + "\nSELECT * FROM gold")(_rank_model_without_score)
