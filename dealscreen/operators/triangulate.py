@@ -52,3 +52,6 @@ def value_triangulation(estimates: DataFrame, method: str = "exact", a: Assumpti
         F.round(s, RATIO_DIGITS).alias("spread_pct"),
         confidence_band("n_sources", s, a.high_spread, a.medium_spread).alias("value_confidence"),
     )
+
+
+triangulate = value_triangulation
