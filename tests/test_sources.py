@@ -127,3 +127,18 @@ def test_corrupt_lines_quarantined(spark, tmp_path):
     (p / "part.json").write_text('{"ListingKey": "L1"}\n{"ListingKey": \n')
     df = files.read_bronze(spark, str(tmp_path / "landing")).cache()
     assert files.good_rows(df).count() == 1 and files.quarantine(df).count() == 1
+
+
+def test_search_orchestrator(spark, tmp_path):
+    a = ISLAND.format('{"props":{"pageProps":{"homes":[{"id":"1","price":100},{"id":"2","price":0}]}}}')
+    b = ISLAND.format('{"props":{"pageProps":{"searchPageState":{"cat1":{"searchResults":[{"zpid":"9"}]}}}}}')
+    out = pt.search(spark, {"portal_a": page(spark, a), "portal_b": page(spark, b)},
+                    requested=["portal_a", "portal_b", "portal_c", "nope"])
+    rows = {r.ListingKey: r for r in out.collect()}
+    assert set(rows) == {"portal_a_1", "portal_a_2", "portal_b_9", "portal_c_portal_c_search_url"}
+    assert rows["portal_a_2"].ListPrice is None
+    assert rows["portal_c_portal_c_search_url"].search_url.endswith("/3b-2b/for-sale/")
+    n = files.write_portal_batch(out, str(tmp_path / "landing")).first().n_records
+    assert n == 4
+    (batch,) = os.listdir(tmp_path / "landing")
+    assert batch.startswith("public_search_") and "T" in batch.split("_")[2]
