@@ -98,12 +98,13 @@ def _portal(layout: str):
 for _lay in ("a", "b", "c"):
     register(f"portal_map_{_lay}", PAGED + "\n" + _EXPECTED[_lay])(_portal(_lay))
 
+# Home-card records over every page: only the pages without a JSON island
+# carry home cards, and blocked pages give nothing.
 register("portal_card_fallback", PAGED + f"""
 SELECT page AS page_id, 'portal_a_' || ListingKey AS ListingKey, '' AS UnparsedAddress
 FROM p WHERE {fx.CARD_ONLY_RULE} AND NOT ({fx.BLOCKED_TITLE_RULE})""")(
-    lambda spark, sf: pt.map_portal(
-        fx.portal_pages(spark, sf, "a").filter(F.expr(fx.CARD_ONLY_RULE.replace("page", "page_id"))), "a"
-    ).select("page_id", "ListingKey", "UnparsedAddress"))
+    lambda spark, sf: pt.to_bronze(pt.map_portal_cards(fx.portal_pages(spark, sf, "a")), keep=["page_id"])
+    .select("page_id", "ListingKey", "UnparsedAddress"))
 
 # Search URLs for criteria taken from every listing version.
 _CRIT_SQL = """SELECT seq, 'Town' || substr(PostalCode, 1, 3) AS city, 'TX' AS state, BedroomsTotal AS beds,
