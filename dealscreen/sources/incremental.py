@@ -52,10 +52,11 @@ def pull_filter(source: DataFrame, since=None, select: Sequence[str] | None = No
                 ts_col: str = TS_COL) -> DataFrame:
     """Source-side projection and predicate: ``select`` columns, rows newer than ``since``."""
     df = source
+    has_ts = ts_col in source.columns
     if select:
-        cols = list(dict.fromkeys(list(select) + [ts_col]))
+        cols = list(dict.fromkeys(list(select) + ([ts_col] if has_ts else [])))
         df = df.select(*cols)
-    if since is not None:
+    if since is not None and has_ts:
         ts = F.col(ts_col)
         df = df.filter(ts >= F.lit(since) if inclusive else ts > F.lit(since))
     return df
@@ -66,9 +67,14 @@ def incremental_pull(source: DataFrame, landing: str, state_path: str, select: S
                      prefix: str = "listings") -> PullResult:
     """Pull new records into ``landing`` and advance the watermark.
 
-    Zero records (or a dry run) leave the watermark where it was.
+    Zero records (or a dry run) leave the watermark where it was. A source
+    without a modification time cannot be filtered here; its watermark is
+    then the (UTC) time the pull started.
     """
+    import datetime as dt
+
     spark = source.sparkSession
+    started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
     since = read_watermark(spark, state_path)
     new = pull_filter(source, since, select, inclusive, ts_col)
     if dry_run:
@@ -76,8 +82,12 @@ def incremental_pull(source: DataFrame, landing: str, state_path: str, select: S
         return PullResult(n, since, None)
     path = batch_dir(landing, prefix, "pull")
     new.write.mode("append").option("ignoreNullFields", "false").json(path)
-    stats = spark.read.schema(new.schema).json(path).agg(F.count(F.lit(1)).alias("n"), F.max(ts_col).alias("w")).first()
+    landed = spark.read.schema(new.schema).json(path)
+    has_ts = ts_col in new.columns
+    stats = landed.agg(F.count(F.lit(1)).alias("n"),
+                       (F.max(ts_col) if has_ts else F.lit(None)).alias("w")).first()
     if stats["n"] == 0:
         return PullResult(0, since, path)
-    write_watermark(spark, state_path, stats["w"])
-    return PullResult(int(stats["n"]), stats["w"], path)
+    wm = stats["w"] if has_ts else started
+    write_watermark(spark, state_path, wm)
+    return PullResult(int(stats["n"]), wm, path)

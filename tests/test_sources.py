@@ -142,3 +142,14 @@ def test_search_orchestrator(spark, tmp_path):
     assert n == 4
     (batch,) = os.listdir(tmp_path / "landing")
     assert batch.startswith("public_search_") and "T" in batch.split("_")[2]
+
+
+def test_pull_without_modification_time(spark, tmp_path):
+    src = spark.createDataFrame([("1", 200000), ("2", 300000)], "ListingKey string, ListPrice int")
+    state, landing = str(tmp_path / "_state"), str(tmp_path / "landing")
+    r = inc.incremental_pull(src, landing, state, select=["ListingKey", "ListPrice"])
+    assert r.n_records == 2 and r.watermark is not None
+    assert inc.read_watermark(spark, state) == r.watermark
+    empty = src.filter("false")
+    assert inc.incremental_pull(empty, landing, state).n_records == 0
+    assert inc.read_watermark(spark, state) == r.watermark
