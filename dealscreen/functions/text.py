@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from dealscreen.functions.deal_math import _col
 
 # Patterns and formats that define results.
-APN_OUTER_SPACE = r"^\s+|\s+$"      # strip() of the raw parcel number
-APN_DROP_CHARS = r"[- ]"            # hyphens and spaces removed after strip
+APN_OUTER_SPACE = " \t\n\x0b\f\r"  # whitespace stripped from both ends of the raw parcel number
+APN_DROP_CHARS = "- "               # hyphens and spaces removed after that
 NON_NUMERIC = r"[^0-9.]"            # everything but digits and '.'
 PULL_LABEL_FORMAT = "yyyyMMdd_HHmmss"      # incremental-pull batch label (UTC)
 PORTAL_LABEL_FORMAT = "yyyyMMdd'T'HHmmss"  # portal batch label (UTC)
@@ -23,7 +23,7 @@ def normalize_apn(raw) -> Column:
     a blank key may join, see ``apn_key``).
     """
     c = _col(raw)
-    return F.upper(F.regexp_replace(F.regexp_replace(c, APN_OUTER_SPACE, ""), APN_DROP_CHARS, ""))
+    return F.translate(F.upper(F.btrim(c, F.lit(APN_OUTER_SPACE))), APN_DROP_CHARS, "")
 
 
 def apn_key(raw) -> Column:
