@@ -10,7 +10,6 @@ from dealscreen import fixtures as fx
 from dealscreen import oracle_sql as osql
 from dealscreen.checks import register
 from dealscreen.checks.core import bronze, estimates, listings
-from dealscreen.config import scratch_path
 from dealscreen.sources import pages as pg
 from dealscreen.sources import portal as pt
 

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from dealscreen.checks import core
 from dealscreen.operators import serve

@@ -2,7 +2,6 @@
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from dealscreen.functions import deal_math as dm
 from dealscreen.functions import text as tx

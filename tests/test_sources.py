@@ -2,7 +2,6 @@ import datetime as dt
 import logging
 import os
 
-import pytest
 from pyspark.sql import functions as F
 
 from dealscreen.schemas import CORRUPT_COL
