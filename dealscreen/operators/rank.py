@@ -40,14 +40,17 @@ def deal_order() -> list[Column]:
 _ID_BITS = 33  # monotonically_increasing_id(): partition id << 33 | row index
 
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rank_score",
-                      num_partitions: int | None = None, pin: str = "checkpoint") -> DataFrame:
+                      num_partitions: int | None = None, pin: str = "parquet") -> DataFrame:
     """``df`` plus a bigint ``name`` = 1-based position in ``order``.
 
     ``order`` must be total (end with a unique key) for a deterministic result.
-    ``pin`` chooses how the numbered layout is made durable (measured faster
-    at sf0.1: ``"checkpoint"``, the default): ``"parquet"``
-    writes it under the shared checkpoint folder (columnar; the count job then
-    reads a single column), ``"checkpoint"`` uses ``Dataset.checkpoint``.
+    ``pin`` chooses how the numbered layout is made durable. ``"parquet"``
+    (default) writes it under the shared checkpoint folder: compressed and
+    columnar, so the count pass reads only the range id and the final pass
+    only the needed columns. ``"checkpoint"`` uses ``Dataset.checkpoint``,
+    whose row-serialized files are read whole by both passes; it measured
+    slightly faster on 150k rows locally, but reads several times more bytes
+    at scale.
     """
     spark = df.sparkSession
     # Without an explicit count, the exchange starts from the session's
