@@ -91,3 +91,12 @@ def test_rank_pin_modes_agree(spark):
     b = {r.listing_key: r.rank_score for r in global_row_number(df, deal_order(), pin="checkpoint",
                                                                 num_partitions=3).collect()}
     assert a == b and sorted(a.values()) == list(range(1, 401))
+
+
+def test_rank_empty_and_top_k_larger_than_table(spark):
+    from dealscreen.operators.rank import top_k_deals
+
+    empty = screen_rows(spark, [])
+    assert rank_deals(empty).count() == 0
+    df = screen_rows(spark, [("L1", True, 1.0), ("L2", True, 5.0)])
+    assert [(r.listing_key, r.rank_score) for r in top_k_deals(df, 50).collect()] == [("L2", 1), ("L1", 2)]
