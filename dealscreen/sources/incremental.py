@@ -48,6 +48,19 @@ def write_watermark(spark: SparkSession, state_path: str, watermark) -> None:
         .write.mode("overwrite").parquet(state_path)
 
 
+def _ts_literal(value, dtype: str):
+    """A wall-clock literal of the column's own type, independent of the
+    session and Python time zones (a naive datetime is a wall-clock time)."""
+    import datetime as dt
+
+    if isinstance(value, dt.datetime):
+        text = value.replace(tzinfo=None).isoformat(sep=" ") if value.tzinfo is None else \
+            value.astimezone(dt.timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
+    else:
+        text = str(value)
+    return F.lit(text).cast(dtype if dtype in ("timestamp", "timestamp_ntz", "date") else "timestamp_ntz")
+
+
 def pull_filter(source: DataFrame, since=None, select: Sequence[str] | None = None, inclusive: bool = False,
                 ts_col: str = TS_COL) -> DataFrame:
     """Source-side projection and predicate: ``select`` columns, rows newer than ``since``."""
@@ -58,7 +71,8 @@ def pull_filter(source: DataFrame, since=None, select: Sequence[str] | None = No
         df = df.select(*cols)
     if since is not None and has_ts:
         ts = F.col(ts_col)
-        df = df.filter(ts >= F.lit(since) if inclusive else ts > F.lit(since))
+        bound = _ts_literal(since, dict(source.dtypes)[ts_col])
+        df = df.filter(ts >= bound if inclusive else ts > bound)
     return df
 
 
