@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "deal_screen", "triangulation_exact", "triangulation_approx", "rank_default", "rank_distributed",
-    "top_deals", "ml_features", "pipeline_end_to_end",
+    "top_deals", "ml_features", "layers_end_to_end",
 ]
 
 

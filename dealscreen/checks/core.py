@@ -200,7 +200,7 @@ def _pipeline(spark: SparkSession, sf: str) -> DataFrame:
                         location_root=scratch_path(spark, "warehouse"))
 
 
-register("pipeline_end_to_end", osql.gold_ctes() + "\nSELECT * FROM gold")(_pipeline)
+register("layers_end_to_end", osql.gold_ctes() + "\nSELECT * FROM gold")(_pipeline)
 
 
 def _save_rule_model(screen: DataFrame, path: str, statement: str) -> str:

@@ -156,7 +156,7 @@ SELECT count(*) FILTER (WHERE seq % 101 = 0) AS n_corrupt, count(*) FILTER (WHER
 FROM fx_bronze""")(_quarantine)
 
 
-def _landing_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+def _scheduled_run(spark: SparkSession, sf: str) -> DataFrame:
     import uuid
 
     from dealscreen.config import Namespace
@@ -173,4 +173,4 @@ def _landing_pipeline(spark: SparkSession, sf: str) -> DataFrame:
                             location_root=f"{root}/warehouse")
 
 
-register("landing_pipeline", osql.gold_ctes() + "\nSELECT * FROM gold")(_landing_pipeline)
+register("scheduled_run_from_landing", osql.gold_ctes() + "\nSELECT * FROM gold")(_scheduled_run)
