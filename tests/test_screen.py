@@ -54,3 +54,15 @@ def test_rank_breaks_ties_by_listing_key(spark):
     v_df = spark.createDataFrame([], VALUE_SCHEMA)
     out = {r.listing_key: r.rank_score for r in gold_deal_screen(l_df, v_df).collect()}
     assert out == {"L1": 1, "L2": 2, "L3": 3}
+
+
+def test_several_estimate_feeds(spark):
+    from dealscreen.plans.silver import silver_value_estimates
+
+    cols = "ParcelNumber string, value_estimate double, estimate_source string, as_of int, l_orderkey int, " \
+           "l_linenumber int, l_partkey int, l_suppkey int"
+    f1 = spark.createDataFrame([(" 1-a ", 100.0, "avm", 1, 1, 1, 1, 1), ("2", None, "avm", 1, 2, 1, 1, 1)], cols)
+    f2 = spark.createDataFrame([("1A", 110.0, "avm", 2, 3, 1, 1, 1), ("1a", 90.0, "county", 1, 4, 1, 1, 1),
+                                ("  ", 5.0, "avm", 1, 5, 1, 1, 1)], cols)
+    got = sorted(tuple(r) for r in silver_value_estimates([f1, f2]).collect())
+    assert got == [("1A", 110.0, "avm"), ("1A", 90.0, "county")]
