@@ -65,4 +65,4 @@ def test_several_estimate_feeds(spark):
     f2 = spark.createDataFrame([("1A", 110.0, "avm", 2, 3, 1, 1, 1), ("1a", 90.0, "county", 1, 4, 1, 1, 1),
                                 ("  ", 5.0, "avm", 1, 5, 1, 1, 1)], cols)
     got = sorted(tuple(r) for r in silver_value_estimates([f1, f2]).collect())
-    assert got == [("1A", 110.0, "avm"), ("1A", 90.0, "county")]
+    assert got == [("1A", 90.0, "county"), ("1A", 110.0, "avm")]
