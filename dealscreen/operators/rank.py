@@ -27,7 +27,6 @@ from dealscreen.config import ensure_checkpoint_dir, scratch_path
 logger = logging.getLogger(__name__)
 
 
-
 def deal_order() -> list[Column]:
     """The deal order, best first; ``listing_key`` makes it total."""
     return [
