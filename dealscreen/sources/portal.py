@@ -80,71 +80,69 @@ def _record(source: str, c: SearchCriteria, **fields: Column) -> Column:
     return F.struct(*[defaults[n].cast(t).alias(n) for n, t in PORTAL_RECORD_FIELDS])
 
 
+# JSON keys of a home record per layout and field, in fallback
+# order, and the paths of the result list per layout, in order of preference.
+RECORD_KEYS = {
+    "a": {"listing_key": ["id", "listingId"], "price": ["price", "listPrice"], "postal_code": ["zipCode", "zip"],
+          "beds": ["beds", "bedrooms"], "baths": ["baths", "bathrooms"], "sqft": ["sqft", "livingArea"],
+          "url": ["url", "listingUrl"]},
+    "b": {"listing_key": ["zpid", "id"], "price": ["price", "listPrice"], "address": ["address", "addressStreet"],
+          "postal_code": ["zipcode", "zip"], "beds": ["beds", "bedrooms"], "baths": ["baths", "bathrooms"],
+          "sqft": ["area", "livingArea"], "url": ["detailUrl", "url"]},
+    "c": {"listing_key": ["id", "listingId"], "price": ["price"], "postal_code": ["zip", "postalCode"],
+          "beds": ["bedrooms", "beds"], "baths": ["bathrooms", "baths"], "sqft": ["sqft", "livingArea"],
+          "url": ["url"]},
+}
+RESULT_PATHS = {
+    "a": ["searchResults", "listings", "homes"],
+    "b": ["searchPageState.cat1.searchResults", "initialSearchState.listings"],
+    "c": ["listings", "searchResults"],
+}
+
+
+def _paths(layout: str, field: str) -> list[str]:
+    return [f"$.{k}" for k in RECORD_KEYS[layout][field]]
+
+
 def _address(h: Column) -> Column:
+    """``address.streetAddress`` when the address is an object, else the address text."""
     a = js.get(h, "$.address")
     return F.when(js.kind(a) == "OBJECT", js.text_of(a, "$.streetAddress")).otherwise(js.text_of(h, "$.address"))
 
 
+def _common(h: Column, layout: str, c: SearchCriteria) -> dict[str, Column]:
+    return {
+        "listing_key": js.first(h, _paths(layout, "listing_key"), "string", ""),
+        "city": F.coalesce(js.get(h, "$.city", "string"), F.lit(c.city)),
+        "state": F.coalesce(js.get(h, "$.state", "string"), F.lit(c.state)),
+        "postal_code": js.first(h, _paths(layout, "postal_code"), "string", ""),
+        "beds": js.first(h, _paths(layout, "beds"), "int", 0),
+        "baths": js.first(h, _paths(layout, "baths"), "double", 0.0),
+        "url": js.first(h, _paths(layout, "url"), "string", ""),
+    }
+
+
 def _record_a(h: Column, source: str, c: SearchCriteria) -> Column:
-    price = js.first(h, ["$.price", "$.listPrice"], "double", 0.0)
-    return _record(
-        source, c,
-        listing_key=js.first(h, ["$.id", "$.listingId"], "string", ""),
-        address=_address(h),
-        city=F.coalesce(js.get(h, "$.city", "string"), F.lit(c.city)),
-        state=F.coalesce(js.get(h, "$.state", "string"), F.lit(c.state)),
-        postal_code=js.first(h, ["$.zipCode", "$.zip"], "string", ""),
-        list_price=nullif_zero(price),
-        beds=js.first(h, ["$.beds", "$.bedrooms"], "int", 0),
-        baths=js.first(h, ["$.baths", "$.bathrooms"], "double", 0.0),
-        sqft=nullif_zero(js.first(h, ["$.sqft", "$.livingArea"], "double", 0.0)),
-        url=js.first(h, ["$.url", "$.listingUrl"], "string", ""),
-        value_estimate=nullif_zero(price),
-    )
+    price = nullif_zero(js.first(h, _paths("a", "price"), "double", 0.0))
+    sqft = nullif_zero(js.first(h, _paths("a", "sqft"), "double", 0.0))
+    return _record(source, c, **_common(h, "a", c), address=_address(h), list_price=price, sqft=sqft,
+                   value_estimate=price)
 
 
 def _record_b(h: Column, source: str, c: SearchCriteria) -> Column:
-    price = number_from_text(js.first(h, ["$.price", "$.listPrice"], "string", ""))
-    return _record(
-        source, c,
-        listing_key=js.first(h, ["$.zpid", "$.id"], "string", ""),
-        address=js.first(h, ["$.address", "$.addressStreet"], "string", ""),
-        city=F.coalesce(js.get(h, "$.city", "string"), F.lit(c.city)),
-        state=F.coalesce(js.get(h, "$.state", "string"), F.lit(c.state)),
-        postal_code=js.first(h, ["$.zipcode", "$.zip"], "string", ""),
-        list_price=price,
-        beds=js.first(h, ["$.beds", "$.bedrooms"], "int", 0),
-        baths=js.first(h, ["$.baths", "$.bathrooms"], "double", 0.0),
-        sqft=number_from_text(js.first(h, ["$.area", "$.livingArea"], "string", "")),
-        url=js.first(h, ["$.detailUrl", "$.url"], "string", ""),
-        value_estimate=price,
-    )
+    """Price and area arrive as display text ("$350,000", "1,200 sqft")."""
+    price = number_from_text(js.first(h, _paths("b", "price"), "string", ""))
+    sqft = number_from_text(js.first(h, _paths("b", "sqft"), "string", ""))
+    address = js.first(h, _paths("b", "address"), "string", "")
+    return _record(source, c, **_common(h, "b", c), address=address, list_price=price, sqft=sqft,
+                   value_estimate=price)
 
 
 def _record_c(h: Column, source: str, c: SearchCriteria) -> Column:
-    price = nullif_zero(F.coalesce(js.get(h, "$.price", "double"), F.lit(0.0)))
-    return _record(
-        source, c,
-        listing_key=js.first(h, ["$.id", "$.listingId"], "string", ""),
-        address=_address(h),
-        city=F.coalesce(js.get(h, "$.city", "string"), F.lit(c.city)),
-        state=F.coalesce(js.get(h, "$.state", "string"), F.lit(c.state)),
-        postal_code=js.first(h, ["$.zip", "$.postalCode"], "string", ""),
-        list_price=price,
-        beds=js.first(h, ["$.bedrooms", "$.beds"], "int", 0),
-        baths=js.first(h, ["$.bathrooms", "$.baths"], "double", 0.0),
-        sqft=nullif_zero(js.first(h, ["$.sqft", "$.livingArea"], "double", 0.0)),
-        url=F.coalesce(js.get(h, "$.url", "string"), F.lit("")),
-        value_estimate=price,
-    )
-
-
-# Result-list candidates per layout, in order of preference.
-_CANDIDATES = {
-    "a": ["$.searchResults", "$.listings", "$.homes"],
-    "b": ["$.searchPageState.cat1.searchResults", "$.initialSearchState.listings"],
-    "c": ["$.listings", "$.searchResults"],
-}
+    price = nullif_zero(js.first(h, _paths("c", "price"), "double", 0.0))
+    sqft = nullif_zero(js.first(h, _paths("c", "sqft"), "double", 0.0))
+    return _record(source, c, **_common(h, "c", c), address=_address(h), list_price=price, sqft=sqft,
+                   value_estimate=price)
 
 
 def _results(cands: list[Column], layout: str) -> Column:
@@ -177,16 +175,16 @@ def map_portal_records(pages: DataFrame, layout: str, source: str | None = None,
     keep = [x for x in pages.columns if x != html_col]
     ok = filter_blocked_pages(pages, layout, html_col)
     use_cards = card_fallback if card_fallback is not None else layout == "a"
-    if layout not in _CANDIDATES:
+    if layout not in RESULT_PATHS:
         raise ValueError(f"unknown layout {layout!r}")
     parsed = ok.select(
         *keep,
         js.get(extract_json_island(F.col(html_col), patterns), "$.props.pageProps").alias("_props"),
         (homecard_ids(F.col(html_col)) if use_cards else F.array().cast("array<string>")).alias("_cards"),
     )
-    cands = parsed.select(*keep, "_cards", *[js.get("_props", p).alias(f"_c{i}")
-                                             for i, p in enumerate(_CANDIDATES[layout])])
-    n = len(_CANDIDATES[layout])
+    cands = parsed.select(*keep, "_cards", *[js.get("_props", f"$.{p}").alias(f"_c{i}")
+                                             for i, p in enumerate(RESULT_PATHS[layout])])
+    n = len(RESULT_PATHS[layout])
     listed = cands.select(*keep, _results([F.col(f"_c{i}") for i in range(n)], layout).alias("_results"), "_cards")
     recs = F.transform(F.col("_results"), lambda h: _RECORD[layout](h, src, c))
     if use_cards:
