@@ -38,12 +38,16 @@ class SearchCriteria:
 # Source name -> page layout. Unknown names are skipped with a warning.
 DEFAULT_SOURCES: dict[str, str] = {"portal_a": "a", "portal_b": "b", "portal_c": "c"}
 
-# Search-URL templates per layout.
+# Search-URL templates per layout, the estimate-source labels of
+# found and fallback rows, the parcel prefix of records without a parcel number
+# and the key suffix of fallback rows.
 #   a: https://www.redfin.com/city/17215/TX/{city}/filter/beds={beds}-baths={baths}-property-type={property_type}
 #   b: https://www.zillow.com/{city lower}-{state lower}/{beds}-beds-{baths}-baths/
 #   c: https://www.movoto.com/{city lower}-{state lower}/{beds}b-{baths}b/for-sale/
 DEFAULT_ESTIMATE_SOURCE = "public_search"
 FALLBACK_ESTIMATE_SOURCE = "public_search_url"
+NO_PARCEL_PREFIX = "PUBLIC-"
+FALLBACK_KEY_SUFFIX = "_search_url"
 
 
 def _c(x) -> Column:
@@ -212,7 +216,7 @@ def to_bronze(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     r = records
     apn = F.nullif(F.col("apn"), F.lit(""))
     extra = {
-        "ParcelNumber": F.coalesce(apn, F.concat(F.lit("PUBLIC-"), F.col("source"), F.lit("-"), F.col("listing_key"))),
+        "ParcelNumber": F.coalesce(apn, F.concat(F.lit(NO_PARCEL_PREFIX), F.col("source"), F.lit("-"), F.col("listing_key"))),
         "ListingKey": F.concat(F.col("source"), F.lit("_"), F.col("listing_key")),
         "UnparsedAddress": F.col("address"),
         "PostalCode": F.col("postal_code"),
@@ -288,7 +292,7 @@ def source_fallback(spark: SparkSession, records: DataFrame | None, requested: S
                       search_url_col(sources[name], c.city, c.state, c.beds, c.baths, c.property_type)).otherwise(urls)
     rec = want.select(
         F.col("source"),
-        F.concat(F.col("source"), F.lit("_search_url")).alias("listing_key"),
+        F.concat(F.col("source"), F.lit(FALLBACK_KEY_SUFFIX)).alias("listing_key"),
         F.lit(f"{c.city}, {c.state}").alias("address"),
         F.lit(c.city).alias("city"), F.lit(c.state).alias("state"), F.lit("").alias("postal_code"),
         F.lit(None).cast("double").alias("list_price"), F.lit(c.property_type).alias("property_type"),
