@@ -44,7 +44,7 @@ def main() -> None:
         times[name] = None if best is None else round(best, 3)
     sf = os.path.basename(sf_dir).replace("sf", "")
     print(json.dumps({"metric": "headline_total", "value": round(sum(t for t in times.values() if t), 3), "unit": "sec",
-                      "queries": times, "sf": sf, "cpus": cpus}))
+                      "queries": times, "sf": sf, "cpus": cpus, "repeat": repeat}))
     spark.stop()
 
 
