@@ -24,13 +24,21 @@ PAGE_NEXT_LINK_KEY = "@odata.nextLink"
 
 
 def read_bronze(spark: SparkSession, path: str, schema: T.StructType = BRONZE_READ_SCHEMA) -> DataFrame:
-    """Batch read of a landing folder (every batch below it) with a frozen schema."""
+    """Batch read of a landing folder (every batch below it) with a frozen schema.
+
+    Lines are read as text and parsed with ``from_json`` (PERMISSIVE): a line
+    that does not parse keeps its text in ``_corrupt_record``. Parsing from the
+    text column (instead of the JSON file source) keeps every downstream query
+    legal, including ones that only count the quarantined lines.
+    """
+    if CORRUPT_COL not in schema.fieldNames():
+        schema = T.StructType(schema.fields + [T.StructField(CORRUPT_COL, T.StringType(), True)])
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL}
     return (
-        spark.read.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT_COL)
-        .option("recursiveFileLookup", "true")
-        .json(path)
+        lines.filter(F.trim(F.col("value")) != "")
+        .select(F.from_json(F.col("value"), schema, opts).alias("_r"))
+        .select("_r.*")
     )
 
 

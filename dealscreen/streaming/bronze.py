@@ -10,6 +10,7 @@ the file source. Malformed lines land in ``_corrupt_record``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dealscreen.schemas import BRONZE_READ_SCHEMA, CORRUPT_COL
@@ -17,15 +18,20 @@ from dealscreen.schemas import BRONZE_READ_SCHEMA, CORRUPT_COL
 
 def read_bronze_stream(spark: SparkSession, landing: str, schema: T.StructType = BRONZE_READ_SCHEMA,
                        max_files_per_trigger: int | None = None) -> DataFrame:
-    reader = (
-        spark.readStream.schema(schema)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT_COL)
-    )
+    """Streaming read of new landing files; lines parsed like ``read_bronze``."""
+    if CORRUPT_COL not in schema.fieldNames():
+        schema = T.StructType(schema.fields + [T.StructField(CORRUPT_COL, T.StringType(), True)])
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(int(max_files_per_trigger)))
     # Each batch is a folder below the landing root.
-    return reader.json(f"{landing.rstrip('/')}/*")
+    lines = reader.text(f"{landing.rstrip('/')}/*")
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL}
+    return (
+        lines.filter(F.trim(F.col("value")) != "")
+        .select(F.from_json(F.col("value"), schema, opts).alias("_r"))
+        .select("_r.*")
+    )
 
 
 def run_bronze(spark: SparkSession, landing: str, checkpoint: str, target_path: str | None = None,
