@@ -152,3 +152,12 @@ def test_pull_without_modification_time(spark, tmp_path):
     empty = src.filter("false")
     assert inc.incremental_pull(empty, landing, state).n_records == 0
     assert inc.read_watermark(spark, state) == r.watermark
+
+
+def test_corrupt_only_queries_are_legal(spark, tmp_path):
+    p = tmp_path / "landing" / "b"
+    p.mkdir(parents=True)
+    (p / "part.json").write_text('{"ListingKey": "L1"}\nnot json\n')
+    df = files.read_bronze(spark, str(tmp_path / "landing"))
+    assert files.quarantine(df).count() == 1
+    assert files.good_rows(df).count() == 1
