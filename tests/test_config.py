@@ -47,3 +47,14 @@ def test_assert_schema(spark):
     assert_schema(df, SILVER_LISTINGS_COLS)
     with pytest.raises(ValueError):
         assert_schema(df.drop("apn"), SILVER_LISTINGS_COLS)
+
+
+def test_cluster_conf_scales_with_input():
+    from dealscreen.session import cluster_conf
+
+    small = cluster_conf(10 * 1024**3)
+    big = cluster_conf(100 * 1024**4)
+    assert int(small["spark.sql.shuffle.partitions"]) == 200
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
+    assert big["spark.sql.session.timeZone"] == "UTC"
