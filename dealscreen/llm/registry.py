@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from dealscreen.llm.decontaminate import OP10_SQL, op10_decontaminate
+from dealscreen.llm.pii import op1_pii
+from dealscreen.llm.quality import op2_quality
 from dealscreen.llm.simhash import op3_simhash
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
