@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dealscreen.llm.decontaminate import OP10_SQL, op10_decontaminate
+from dealscreen.llm.html import op5_html
+from dealscreen.llm.pieces import op6_pieces
 from dealscreen.llm.pii import op1_pii
 from dealscreen.llm.quality import op2_quality
 from dealscreen.llm.simhash import op3_simhash
@@ -11,6 +13,8 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
+    "op5_html": op5_html,
+    "op6_pieces": op6_pieces,
     "op10_decontaminate": op10_decontaminate,
 }
 
