@@ -8,6 +8,7 @@ from dealscreen.llm.pieces import op6_pieces
 from dealscreen.llm.pii import op1_pii
 from dealscreen.llm.quality import op2_quality
 from dealscreen.llm.simhash import op3_simhash
+from dealscreen.llm.training_order import op7_training_order
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_html": op5_html,
     "op6_pieces": op6_pieces,
+    "op7_training_order": op7_training_order,
     "op10_decontaminate": op10_decontaminate,
 }
 
