@@ -8,16 +8,20 @@ from dealscreen.llm.pieces import op6_pieces
 from dealscreen.llm.pii import op1_pii
 from dealscreen.llm.quality import op2_quality
 from dealscreen.llm.simhash import op3_simhash
+from dealscreen.llm.substrings import OP4_SQL, op4_substrings
+from dealscreen.llm.suffixes import op8_suffixes
 from dealscreen.llm.training_order import op7_training_order
 
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
     "op3_simhash": op3_simhash,
+    "op4_substrings": op4_substrings,
     "op5_html": op5_html,
     "op6_pieces": op6_pieces,
     "op7_training_order": op7_training_order,
+    "op8_suffixes": op8_suffixes,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES = {"op10_decontaminate": OP10_SQL}
+ORACLES = {"op4_substrings": OP4_SQL, "op10_decontaminate": OP10_SQL}
