@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dealscreen.llm.decontaminate import OP10_SQL, op10_decontaminate
 from dealscreen.llm.html import op5_html
+from dealscreen.llm.mixing import op9_mixing
 from dealscreen.llm.pieces import op6_pieces
 from dealscreen.llm.pii import op1_pii
 from dealscreen.llm.quality import op2_quality
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_pieces": op6_pieces,
     "op7_training_order": op7_training_order,
     "op8_suffixes": op8_suffixes,
+    "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
 }
 
