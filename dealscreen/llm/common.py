@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,17 +29,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def materialise(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+
+    What the write shuffled is freed when it has ended, not when the driver happens to collect garbage.
+    """
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

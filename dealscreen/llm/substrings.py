@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealscreen.llm.common import (materialise, mix, pack, read, release, scratch_dir, shuffle_partitions, split_words,
+from dealscreen.llm.common import (materialise, mix, pack, read, scratch_dir, shuffle_partitions, split_words,
                                    unpack, window_hash)
 from dealscreen.llm.xxh import xxh64_slices
 
@@ -159,7 +159,6 @@ def levels(chunks: DataFrame, window: int = WINDOW) -> list[tuple[int, DataFrame
     sent, length = chunks.select("chunk", "ids", "texts").mapInArrow(_first_level(window, buckets), _ROWS), window
     while True:
         found = materialise(sent.groupBy("bucket").applyInArrow(_repeated, _FOUND))
-        release(spark)
         if found.isEmpty():
             return out
         out.append((length, found))

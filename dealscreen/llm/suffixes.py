@@ -33,7 +33,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealscreen.llm.common import (materialise, mix, pack, read, release, shuffle_partitions, sliding_min, unpack)
+from dealscreen.llm.common import (materialise, mix, pack, read, shuffle_partitions, sliding_min, unpack)
 from dealscreen.llm.substrings import packed_chunks
 
 LENGTH, GRAM, HOT, BLOCK = 200, 24, 4096, 8
@@ -355,11 +355,9 @@ def repeated_windows(chunks: DataFrame, hot: int = HOT) -> DataFrame:
     buckets = 2 * shuffle_partitions(spark)
     grams = materialise(chunks.select("chunk", "texts").mapInArrow(_count_grams(buckets), _COUNT)
                         .groupBy("bucket").applyInArrow(_repeated_grams(hot), "chunk long, at binary, hot binary"))
-    release(spark)
     chosen = grams.groupBy("chunk").agg(F.collect_list(F.struct("at", "hot")).alias("found"))
     runs = chunks.join(chosen, "chunk").select("chunk", "texts", "found").mapInArrow(_send_runs(buckets), _RUN)
     out = materialise(runs.groupBy("bucket").applyInArrow(_merge, "chunk long, spans binary"))
-    release(spark)
     return out
 
 
