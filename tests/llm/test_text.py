@@ -1,0 +1,324 @@
+"""Decontamination, quality, personal data, pages, pieces, training order and scores against brute force."""
+
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from dealscreen.llm import decontaminate, html, mixing, pieces, pii, quality, training_order
+from dealscreen.llm.common import scratch_dir, split_words
+
+
+def test_split_words(texts):
+    sample = [t for _, t in texts] + ["a\x0bb\x0cc\rd", "\x1c e\x85f\xa0g"]
+    words, offsets = split_words(pa.array(sample, pa.string()))
+    for i, t in enumerate(sample):
+        assert words.to_pylist()[offsets[i]:offsets[i + 1]] == re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+# -- decontamination
+
+def contaminated(texts, items):
+    word = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    out = []
+    for d, t in texts:
+        w, hit, found = word(t), set(), set()
+        for i, x in items:
+            x = word(x)
+            n = min(10, len(x))
+            windows = {tuple(x[s:s + n]) for s in range(len(x) - n + 1)} if n else set()
+            for s in range(len(w) - n + 1) if n else ():
+                if tuple(w[s:s + n]) in windows:
+                    hit.update(range(s, s + n))
+                    found |= {str(i)} - {"None"}
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+def test_decontaminate(spark, docs, texts, block_bytes):
+    t = dict(texts)
+    items = [(1, t[1].upper()), (2, " ".join(t[5].split()[:12])), (3, "one, TWO"), (4, None), (5, ""), (11, t[103][-120:]),
+             (None, t[9]), (3, "a " * 30), (7, "中文"), (2, "w1x w2x w3x w4x w5x w6x w7x w8x w9x")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.digest(decontaminate.contaminated_words(docs, bench, block_bytes=block_bytes))
+    assert Counter(tuple(r) for r in got.collect()) == Counter(contaminated(texts, items))
+
+
+def test_decontaminate_empty(spark, docs, no_docs):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated_words(no_docs, none).count() == 0
+    assert decontaminate.digest(decontaminate.contaminated_words(docs, none)).where("contaminated").count() == 0
+
+
+# -- quality
+
+def base_counts(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    covered = {i + j for i in range(len(w) - 2) if seen[tuple(w[i:i + 3])] > 1 for j in range(3)}
+    lines, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in lines
+            lines.add(line)
+    return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered),
+            len(w) < 50 or 100 * len(covered) > 50 * len(w))
+
+
+def test_quality_base(spark, docs, texts):
+    texts = dict(texts[:-4]) | {200: "a b c\n#x|\na b c\n \na b c <&>"}
+    df = spark.createDataFrame([(i, t, "en") for i, t in texts.items()], "doc_id long, text string, lang string")
+    model = spark.sparkContext.broadcast(quality.train(df))
+    for r in quality.scored(df, model).collect():
+        assert (*(r[c] for c in quality._NUMBERS), r.base_failed) == base_counts(texts[r.doc_id])
+        assert (r.perplexity is None) == (r.n_words == 0)
+
+
+def test_quality_model_sums_to_one(docs):
+    model = quality.train(docs)
+    voc = model.vocabulary
+    for before in (quality.START, 1, 2, voc.size - 1):
+        ids = np.arange(1, voc.size)
+        flat = np.stack([np.full(len(ids), before), ids], axis=1).ravel()
+        # Each pair is a text of its own; its second word's probability follows the first.
+        logs = model.log10(flat, np.arange(0, len(flat) + 1, 2))[1::2] if before else model.log10(ids, np.arange(len(ids) + 1))
+        # An unknown word's share is spread over the words it stands for.
+        assert math.isclose((10 ** (logs + model.unknown[ids])).sum(), 1, rel_tol=1e-3)
+
+
+def test_quality_rejects_noise_and_keeps_clean(spark):
+    sf_dir = "/root/testdata/sf0.01"  # enough text for a model
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = docs.where("lang = 'en' AND n_chars > 1500").first()["text"]
+    rng = np.random.default_rng(1)
+    noise = " ".join("".join(chr(c) for c in rng.integers(33, 0x2FF, 9)) for _ in range(300))
+    more = spark.createDataFrame([(900001, noise, "en"), (900002, text, "en")], "doc_id long, text string, lang string")
+    kept = quality.keep_good(spark, docs.select("doc_id", "text", "lang").union(more), sf_dir)
+    assert kept.columns == ["doc_id", "text", "lang"]
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert 900001 not in ids and 900002 in ids
+
+
+def test_quality_empty(spark, no_docs):
+    assert quality.keep_good(spark, no_docs, "").count() == 0
+
+
+# -- personal data
+
+def test_pii_formats_links_and_validity(spark):
+    card, iban, mail = "4111111111111111", "DE89370400440532013000", "ann.lee7@mail.example.com"
+    rows = [(1, f"pay {card} or 4111 1111 1111 1111, not 4111111111111112; {iban}; {mail}!"),
+            (2, f"{mail} {card} 123-45-6789 000-12-3456 1990-05-13 13/05/1990 1990-02-30"),
+            (3, "+1 (504) 555-2652 190.137.223.204 and 1.2.3 or 300.1.1.1"), (4, None), (5, ""), (6, "plain text, 3 of 4."),
+            (7, 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"'), (7, mail)]
+    out = [(r.row.doc_id, r.new, r.replaced) for r in pii.pseudonymise(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    new = defaultdict(list)
+    for i, t, n in out:
+        new[i].append((t, n))
+    one, two, three = new[1][0][0], new[2][0][0], new[3][0][0]
+    luhn = lambda s: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+    made = re.search(r"pay (\d{16}) or (\d{4} \d{4} \d{4} \d{4}), not 4111111111111112; (DE\d{20}); (\S+)!", one)
+    assert made and luhn(made[1]) and made[1] != card and made[2].replace(" ", "") == made[1]
+    assert int("".join(str(int(c, 36)) for c in made[3][4:] + made[3][:4])) % 97 == 1 and made[3] != iban
+    assert made[4] != mail and made[4].endswith("@mail.example.com") and re.fullmatch(r"[a-z]{3}\.[a-z]{3}\d", made[4].split("@")[0])
+    assert two.startswith(f"{made[4]} {made[1]} ") and new[7][0 if "@" in new[7][0][0] else 1][0] == made[4]
+    assert re.search(r" \d{3}-\d{2}-\d{4} 000-12-3456 \d{4}-\d{2}-\d{2} \d{2}/\d{2}/\d{4} 1990-02-30$", two)
+    assert "123-45-6789" not in two and "1990-05-13" not in two
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4} \d+\.\d+\.\d+\.\d+ and 1\.2\.3 or 300\.1\.1\.1", three)
+    assert "555-2652" not in three and "190.137" not in three
+    assert new[4] == [(None, 0)] and new[5] == [("", 0)] and new[6] == [("plain text, 3 of 4.", 0)]
+
+
+def test_pii_permutations_are_one_to_one(spark):
+    df = spark.range(20000).selectExpr(
+        f"{pii.permuted_number('id', 100, 200, 't', 'k')} AS n", f"{pii.permuted_text('lpad(id, 5, 0)', 't', 'k')} AS t",
+        "date_format(date_add(DATE'1990-01-01', CAST(id AS INT)), 'yyyy-MM-dd') AS d").selectExpr(
+        "n", "t", f"{pii.pseudonym('d')} AS d")
+    n = df.selectExpr("count(DISTINCT n)", "count(DISTINCT t)", "count(DISTINCT d)", "min(n)", "max(n)").first()
+    assert tuple(n) == (20000, 20000, 20000, 0, 19999)
+
+
+def test_pii_stage(spark, docs):
+    out = pii.replace_private(spark, docs, "")
+    assert out.dtypes == docs.dtypes and out.count() == docs.count()
+
+
+# -- pages
+
+def test_pages_by_markup(spark):
+    page = ("<html><head><title>t</title><script>var a='</p><p>no';</script></head><body><nav><a>menu</a></nav>"
+            "<div class='ad-box ad'>buy</div><article><h1>Head &amp; more</h1><p>one<b>two</b>&nbsp; three<br>four<p>next"
+            "<aside>side</aside><form>f</form><section id=comments><p>remark</p></section></article><footer>foot</footer>")
+    rows = [(1, "http://a.example/x", page), (1, "http://a.example/x", page), (2, None, None), (3, "", ""),
+            (4, "http://[bad", "plain <b>text"), (None, "http://b.example", "<p>x<p>y</div><!-- c --><p>z &lt;"),
+            (5, "http://b.example", "<main><p>m</p></main><p>out</p>"), (6, "u", "<p>cut <a hre")]
+    got = Counter((r.row.page_id, r.text) for r in html.main_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == Counter({(1, "Head & more\nonetwo three four\nnext"): 2, (2, ""): 1, (3, ""): 1, (4, "plain text"): 1,
+                           (None, "x\ny\nz <"): 1, (5, "m"): 1, (6, "cut"): 1})
+
+
+def test_pages_style_tree(spark):
+    """Without marked articles, what a host's pages share is removed; a host with few pages keeps everything."""
+    page = "<body><div class=x><span>About us</span></div><div class=y><p>Text {0} of page</p><p>Ends {0}</p></div><div class=z><p>All rights</p></div>"
+    rows = [(i, f"http://many.example/{i}", page.format(i)) for i in range(30)]
+    rows += [(100 + i, f"http://few.example/{i}", page.format(i)) for i in range(2)]
+    got = {r.row.page_id: r.text for r in html.main_text(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[5] == "Text 5 of page\nEnds 5" and got[100] == "About us\nText 0 of page\nEnds 0\nAll rights"
+
+
+def test_pages_empty(spark):
+    assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# -- pieces
+
+VOCABULARY = pieces.pieces(pieces.MODEL)
+
+
+def segmentations(text):
+    """All segmentations of a short text with their probabilities."""
+    by = defaultdict(list)
+    for i, s in enumerate(VOCABULARY.surface.to_pylist()):
+        if s and i not in set(VOCABULARY.byte_ids.tolist()):
+            by[s].append(i)
+
+    def walk(rest):
+        if not rest:
+            yield (), 0.0
+        for n in range(1, len(rest) + 1):
+            for i in by.get(rest[:n].encode(), ()):
+                for tail, p in walk(rest[n:]):
+                    yield (i, *tail), p + VOCABULARY.logp[i]
+
+    found = dict(walk(" " + text))
+    total = np.logaddexp.reduce(list(found.values()))
+    return {k: math.exp(v - total) for k, v in found.items()}
+
+
+def test_pieces_distribution():
+    text, n = "ab", 6000
+    want = segmentations(text)
+    made = pieces.sample(pa.array([text] * n), np.arange(n, dtype=np.uint64) * np.uint64(977), 3, VOCABULARY)
+    for s in made:
+        assert len({tuple(i.tolist()) for i, _, _ in s}) == len(s) == min(3, len(want))
+        assert all(math.isclose(p, math.log(want[tuple(i.tolist())]), abs_tol=1e-6) for i, p, _ in s)
+    # Without replacement: the chance of each ordered pair follows from the probabilities.
+    first = Counter(tuple(s[0][0].tolist()) for s in made)
+    second = Counter((tuple(s[0][0].tolist()), tuple(s[1][0].tolist())) for s in made)
+    for k, p in want.items():
+        assert abs(first[k] / n - p) < 4 * math.sqrt(p * (1 - p) / n) + 1e-3
+        for m, q in want.items():
+            if m != k:
+                both = p * q / (1 - p)
+                assert abs(second[k, m] / n - both) < 4 * math.sqrt(both * (1 - min(both, 1)) / n) + 2e-3
+    # Inclusion scores are unbiased weights.
+    assert abs(np.mean([sum(math.exp(p) / q for _, p, q in s) for s in made]) - 1) < 0.02
+
+
+def test_pieces_round_trip(spark, docs, texts):
+    got = defaultdict(list)
+    for r in pieces.sampled(docs.limit(1000), k=3).collect():
+        t = r.row.text or ""
+        assert len({tuple(s.ids) for s in r.samples}) == len(r.samples) >= 1
+        assert all(pieces.decode(s.ids, VOCABULARY) == t and 0 <= s.inclusion <= 1 for s in r.samples)
+        got[r.row.doc_id, r.row.text].append([tuple(s.ids) for s in r.samples])
+    assert all(x == v[0] for v in got.values() for x in v)
+    again = pieces.sampled(docs.repartition(1), k=3).collect()
+    assert all([tuple(s.ids) for s in r.samples] == got[r.row.doc_id, r.row.text][0] for r in again)
+
+
+def test_pieces_empty(no_docs):
+    assert pieces.sampled(no_docs).count() == 0 and pieces.sampled(no_docs, digest=True).count() == 0
+
+
+# -- training order
+
+def test_order_is_a_permutation():
+    for n in (1, 2, 3, 7, 64, 1000):
+        order = training_order.Order(n)
+        slots = order.slots(np.arange(n))
+        assert sorted(slots.tolist()) == list(range(n)) and (order.numbers(slots) == np.arange(n)).all()
+
+
+def test_training_order_round_trip(spark, docs, texts):
+    uri = scratch_dir(spark) + "/shards"
+    uri = uri if ":/" in uri else f"file://{uri}"
+    out = training_order.training_order(docs, uri, seq_len=64, shard=50).collect()
+    assert sorted(r.slot for r in out) == list(range(len(out)))
+    records = training_order.read_records(uri, 0, len(out), shard=50, seq_len=64)
+    enc = training_order.encoding(training_order.RANKS)
+    got, want = Counter(), Counter()
+    for doc, seq, ids in records:
+        got[doc, seq, tuple(ids.tolist())] += 1
+    for d, t in texts:
+        if t is not None:
+            ids = [*enc.encode_ordinary(t), training_order.END]
+            for s in range(0, len(ids), 64):
+                want[-1 if d is None else d, s // 64, tuple(ids[s:s + 64])] += 1
+    assert got == want
+    assert [x[:2] for x in training_order.read_records(uri, 47, 9, shard=50, seq_len=64)] == [x[:2] for x in records[47:56]]
+
+
+def test_training_order_empty(no_docs, spark):
+    assert training_order.training_order(no_docs, scratch_dir(spark)).count() == 0
+
+
+# -- scores
+
+def test_scores_counts_and_base(spark, docs, texts):
+    split = [(d, re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [None]) for d, t in texts]
+    train = Counter(w for d, x in split if not mixing.held_out(d) for w in x)
+    n, v = sum(train.values()), len(train)
+    want = Counter()
+    for d, x in split:
+        want[d, mixing.held_out(d), len(x), sum(train[w] > 0 for w in x), n,
+             round(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in x), 6)] += 1
+    out = mixing.scores(docs).collect()
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
+    assert all(r.score < 0 and math.isfinite(r.score) for r in out)
+    # A repeated text is far more likely than noise of the same length.
+    by = {r.doc_id: r.score / r.n_tokens for r in out}
+    assert by[111] > by[110]
+
+
+def test_scores_are_a_code(texts):
+    """The chances of all possible next bits sum to one: scoring a text with any last bit flipped gives the rest."""
+    words = mixing.Words(np.array([mixing.END], np.uint64), np.array([3]), 5, np.ones(256, np.int64))
+    model = mixing.Model([], words)
+    bit, _, tree, slots = mixing.bits(mixing.Tokens(pa.array(["abc de"])), words)
+    x, gate = model.inputs(tree, slots)
+
+    def chance(b):
+        return 2 ** mixing.learn(x, gate, b, tree, model.weights.copy(), model.map.copy())
+
+    before = 2 ** mixing.learn(x[:, :-1], gate[:-1], bit[:-1], tree[:-1], model.weights.copy(), model.map.copy())
+    flipped = bit.copy()
+    flipped[-1] ^= 1
+    assert math.isclose(chance(bit) + chance(flipped), before, rel_tol=1e-4)
+
+
+def test_scores_empty(no_docs):
+    assert mixing.scores(no_docs).count() == 0
+
+
+# -- whole queries against their SQL
+
+@pytest.mark.parametrize("name", ["op4_substrings", "op10_decontaminate"])
+def test_query_matches_sql(spark, sf_dir, name):
+    from dealscreen.llm.registry import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert Counter(map(tuple, QUERIES[name](spark, sf_dir).select(columns).collect())) == Counter(want.fetchall())
