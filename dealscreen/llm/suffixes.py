@@ -76,7 +76,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
             slot[other] += 1
         anchor = least[slot]
         end = np.minimum(last, anchor)  # beyond its anchor a run of equal hashes goes on with the next one
-        out.append((first, end, anchor, low[first]))
+        out.append((first, end, anchor, mix(low[first])))  # minima are small: hashed again, the ranges are equally full
         more = last > anchor
         first, last = anchor[more] + 1, last[more]
     if not out:
