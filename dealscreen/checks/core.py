@@ -29,7 +29,7 @@ def listings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def estimates(spark: SparkSession, sf: str) -> DataFrame:
-    return silver_value_estimates([fixtures.estimate_feed(spark, sf)])
+    return silver_value_estimates([fixtures.estimate_feed(spark, sf)], fixtures.ESTIMATE_ORDER)
 
 
 def gold(spark: SparkSession, sf: str, a: Assumptions | None = None, method: str = "exact") -> DataFrame:
@@ -197,7 +197,7 @@ def _pipeline(spark: SparkSession, sf: str) -> DataFrame:
     ns = Namespace(tenant=f"e2e_{uuid.uuid4().hex[:8]}")
     b = bronze(spark, sf)
     return run_pipeline(spark, b, [fixtures.estimate_feed(spark, sf, b)], ns=ns, a=Assumptions(),
-                        location_root=scratch_path(spark, "warehouse"))
+                        estimate_order=fixtures.ESTIMATE_ORDER, location_root=scratch_path(spark, "warehouse"))
 
 
 register("layers_end_to_end", osql.gold_ctes() + "\nSELECT * FROM gold")(_pipeline)

@@ -48,6 +48,28 @@ SELECT ListingKey, ListPrice, ModificationTimestamp, seq FROM fx_bronze
 WHERE CAST(floor(seq / {fx.ROWS_PER_ENVELOPE}) AS BIGINT) % 5 <> 4""")(
     lambda spark, sf: files.flatten_envelopes(fx.envelope_pages(spark, sf), ENVELOPE_RECORD))
 
+
+# Truncated pages: every fourth page (from 1) lost its end; its text is kept aside, the others' records arrive.
+CUT_RULE = "page % 4 = 1"
+
+
+def _broken_pages(spark: SparkSession, sf: str) -> DataFrame:
+    pages = fx.envelope_pages(spark, sf).selectExpr(
+        "page", f"CASE WHEN {CUT_RULE} THEN substring(body, 1, length(body) - 30) ELSE body END AS body")
+    held = files.quarantined_envelopes(pages, ENVELOPE_RECORD).select(F.lit("page").alias("kind"), F.lit(1).alias("x"))
+    good = files.flatten_envelopes(pages, ENVELOPE_RECORD).select(F.lit("record").alias("kind"), F.lit(1).alias("x"))
+    return held.union(good).groupBy("kind").agg(F.count("x").alias("n"))
+
+
+register("page_envelope_quarantine", osql.with_base() + f"""
+SELECT kind, count(*) AS n FROM (
+  SELECT DISTINCT 'page' AS kind, page FROM (SELECT CAST(floor(seq / {fx.ROWS_PER_ENVELOPE}) AS BIGINT) AS page FROM fx_bronze) p
+  WHERE {CUT_RULE}
+  UNION ALL
+  SELECT 'record', page FROM (SELECT CAST(floor(seq / {fx.ROWS_PER_ENVELOPE}) AS BIGINT) AS page FROM fx_bronze) p
+  WHERE NOT ({CUT_RULE}) AND page % 5 <> 4) x
+GROUP BY kind""")(_broken_pages)
+
 # --------------------------------------------------------------------------- #
 # Landing sink and dry run
 # --------------------------------------------------------------------------- #
@@ -101,12 +123,32 @@ def _state(spark: SparkSession, sf: str) -> DataFrame:
     first = inc.incremental_pull(src, landing, state, select=PULL_SELECT)       # no watermark: everything
     second = inc.incremental_pull(src, landing, state, select=PULL_SELECT)      # nothing newer
     dry = inc.incremental_pull(src, landing, state, select=PULL_SELECT, inclusive=True, dry_run=True)
-    return spark.read.parquet(state).select(
+    return spark.read.parquet(state).agg(F.max("watermark").alias("watermark")).select(
         "watermark", F.lit(first.n_records).cast("bigint").alias("n_first"),
         F.lit(second.n_records).cast("bigint").alias("n_second"),
         F.lit(dry.n_records).cast("bigint").alias("n_inclusive_dry_run"))
 
 
+# Times with microseconds: a second pull finds nothing newer, and the landed text keeps them.
+_MICRO = "ModificationTimestamp + make_dt_interval(0, 0, 0, 0.000001 * (seq % 999983 + 1))"
+
+
+def _micro(spark: SparkSession, sf: str) -> DataFrame:
+    root = scratch_path(spark, "pull-micro")
+    state, landing = f"{root}/_state", f"{root}/landing"
+    src = bronze(spark, sf).select("ListingKey", "seq", F.expr(_MICRO).alias(inc.TS_COL))
+    first = inc.incremental_pull(src, landing, state)
+    second = inc.incremental_pull(src, landing, state)
+    return spark.read.schema(src.schema).json(first.batch_path).agg(
+        F.count(F.lit(1)).alias("n_first"), F.max(inc.TS_COL).alias("watermark"),
+        F.sum(F.date_format(inc.TS_COL, "SSSSSS").cast("bigint")).alias("sum_micros")).withColumn(
+        "n_second", F.lit(second.n_records).cast("bigint"))
+
+
+register("incremental_micros", osql.with_base() + """
+SELECT count(*) AS n_first, max(ModificationTimestamp + to_microseconds(seq % 999983 + 1)) AS watermark,
+  CAST(sum(seq % 999983 + 1) AS BIGINT) AS sum_micros, CAST(0 AS BIGINT) AS n_second FROM fx_bronze""")(_micro)
+
 register("incremental_state", osql.with_base() + """
 SELECT max(ModificationTimestamp) AS watermark, count(*) AS n_first, CAST(0 AS BIGINT) AS n_second,
   CAST(count(*) FILTER (WHERE ModificationTimestamp = (SELECT max(ModificationTimestamp) FROM fx_bronze)) AS BIGINT)
@@ -169,8 +211,44 @@ def _scheduled_run(spark: SparkSession, sf: str) -> DataFrame:
         files.write_landing(b.filter(cond), landing, "listings", label=f"s{i}")
     feeds = [fx.estimate_feed(spark, sf)]
     return run_from_landing(spark, landing, feeds, f"{root}/_checkpoint", f"{root}/bronze",
-                            ns=Namespace(tenant=f"sched_{uuid.uuid4().hex[:8]}"),
+                            estimate_order=fx.ESTIMATE_ORDER, ns=Namespace(tenant=f"sched_{uuid.uuid4().hex[:8]}"),
                             location_root=f"{root}/warehouse")
 
 
 register("scheduled_run_from_landing", osql.gold_ctes() + "\nSELECT * FROM gold")(_scheduled_run)
+
+
+def _listing_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Listings without a key and estimates without parcel, value or source are set aside, none is lost."""
+    from dealscreen.plans.silver import quarantined_estimates, quarantined_listings
+
+    b = bronze(spark, sf).withColumn("ListingKey", F.expr("CASE WHEN seq % 17 <> 0 THEN ListingKey END"))
+    e = fx.estimate_feed(spark, sf).withColumn(
+        "estimate_source", F.expr("CASE WHEN l_orderkey % 19 <> 0 THEN estimate_source END"))
+    return (quarantined_listings(b).select(F.lit("listing").alias("kind"))
+            .union(quarantined_estimates([e]).select(F.lit("estimate"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n")))
+
+
+register("listing_quarantine", osql.with_base() + f"""
+SELECT kind, count(*) AS n FROM (
+  SELECT 'listing' AS kind FROM fx_bronze WHERE seq % 17 = 0
+  UNION ALL
+  SELECT 'estimate' FROM fx_estimates WHERE l_orderkey % 19 = 0 OR {osql.apn('ParcelNumber')} IS NULL
+    OR value_estimate IS NULL OR estimate_source IS NULL) x
+GROUP BY kind""")(_listing_quarantine)
+
+
+def _mls_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The listings' own prices as estimates, latest per parcel, in a feed that has nothing but its own columns."""
+    from dealscreen.plans.silver import mls_list_estimates, silver_value_estimates
+
+    return silver_value_estimates([mls_list_estimates(bronze(spark, sf))])
+
+
+register("mls_list_estimates", osql.with_base() + f"""
+SELECT apn, value_estimate, estimate_source FROM (
+  SELECT {osql.apn('ParcelNumber')} AS apn, ListPrice AS value_estimate, 'mls_list' AS estimate_source,
+    row_number() OVER (PARTITION BY {osql.apn('ParcelNumber')} ORDER BY ModificationTimestamp DESC NULLS LAST,
+      seq DESC NULLS LAST) AS rn
+  FROM fx_bronze WHERE {osql.apn('ParcelNumber')} IS NOT NULL AND ListPrice IS NOT NULL) x
+WHERE rn = 1""")(_mls_list)

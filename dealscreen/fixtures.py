@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 # The adapter expressions over `orders` / `lineitem`.
 BRONZE_EXPRS = [
     "CASE WHEN pid % 51 = 0 THEN NULL WHEN pid % 50 = 0 THEN '  ' "
-    "ELSE concat(' ', lpad(CAST(pid AS STRING), 6, '0'), '-ab ', CAST(pid % 7 AS STRING), ' ') END AS ParcelNumber",
+    "ELSE concat(' ', lpad(CAST(pid AS STRING), CAST(greatest(6, length(CAST(pid AS STRING))) AS INT), '0'), '-ab ', CAST(pid % 7 AS STRING), ' ') END AS ParcelNumber",
     "concat('L', CAST(lid AS STRING)) AS ListingKey",
     "concat(CAST(o_custkey AS STRING), ' Main St') AS UnparsedAddress",
-    "lpad(CAST(o_custkey AS STRING), 5, '0') AS PostalCode",
+    "lpad(CAST(o_custkey AS STRING), CAST(greatest(5, length(CAST(o_custkey AS STRING))) AS INT), '0') AS PostalCode",
     "o_orderpriority AS PropertyType",
     "CASE WHEN o_orderkey % 97 = 0 THEN NULL "
     "ELSE floor(base * (90 + CAST(floor(o_totalprice) AS BIGINT) % 21) / 100) * 1.0E0 END AS ListPrice",
@@ -50,8 +50,7 @@ ESTIMATE_EXPRS = [
     "l.l_suppkey AS l_suppkey",
 ]
 
-# Total orders that make "latest version" deterministic.
-LISTING_ORDER = ["ModificationTimestamp", "seq"]
+# Total order that makes the latest estimate of the adapter deterministic.
 ESTIMATE_ORDER = ["as_of", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 BRONZE_SQL = (
@@ -60,7 +59,7 @@ BRONZE_SQL = (
 )
 ESTIMATES_SQL = (
     "SELECT " + ",\n  ".join(ESTIMATE_EXPRS)
-    + "\nFROM fx_bronze b JOIN lineitem l ON l.l_orderkey = b.seq\nWHERE l.l_linenumber = 1"
+    + "\nFROM fx_bronze b JOIN lineitem l ON l.l_orderkey = b.seq"
 )
 CTES = f"fx_bronze AS (\n{BRONZE_SQL}\n),\nfx_estimates AS (\n{ESTIMATES_SQL}\n)"
 
@@ -82,7 +81,6 @@ def estimate_feed(spark: SparkSession, sf_dir: str, bronze: DataFrame | None = N
     b = (bronze if bronze is not None else bronze_listings(spark, sf_dir)).select("ParcelNumber", "base", "seq").alias("b")
     li = (
         table(spark, sf_dir, "lineitem")
-        .filter("l_linenumber = 1")
         .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_shipdate")
         .alias("l")
     )

@@ -42,6 +42,11 @@ def dedup_latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     )
 
 
+def with_order(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """The order columns of ``df`` by name; typed nulls for those it lacks."""
+    return [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in order]
+
+
 def null_key_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows that cannot be keyed (quarantine side of ``dedup_latest``)."""
     any_null = F.lit(False)

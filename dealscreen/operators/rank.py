@@ -20,7 +20,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from dealscreen.config import ensure_checkpoint_dir, scratch_path
 
@@ -99,23 +98,20 @@ def top_k_deals(screen: DataFrame, k: int = 50) -> DataFrame:
 def load_model(path: str | None):
     """A saved ``pyspark.ml`` PipelineModel, or None when there is none.
 
-    Only a missing model means "no model"; any other failure is raised.
+    Only a path that does not exist means "no model"; any failure to load what
+    is there is raised.
     """
     if not path:
         return None
     from pyspark.ml import PipelineModel
+    from pyspark.sql import SparkSession
 
-    try:
-        return PipelineModel.load(path)
-    except AnalysisException as exc:
-        logger.info("no ranking model at %s (%s); deterministic order", path, exc)
+    spark = SparkSession.active()
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        logger.info("no ranking model at %s; deterministic order", path)
         return None
-    except Exception as exc:  # missing directories surface as JVM input errors
-        text = str(exc)
-        if "does not exist" in text or "InvalidInputException" in text or "PATH_NOT_FOUND" in text:
-            logger.info("no ranking model at %s; deterministic order", path)
-            return None
-        raise
+    return PipelineModel.load(path)
 
 
 def rank(screen: DataFrame, model_path: str | None = None, target: str | None = None,
@@ -126,15 +122,17 @@ def rank(screen: DataFrame, model_path: str | None = None, target: str | None =
     one; if it does not, or there is no model, the deterministic rank is
     kept. The result fully overwrites ``target`` (table) or ``target_path``.
     """
-    base = screen if "rank_score" in screen.columns else rank_deals(screen)
-    model = load_model(model_path)
-    result = base
+    # The model is looked for first: with one, nothing is ranked before it.
+    model, result = load_model(model_path), None
     if model is not None:
-        scored = model.transform(base.drop("rank_score"))
+        columns = screen.columns if "rank_score" in screen.columns else [*screen.columns, "rank_score"]
+        scored = model.transform(screen.drop("rank_score"))
         if "rank_score" in scored.columns:
-            result = scored.select(*[c for c in base.columns])
+            result = scored.select(*columns)
         else:
             logger.warning("ranking model produced no rank_score; deterministic order kept")
+    if result is None:
+        result = screen if "rank_score" in screen.columns else rank_deals(screen)
     if target is not None:
         result.write.mode("overwrite").saveAsTable(target)
         return result.sparkSession.read.table(target)

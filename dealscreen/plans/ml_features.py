@@ -12,12 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealscreen.config import Assumptions
-from dealscreen.fixtures import LISTING_ORDER
 from dealscreen.functions import deal_math as dm
 from dealscreen.functions.text import apn_key
 from dealscreen.operators.dedup import dedup_latest
 from dealscreen.operators.screen import join_values
-from dealscreen.schemas import BRONZE_SCHEMA, ML_ALL_COLS, ML_TARGET_COL, conform
+from dealscreen.schemas import BRONZE_SCHEMA, LISTING_ORDER, ML_ALL_COLS, ML_TARGET_COL, conform
 
 
 def ml_features(bronze: DataFrame, values: DataFrame, a: Assumptions | None = None,

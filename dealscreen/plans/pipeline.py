@@ -16,9 +16,10 @@ from dealscreen.config import Assumptions, Namespace, ensure_namespace
 from dealscreen.operators.rank import rank
 from dealscreen.plans.gold import gold_deal_screen, gold_value_triangulation
 from dealscreen.plans.ml_features import ml_features
-from dealscreen.plans.silver import silver_listings, silver_value_estimates
-from dealscreen.schemas import (GOLD_DEAL_SCREEN_COLS, GOLD_TRIANGULATION_COLS, ML_ALL_COLS, SILVER_LISTINGS_COLS,
-                                SILVER_VALUE_ESTIMATES_COLS, assert_schema)
+from dealscreen.plans.silver import (quarantined_estimates, quarantined_listings, silver_listings,
+                                     silver_value_estimates)
+from dealscreen.schemas import (ESTIMATE_ORDER, GOLD_DEAL_SCREEN_COLS, GOLD_TRIANGULATION_COLS, LISTING_ORDER, ML_ALL_COLS,
+                                SILVER_LISTINGS_COLS, SILVER_VALUE_ESTIMATES_COLS, assert_schema)
 
 
 @dataclass(frozen=True)
@@ -30,12 +31,16 @@ class PipelineTables:
     gold_value_triangulation: str
     gold_deal_screen: str
     gold_ranked: str
+    quarantine_listings: str
+    quarantine_estimates: str
+    quarantine_lines: str
 
     @classmethod
     def licensed(cls, ns: Namespace) -> "PipelineTables":
         return cls(*(ns.licensed(t) for t in (
             "bronze_listings", "silver_listings", "silver_value_estimates", "silver_ml_features",
-            "gold_value_triangulation", "gold_deal_screen", "gold_ranked")))
+            "gold_value_triangulation", "gold_deal_screen", "gold_ranked", "quarantine_listings",
+            "quarantine_estimates", "quarantine_lines")))
 
 
 def _overwrite(df: DataFrame, table: str) -> DataFrame:
@@ -45,31 +50,46 @@ def _overwrite(df: DataFrame, table: str) -> DataFrame:
 
 def run_pipeline(spark: SparkSession, bronze: DataFrame, estimate_feeds: Sequence[DataFrame],
                  ns: Namespace | None = None, a: Assumptions | None = None, method: str = "exact",
-                 model_path: str | None = None, location_root: str | None = None) -> DataFrame:
-    """Run every layer in order and return the ranked gold table."""
+                 model_path: str | None = None, location_root: str | None = None,
+                 listing_order: Sequence[str] = tuple(LISTING_ORDER),
+                 estimate_order: Sequence[str] = tuple(ESTIMATE_ORDER), bronze_written: bool = False) -> DataFrame:
+    """Run every layer in order and return the ranked gold table.
+
+    Listings without a key and estimates without parcel, value or source are
+    written to quarantine tables. With ``bronze_written`` the bronze rows are
+    already durable (the stream's table) and are read where they are.
+    """
     ns = ns or Namespace.from_spark(spark)
     a = a or Assumptions.from_spark(spark)
     ensure_namespace(spark, ns, location_root)
     t = PipelineTables.licensed(ns)
 
-    b = _overwrite(bronze, t.bronze)
-    listings = _overwrite(assert_schema(silver_listings(b), SILVER_LISTINGS_COLS), t.silver_listings)
-    estimates = _overwrite(assert_schema(silver_value_estimates(list(estimate_feeds)), SILVER_VALUE_ESTIMATES_COLS),
-                           t.silver_value_estimates)
+    b = bronze if bronze_written else _overwrite(bronze, t.bronze)
+    _overwrite(quarantined_listings(b), t.quarantine_listings)
+    _overwrite(quarantined_estimates(list(estimate_feeds)), t.quarantine_estimates)
+    listings = _overwrite(assert_schema(silver_listings(b, listing_order), SILVER_LISTINGS_COLS), t.silver_listings)
+    estimates = _overwrite(assert_schema(silver_value_estimates(list(estimate_feeds), estimate_order),
+                                         SILVER_VALUE_ESTIMATES_COLS), t.silver_value_estimates)
     values = _overwrite(assert_schema(gold_value_triangulation(estimates, method, a), GOLD_TRIANGULATION_COLS),
                         t.gold_value_triangulation)
-    _overwrite(assert_schema(ml_features(b, values, a), ML_ALL_COLS), t.silver_ml_features)
+    _overwrite(assert_schema(ml_features(b, values, a, tuple(listing_order)), ML_ALL_COLS), t.silver_ml_features)
     screen = _overwrite(assert_schema(gold_deal_screen(listings, values, a), GOLD_DEAL_SCREEN_COLS), t.gold_deal_screen)
     return rank(screen, model_path=model_path, target=t.gold_ranked)
 
 
 def run_from_landing(spark: SparkSession, landing: str, estimate_feeds: Sequence[DataFrame], checkpoint: str,
-                     bronze_path: str, **kw) -> DataFrame:
+                     bronze_path: str, max_files_per_trigger: int | None = None, **kw) -> DataFrame:
     """Scheduled run: drain new landing files into bronze (stream, exactly once
-    per file), then recompute every batch layer from the whole bronze table."""
-    from dealscreen.sources.files import good_rows
+    per file), then recompute every batch layer from the whole bronze table.
+
+    Bronze is written once, by the stream; lines that did not parse go to the
+    ``quarantine_lines`` table.
+    """
+    from dealscreen.sources.files import good_rows, quarantine
     from dealscreen.streaming.bronze import run_bronze
 
-    run_bronze(spark, landing, checkpoint, target_path=bronze_path)
-    bronze = good_rows(spark.read.parquet(bronze_path))
-    return run_pipeline(spark, bronze, estimate_feeds, **kw)
+    run_bronze(spark, landing, checkpoint, target_path=bronze_path, max_files_per_trigger=max_files_per_trigger)
+    bronze = spark.read.parquet(bronze_path)
+    ranked = run_pipeline(spark, good_rows(bronze), estimate_feeds, bronze_written=True, **kw)
+    _overwrite(quarantine(bronze), PipelineTables.licensed(kw.get("ns") or Namespace.from_spark(spark)).quarantine_lines)
+    return ranked

@@ -13,10 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealscreen.fixtures import ESTIMATE_ORDER, LISTING_ORDER
 from dealscreen.functions.text import apn_key
-from dealscreen.operators.dedup import dedup_latest, null_key_rows
-from dealscreen.schemas import SILVER_LISTINGS_COLS, SILVER_VALUE_ESTIMATES_COLS
+from dealscreen.operators.dedup import dedup_latest, null_key_rows, with_order
+from dealscreen.schemas import (ESTIMATE_ORDER, LISTING_ORDER, SILVER_LISTINGS_COLS,
+                                SILVER_VALUE_ESTIMATES_COLS)
 
 
 def silver_listings(bronze: DataFrame, order: Sequence[str] = tuple(LISTING_ORDER)) -> DataFrame:
@@ -32,9 +32,10 @@ def silver_listings(bronze: DataFrame, order: Sequence[str] = tuple(LISTING_ORDE
         F.col("TaxAnnualAmount").cast("double").alias("annual_property_tax"),
         hoa.cast("double").alias("monthly_hoa"),
         F.coalesce(hoa > 0, F.lit(False)).alias("has_hoa"),
-        *[F.col(c) for c in order],
+        *with_order(bronze, order),
     )
-    return dedup_latest(renamed, ["listing_key"], list(order)).select(*SILVER_LISTINGS_COLS)
+    ties = [c for c in SILVER_LISTINGS_COLS if c != "listing_key"]
+    return dedup_latest(renamed, ["listing_key"], [*order, *ties]).select(*SILVER_LISTINGS_COLS)
 
 
 def quarantined_listings(bronze: DataFrame) -> DataFrame:
@@ -45,15 +46,17 @@ def quarantined_listings(bronze: DataFrame) -> DataFrame:
 def silver_value_estimates(feeds: Sequence[DataFrame], order: Sequence[str] = tuple(ESTIMATE_ORDER)) -> DataFrame:
     """Union of estimate feeds -> latest estimate per (apn, estimate_source).
 
-    Each feed holds ParcelNumber, value_estimate, estimate_source and the
-    ``order`` columns. Rows without a parcel or a value are dropped.
+    Each feed holds ParcelNumber, value_estimate, estimate_source and, where
+    it has them, the ``order`` columns; what ties on these is decided by the
+    value. Rows without a parcel, value or source are set aside
+    (``quarantined_estimates``).
     """
     parts = [
         f.select(
             apn_key("ParcelNumber").alias("apn"),
             F.col("value_estimate").cast("double").alias("value_estimate"),
             F.col("estimate_source").cast("string").alias("estimate_source"),
-            *[F.col(c) for c in order],
+            *with_order(f, order),
         )
         for f in feeds
     ]
@@ -61,4 +64,31 @@ def silver_value_estimates(feeds: Sequence[DataFrame], order: Sequence[str] = tu
     for p in parts[1:]:
         unioned = unioned.unionByName(p)
     cleaned = unioned.filter(F.col("apn").isNotNull() & F.col("value_estimate").isNotNull())
-    return dedup_latest(cleaned, ["apn", "estimate_source"], list(order)).select(*SILVER_VALUE_ESTIMATES_COLS)
+    return dedup_latest(cleaned, ["apn", "estimate_source"], [*order, "value_estimate"]).select(*SILVER_VALUE_ESTIMATES_COLS)
+
+
+def quarantined_estimates(feeds: Sequence[DataFrame]) -> DataFrame:
+    """Estimate rows that lack a parcel, a value or a source, as they came."""
+    cols = ["ParcelNumber", "value_estimate", "estimate_source"]
+    parts = [f.select(F.col(cols[0]).cast("string"), F.col(cols[1]).cast("double"), F.col(cols[2]).cast("string")) for f in feeds]
+    unioned = parts[0]
+    for p in parts[1:]:
+        unioned = unioned.unionByName(p)
+    return unioned.filter(apn_key(cols[0]).isNull() | F.col(cols[1]).isNull() | F.col(cols[2]).isNull())
+
+
+def mls_list_estimates(bronze: DataFrame, order: Sequence[str] = tuple(LISTING_ORDER)) -> DataFrame:
+    """The listings' own prices as an estimate feed (source ``mls_list``), one per listing version."""
+    return bronze.select("ParcelNumber", F.col("ListPrice").cast("double").alias("value_estimate"),
+                         F.lit("mls_list").alias("estimate_source"),
+                         F.col("ModificationTimestamp").alias("as_of") if "ModificationTimestamp" in bronze.columns
+                         else F.lit(None).cast("timestamp_ntz").alias("as_of"),
+                         *[F.col(c) for c in ("seq",) if c in bronze.columns])
+
+
+def own_estimates(bronze: DataFrame) -> DataFrame:
+    """Estimates that listing rows carry themselves (portal feeds), with their own source label."""
+    return bronze.where(F.col("value_estimate").isNotNull()).select(
+        "ParcelNumber", F.col("value_estimate").cast("double").alias("value_estimate"), "estimate_source",
+        *[F.col(c).alias("as_of") for c in ("ModificationTimestamp",) if c in bronze.columns],
+        *[F.col(c) for c in ("seq",) if c in bronze.columns])

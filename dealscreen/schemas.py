@@ -45,6 +45,11 @@ PORTAL_BRONZE_KEYS = [
 ]
 PORTAL_SCHEMA = _struct(*PORTAL_RECORD_FIELDS, *PORTAL_BRONZE_KEYS)
 
+# Orders of the latest version of a listing and the latest estimate of a source (descending, nulls last). Columns that a
+# feed lacks count as null; what then ties is decided by the values, so that the survivor never depends on timing.
+LISTING_ORDER = ["ModificationTimestamp", "seq"]
+ESTIMATE_ORDER = ["as_of", "seq"]
+
 SILVER_LISTINGS_COLS = [
     "apn", "listing_key", "address", "postal_code", "property_type", "list_price",
     "annual_property_tax", "monthly_hoa", "has_hoa",

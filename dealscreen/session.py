@@ -45,7 +45,7 @@ def cluster_conf(input_bytes: int, executor_cores: int = 4, executor_memory_gb:
     never sets them itself.
     """
     target = 256 * 1024 * 1024
-    parts = max(200, min(100_000, -(-int(input_bytes) // target)))
+    parts = max(200, -(-int(input_bytes) // target))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -12,12 +12,15 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dealscreen.schemas import BRONZE_READ_SCHEMA, CORRUPT_COL
 
+#: JSON text keeps every microsecond (the writers' default formats cut to milliseconds).
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 # Envelope keys of a paged result.
 PAGE_VALUE_KEY = "value"
 PAGE_NEXT_LINK_KEY = "@odata.nextLink"
@@ -61,13 +64,22 @@ def envelope_schema(record_schema: T.StructType) -> T.StructType:
 def flatten_envelopes(pages: DataFrame, record_schema: T.StructType, text_col: str = "body") -> DataFrame:
     """Envelope text rows ``{"value": [...], "@odata.nextLink": ...}`` -> one row per record.
 
-    A page without ``value`` contributes nothing. Each page is a row, so the
-    concatenation of all pages is just the union of their records.
+    A page without ``value`` contributes nothing; one that does not parse is
+    in ``quarantined_envelopes``. Each page is a row, so the concatenation of
+    all pages is just the union of their records.
     """
     env = F.from_json(F.col(text_col), envelope_schema(record_schema))
     return pages.select(F.inline(F.coalesce(env[PAGE_VALUE_KEY], F.array().cast(T.ArrayType(record_schema)))))
 
 
+def quarantined_envelopes(pages: DataFrame, record_schema: T.StructType, text_col: str = "body") -> DataFrame:
+    """The text of the pages that are no JSON of the envelope's shape."""
+    schema = T.StructType([*envelope_schema(record_schema).fields, T.StructField(CORRUPT_COL, T.StringType(), True)])
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL}
+    return (pages.select(F.from_json(F.col(text_col), schema, opts)[CORRUPT_COL].alias(CORRUPT_COL))
+            .filter(F.col(CORRUPT_COL).isNotNull()))
+
+
 def read_page_envelopes(spark: SparkSession, path: str, record_schema: T.StructType,
                         multiline: bool = False) -> DataFrame:
     """Saved result pages (one envelope per line, or one per file with ``multiline``)."""
@@ -86,7 +98,7 @@ def write_landing(df: DataFrame, landing: str, prefix: str = "listings", label:
 
     Returns a one-row DataFrame ``n_records`` (bigint). With ``dry_run`` the
     rows are only counted: nothing is written. The count of a real write is
-    read back from the written batch, so the source is computed once.
+    observed while it is written.
     """
     if dry_run:
         return df.agg(F.count(F.lit(1)).alias("n_records"))
@@ -94,8 +106,10 @@ def write_landing(df: DataFrame, landing: str, prefix: str = "listings", label:
     if label is None:
         label = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
     path = batch_dir(landing, prefix, label)
-    df.write.mode("append").option("ignoreNullFields", "false").json(path)
-    return spark.read.text(path).agg(F.count(F.lit(1)).alias("n_records"))
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n_records")).write.mode("append").option(
+        "ignoreNullFields", "false").options(**JSON_TIMES).json(path)
+    return spark.createDataFrame([(int(seen.get["n_records"]),)], "n_records bigint")
 
 
 def write_portal_batch(df: DataFrame, landing: str, dry_run: bool = False) -> DataFrame:

@@ -1,6 +1,6 @@
 """Incremental pulls: only records modified after the stored high-water mark.
 
-The state is a one-row table (``watermark``) in a shared folder. A pull
+The state is a table of marks in a shared folder, of which the largest counts. A pull
 filters the source on ``ModificationTimestamp`` (pushed into the scan for
 parquet sources), appends the new records to the landing folder as a JSON-lines batch, and only
 then advances the watermark to the largest modification time actually
@@ -13,10 +13,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from dealscreen.sources.files import batch_dir
+from dealscreen.sources.files import JSON_TIMES, batch_dir
 
 TS_COL = "ModificationTimestamp"
 
@@ -44,8 +44,9 @@ def read_watermark(spark: SparkSession, state_path: str):
 
 
 def write_watermark(spark: SparkSession, state_path: str, watermark) -> None:
+    """Append a mark; the largest one counts, so a crash never leaves the state without its mark."""
     spark.createDataFrame([(watermark,)], "watermark timestamp_ntz").coalesce(1) \
-        .write.mode("overwrite").parquet(state_path)
+        .write.mode("append").parquet(state_path)
 
 
 def _ts_literal(value, dtype: str):
@@ -95,13 +96,16 @@ def incremental_pull(source: DataFrame, landing: str, state_path: str, select: S
         n = new.count()
         return PullResult(n, since, None)
     path = batch_dir(landing, prefix, "pull")
-    new.write.mode("append").option("ignoreNullFields", "false").json(path)
-    landed = spark.read.schema(new.schema).json(path)
     has_ts = ts_col in new.columns
-    stats = landed.agg(F.count(F.lit(1)).alias("n"),
-                       (F.max(ts_col) if has_ts else F.lit(None)).alias("w")).first()
-    if stats["n"] == 0:
-        return PullResult(0, since, path)
-    wm = stats["w"] if has_ts else started
-    write_watermark(spark, state_path, wm)
-    return PullResult(int(stats["n"]), wm, path)
+    # Number and largest time are those of the rows as they are written, not of their text.
+    seen = Observation()
+    largest = F.max(F.col(ts_col).cast("timestamp_ntz")) if has_ts else F.max(F.lit(None).cast("timestamp_ntz"))
+    new.observe(seen, F.count(F.lit(1)).alias("n"), largest.cast("string").alias("w")).write.mode("append").option(
+        "ignoreNullFields", "false").options(**JSON_TIMES).json(path)
+    n, largest = int(seen.get["n"]), seen.get["w"]
+    if n == 0:
+        return PullResult(0, since, None)
+    wm = (dt.datetime.fromisoformat(largest) if largest else since) if has_ts else started
+    if wm is not None:
+        write_watermark(spark, state_path, wm)
+    return PullResult(n, wm, path)

@@ -24,8 +24,8 @@ def read_bronze_stream(spark: SparkSession, landing: str, schema: T.StructType =
     reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(int(max_files_per_trigger)))
-    # Each batch is a folder below the landing root.
-    lines = reader.text(f"{landing.rstrip('/')}/*")
+    # Every file below the landing root, at any depth, as the batch read sees it.
+    lines = reader.option("recursiveFileLookup", "true").text(landing)
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL}
     return (
         lines.filter(F.trim(F.col("value")) != "")
@@ -34,16 +34,27 @@ def read_bronze_stream(spark: SparkSession, landing: str, schema: T.StructType =
     )
 
 
+def _committed(spark: SparkSession, checkpoint: str) -> int:
+    """The next micro-batch's number by the checkpoint's commit log."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/commits")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    names = [f.getPath().getName() for f in fs.listStatus(path)]
+    return max((int(n) + 1 for n in names if n.isdigit()), default=0)
+
+
 def run_bronze(spark: SparkSession, landing: str, checkpoint: str, target_path: str | None = None,
-               table: str | None = None, schema: T.StructType = BRONZE_READ_SCHEMA) -> int:
+               table: str | None = None, schema: T.StructType = BRONZE_READ_SCHEMA,
+               max_files_per_trigger: int | None = None) -> int:
     """Drain the landing folder into the bronze sink (parquet path or table).
 
-    Returns the number of micro-batches that carried data.
+    Returns the number of micro-batches that this call committed.
     """
-    stream = read_bronze_stream(spark, landing, schema)
+    before = _committed(spark, checkpoint)
+    stream = read_bronze_stream(spark, landing, schema, max_files_per_trigger)
     writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint) \
         .outputMode("append").trigger(availableNow=True)
     q = writer.toTable(table) if table else writer.start(target_path)
     q.awaitTermination()
-    progress = q.recentProgress
-    return sum(1 for p in progress if p.get("numInputRows", 0) > 0)
+    return _committed(spark, checkpoint) - before

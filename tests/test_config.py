@@ -55,6 +55,6 @@ def test_cluster_conf_scales_with_input():
     small = cluster_conf(10 * 1024**3)
     big = cluster_conf(100 * 1024**4)
     assert int(small["spark.sql.shuffle.partitions"]) == 200
-    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(big["spark.sql.shuffle.partitions"]) == 100 * 1024**4 // (256 * 1024**2)
     assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
     assert big["spark.sql.session.timeZone"] == "UTC"
