@@ -1,18 +1,20 @@
 """Token ids of all documents in training order: fixed-stride shards for sequential, resumable reads.
 
-Documents become byte-level BPE ids, each ended by ``END``, cut into sequences of ``SEQ_LEN`` ids (the last one filled up
-with END; the sequence knows its length). The N sequences are numbered as they are stored after encoding, and a keyed Feistel network over the next even power of two, walked along its cycle until below N, gives each
-number its slot in the training order: a permutation, known from key and N alone in both directions. Slots are range
-partitioned into shards of ``SHARD`` records; a record is ``HEADER`` bytes (doc_id, number in the document, length) and
-SEQ_LEN 16-bit ids, so slot s is at byte s % SHARD * STRIDE of shard s // SHARD: reads are sequential and resume anywhere.
-
-Steps: one pass encodes and writes the sequences to the shared folder; the driver
-sees one count per written part (never rows), which gives every part its first number; the second pass permutes, shuffles
-each sequence once to its shard's task and writes the shard under a temporary name, then renames it, so that repeated or
-speculative tasks leave the same file.
-
-Defined cases: null texts have no sequences, empty ones have one (only END); ids of repeated rows repeat; null doc_ids are
-stored as -1; no documents give no shards.
+Documents become byte-level BPE ids, each ended by ``END``, one after the other in a stream per input partition that is cut
+into sequences of ``SEQ_LEN`` ids (only a partition's last one is filled up with END; it knows its length). The N sequences
+are numbered as they are stored after encoding, and a keyed Feistel network over the next even power of two, walked along
+its cycle until below N, gives each number its slot in the training order: a permutation, known from key and N alone in both
+directions. Slots are range partitioned into shards of ``SHARD`` records; a record is ``HEADER`` bytes (doc_id of its first
+id, that id's place in the document, length) and SEQ_LEN 16-bit ids, so slot s is at byte s % SHARD * STRIDE of shard
+s // SHARD: reads are sequential and resume anywhere.
+
+Steps: one pass encodes and writes the sequences to the shared folder; the driver sees one count per written part (never
+rows), which gives every part its first number; the second pass permutes, shuffles each sequence once to its shard's task
+(a batch's records for a shard compressed together) and writes the shard under a temporary name, then renames it, so that
+repeated or speculative tasks leave the same file.
+
+Defined cases: null texts are left out, empty ones are only their END; repeated rows are encoded as often as they occur;
+null doc_ids are stored as -1; no documents give no shards.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealscreen.llm.common import chunks, mix, read, scratch_dir
+from dealscreen.llm.common import chunks, mix, pack, read, scratch_dir, unpack
 
 RANKS, PATTERN = "/opt/tokenizers/byte_bpe_50k.tiktoken", (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")  # fixed: splits text before merges
@@ -57,32 +59,53 @@ def encode(texts: pa.Array, path: str = RANKS) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sequences(docs: DataFrame, seq_len: int = SEQ_LEN, path: str = RANKS) -> DataFrame:
-    """doc_id, seq (number in the document), n_ids and ids (16-bit, filled up to seq_len with END) of every sequence."""
+    """doc_ids (of the documents it has ids of), offset (its first id's place in the first of them), n_ids and ids."""
+    def cut(stream, starts, docs_, last):
+        """Full sequences (with last also the rest) of the stream; starts: where each document begins in it."""
+        n = -(-len(stream) // seq_len) if last else len(stream) // seq_len
+        used = min(n * seq_len, len(stream))
+        block = np.full(n * seq_len, END, np.uint16)
+        block[:used] = stream[:used]
+        begin = np.arange(n) * seq_len
+        size = np.minimum(seq_len, len(stream) - begin)
+        first = np.searchsorted(starts, begin, side="right") - 1
+        final = np.searchsorted(starts, begin + size - 1, side="right") - 1
+        batch = None
+        if n:
+            many = final - first + 1
+            at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()),
+                                             pa.array(docs_[at], pa.int64()))
+            batch = pa.RecordBatch.from_arrays(
+                [lists, pa.array(begin - starts[first], pa.int64()), pa.array(size, pa.int64()),
+                 _fixed(block.view(np.uint8).reshape(n, 2 * seq_len))], names=["doc_ids", "offset", "n_ids", "ids"])
+        keep = max(np.searchsorted(starts, used, side="right") - 1, 0)
+        return batch, (stream[used:], starts[keep:] - used, docs_[keep:])
+
     def run(batches):
+        stream, starts, docs_ = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
         for b in chunks(batches):
             b = b.filter(pc.is_valid(b.column("text")))
             if not b.num_rows:
                 continue
             ids, offsets = encode(b.column("text"), path)
-            n = np.diff(offsets) + 1
-            count = -(-n // seq_len)
-            block = np.full((int(count.sum()), seq_len), END, np.uint16)
-            first = (np.cumsum(count) - count) * seq_len
-            at = np.arange(len(ids)) - np.repeat(offsets[:-1], n - 1) + np.repeat(first, n - 1)
-            block.reshape(-1)[at] = ids
-            seq = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            size = np.minimum(seq_len, np.repeat(n, count) - seq * seq_len)
-            row = np.repeat(np.arange(b.num_rows), count)
-            step = 1 << 14
-            for i in range(0, len(seq), step):
-                part = block[i:i + step]
-                stored = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(
-                    (np.arange(len(part) + 1, dtype=np.int32) * 2 * seq_len).tobytes()), pa.py_buffer(part.tobytes())])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(row[i:i + step])).cast(pa.int64()), pa.array(seq[i:i + step], pa.int64()),
-                     pa.array(size[i:i + step], pa.int64()), stored], names=["doc_id", "seq", "n_ids", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, seq long, n_ids long, ids binary")
+            ended = np.full(len(ids) + b.num_rows, END, np.uint16)
+            ended[np.arange(len(ids)) + np.repeat(np.arange(b.num_rows), np.diff(offsets))] = ids
+            starts = np.concatenate([starts, len(stream) + offsets[:-1] + np.arange(b.num_rows)])
+            docs_ = np.concatenate([docs_, pc.fill_null(b.column("doc_id").cast(pa.int64()), -1).to_numpy()])
+            out, (stream, starts, docs_) = cut(np.concatenate([stream, ended]), starts, docs_, False)
+            if out is not None:
+                yield out
+        if len(stream):
+            yield cut(stream, starts, docs_, True)[0]
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_ids array<long>, offset long, n_ids long, ids binary")
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """Equally long byte rows as a binary array."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
 
 
 class Order:
@@ -116,21 +139,20 @@ class Order:
         return self._walk(slots, self.keys[::-1])
 
 
-def write_shard(uri: str, shard: int, slots: np.ndarray, records: list[bytes]) -> str:
+def write_shard(uri: str, shard: int, records: np.ndarray) -> str:
     """Records in slot order as one file; written aside and renamed, so that a repeated task is harmless."""
     fs, root = pafs.FileSystem.from_uri(uri)
     fs.create_dir(root, recursive=True)
     name = f"{root}/shard-{shard:08d}.bin"
     aside = f"{root}/.shard-{shard:08d}.{uuid.uuid4().hex}"
     with fs.open_output_stream(aside) as out:
-        for i in np.argsort(slots).tolist():
-            out.write(records[i])
+        out.write(records.tobytes())
     fs.move(aside, name)
     return name
 
 
 def read_records(uri: str, slot: int, count: int, shard: int = SHARD, seq_len: int = SEQ_LEN) -> list[tuple]:
-    """(doc_id, seq, ids) of ``count`` slots from ``slot`` on: resumable sequential reads by place alone."""
+    """(doc_id, offset, ids) of ``count`` slots from ``slot`` on: resumable sequential reads by place alone."""
     fs, root = pafs.FileSystem.from_uri(uri)
     out, stride = [], HEADER + 2 * seq_len
     while count > 0:
@@ -138,8 +160,8 @@ def read_records(uri: str, slot: int, count: int, shard: int = SHARD, seq_len: i
         with fs.open_input_file(f"{root}/shard-{slot // shard:08d}.bin") as f:
             data = f.read_at(here * stride, slot % shard * stride)
         for i in range(len(data) // stride):
-            doc, seq, n = struct.unpack_from("<qii", data, i * stride)
-            out.append((doc, seq, np.frombuffer(data, "<u2", n, i * stride + HEADER)))
+            doc, offset, n = struct.unpack_from("<qii", data, i * stride)
+            out.append((doc, offset, np.frombuffer(data, "<u2", n, i * stride + HEADER)))
         if len(data) < here * stride:
             break
         slot, count = slot + here, count - here
@@ -148,8 +170,8 @@ def read_records(uri: str, slot: int, count: int, shard: int = SHARD, seq_len: i
 
 def training_order(docs: DataFrame, uri: str, seq_len: int = SEQ_LEN, shard: int = SHARD, key: str = KEY,
                    path: str = RANKS) -> DataFrame:
-    """slot, shard, byte_offset, doc_id, seq, n_ids and ids_hash of every sequence; the shards are written under uri."""
-    spark = docs.sparkSession
+    """One row per sequence: slot, shard, byte_offset, doc_ids, offset, n_ids, ids_sha256; the shards are under uri."""
+    spark, stride = docs.sparkSession, HEADER + 2 * seq_len
     held = scratch_dir(spark)
     sequences(docs, seq_len, path).write.option("compression", "zstd").parquet(held)
     stored = spark.read.parquet(held).withColumn("file", F.col("_metadata.file_name")).withColumn(
@@ -169,34 +191,49 @@ def training_order(docs: DataFrame, uri: str, seq_len: int = SEQ_LEN, shard: int
             d = b.column("file").dictionary_encode()
             base = np.array([first[x] for x in d.dictionary.to_pylist()], np.int64)[d.indices.to_numpy()]
             slots = order.slots(base + b.column("at").to_numpy()).astype(np.int64)
-            doc = pc.fill_null(b.column("doc_id"), -1).to_numpy()
+            docs_ = b.column("doc_ids")
+            many = pc.list_value_length(docs_).to_numpy().astype(np.int64)
+            flat = docs_.flatten().to_numpy()
+            starts = np.cumsum(many) - many
             head = np.empty((b.num_rows, 2), "<i8")
-            head[:, 0] = doc
-            head[:, 1] = b.column("seq").to_numpy() | (b.column("n_ids").to_numpy() << 32)
+            head[:, 0] = flat[starts]
+            head[:, 1] = b.column("offset").to_numpy() | (b.column("n_ids").to_numpy() << 32)
             ids = np.stack([np.frombuffer(x, np.uint8) for x in b.column("ids").to_pylist()])
             records = np.concatenate([head.view(np.uint8).reshape(b.num_rows, HEADER), ids], axis=1)
-            stored = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(
-                (np.arange(b.num_rows + 1, dtype=np.int32) * records.shape[1]).tobytes()), pa.py_buffer(records.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(slots // shard), pa.array(slots), stored],
-                                             names=["shard", "slot", "record"])
+            by = np.argsort(slots, kind="stable")
+            cuts = np.flatnonzero(np.diff(slots[by] // shard)) + 1
+            rows = []
+            for own in np.split(by, cuts):
+                listed = np.concatenate([flat[starts[i]:starts[i] + many[i]] for i in own.tolist()])
+                rows.append((int(slots[own[0]] // shard), pack(slots[own]), pack(records[own].reshape(-1).view("<u2")),
+                             pack(many[own]), pack(listed)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4)]],
+                names=["shard", "slots", "records", "many", "docs"])
 
     def write(table: pa.Table) -> pa.Table:
         number = table["shard"][0].as_py()
-        slots, records = table["slot"].to_numpy(), table["record"].to_pylist()
-        write_shard(uri, number, slots, records)
-        heads = [struct.unpack_from("<qii", r) for r in records]
+        slots = np.concatenate([unpack(x, np.int64) for x in table["slots"].to_pylist()])
+        records = np.concatenate([unpack(x, "<u2").view(np.uint8).reshape(-1, stride) for x in table["records"].to_pylist()])
+        many = np.concatenate([unpack(x, np.int64) for x in table["many"].to_pylist()])
+        docs_ = np.concatenate([unpack(x, np.int64) for x in table["docs"].to_pylist()])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(docs_))
+        by = np.argsort(slots)
+        slots, records, lists = slots[by], records[by], lists.take(pa.array(by))
+        write_shard(uri, number, records)
+        head = np.ascontiguousarray(records[:, 8:HEADER]).view("<i4")
         return pa.table({
-            "slot": slots, "shard": np.full(len(slots), number), "byte_offset": slots % shard * (HEADER + 2 * seq_len),
-            "doc_id": pa.array([h[0] if h[0] >= 0 else None for h in heads], pa.int64()),
-            "seq": pa.array([h[1] for h in heads], pa.int64()), "n_ids": pa.array([h[2] for h in heads], pa.int64()),
-            "ids_sha256": [hashlib.sha256(r[HEADER:HEADER + 2 * h[2]]).hexdigest() for r, h in zip(records, heads)]})
+            "slot": slots, "shard": np.full(len(slots), number), "byte_offset": slots % shard * stride, "doc_ids": lists,
+            "offset": head[:, 0].astype(np.int64), "n_ids": head[:, 1].astype(np.int64),
+            "ids_sha256": [hashlib.sha256(r[HEADER:HEADER + 2 * k].tobytes()).hexdigest()
+                           for r, k in zip(records, head[:, 1].tolist())]})
 
-    placed = stored.select("file", "at", "doc_id", "seq", "n_ids", "ids").mapInArrow(
-        place, "shard long, slot long, record binary")
+    placed = stored.select("file", "at", "doc_ids", "offset", "n_ids", "ids").mapInArrow(
+        place, "shard long, slots binary, records binary, many binary, docs binary")
     return placed.groupBy("shard").applyInArrow(write, _SCHEMA)
 
 
-_SCHEMA = "slot long, shard long, byte_offset long, doc_id long, seq long, n_ids long, ids_sha256 string"
+_SCHEMA = "slot long, shard long, byte_offset long, doc_ids array<long>, offset long, n_ids long, ids_sha256 string"
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

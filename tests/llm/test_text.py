@@ -256,14 +256,25 @@ def test_training_order_round_trip(spark, docs, texts):
     assert sorted(r.slot for r in out) == list(range(len(out)))
     records = training_order.read_records(uri, 0, len(out), shard=50, seq_len=64)
     enc = training_order.encoding(training_order.RANKS)
+    # Put the streams together again: by document, each id at its place.
     got, want = Counter(), Counter()
-    for doc, seq, ids in records:
-        got[doc, seq, tuple(ids.tolist())] += 1
+    by_slot = {r.slot: r for r in out}
+    held = defaultdict(list)
+    for slot, (doc, offset, ids) in enumerate(records):
+        r = by_slot[slot]
+        assert (r.shard, r.byte_offset) == (slot // 50, slot % 50 * (16 + 128)) and r.doc_ids[0] == doc and r.offset == offset
+        place, at = offset, 0
+        for x in ids.tolist():
+            held[r.doc_ids[at]].append((place, x))
+            place += 1
+            if x == training_order.END:
+                at, place = at + 1, 0
+        assert at in (len(r.doc_ids), len(r.doc_ids) - 1)
+    for doc, ids in held.items():
+        got.update((doc, *i) for i in ids)
     for d, t in texts:
         if t is not None:
-            ids = [*enc.encode_ordinary(t), training_order.END]
-            for s in range(0, len(ids), 64):
-                want[-1 if d is None else d, s // 64, tuple(ids[s:s + 64])] += 1
+            want.update((-1 if d is None else d, *i) for i in enumerate([*enc.encode_ordinary(t), training_order.END]))
     assert got == want
     assert [x[:2] for x in training_order.read_records(uri, 47, 9, shard=50, seq_len=64)] == [x[:2] for x in records[47:56]]
 
