@@ -50,6 +50,14 @@ ESTIMATE_EXPRS = [
     "l.l_suppkey AS l_suppkey",
 ]
 
+# A listing's own estimate, missing for every fourth version (for the feature table's label).
+OWN_ESTIMATE = "CASE WHEN seq % 4 = 0 THEN NULL ELSE floor(base * (80 + seq % 60) / 100) * 1.0E0 END"
+
+# Some of the provided pages as portals show them to robots: an error title, a captcha title, a captcha element.
+BLOCKED_PAGES_SQL = """(SELECT page_id, CASE WHEN page_id % 9 = 5 THEN replace(html, '<title>', '<title>ERROR ')
+  WHEN page_id % 11 = 3 THEN replace(html, '<title>', '<title>Captcha ')
+  WHEN page_id % 13 = 4 THEN replace(html, '<body>', '<body><div id="captcha"></div>') ELSE html END AS html FROM pages)"""
+
 # Total order that makes the latest estimate of the adapter deterministic.
 ESTIMATE_ORDER = ["as_of", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 

@@ -8,7 +8,7 @@ double literals, so the arithmetic order and constants equal the Spark plan.
 from __future__ import annotations
 
 from dealscreen.config import Assumptions
-from dealscreen.fixtures import CTES
+from dealscreen.fixtures import CTES, OWN_ESTIMATE
 from dealscreen.functions.deal_math import annuity_terms
 
 
@@ -153,7 +153,7 @@ ml_in AS (
     PostalCode AS postal_code, PropertyType AS property_type, ListPrice AS list_price, BedroomsTotal AS beds,
     BathroomsTotal AS baths, LivingArea AS sqft, TaxAnnualAmount AS annual_property_tax,
     coalesce(MonthlyHOAAmt, {d(0.0)}) AS monthly_hoa, coalesce(MonthlyHOAAmt, {d(0.0)}) > 0 AS has_hoa,
-    source, CAST(NULL AS VARCHAR) AS search_url, CAST(NULL AS DOUBLE) AS value_estimate
+    source, CAST(NULL AS VARCHAR) AS search_url, {OWN_ESTIMATE} AS value_estimate
   FROM latest_bronze
 ),
 ml_calc AS (

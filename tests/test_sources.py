@@ -161,3 +161,51 @@ def test_corrupt_only_queries_are_legal(spark, tmp_path):
     df = files.read_bronze(spark, str(tmp_path / "landing"))
     assert files.quarantine(df).count() == 1
     assert files.good_rows(df).count() == 1
+
+
+def test_large_parcel_ids_keep_their_own_numbers(spark):
+    from dealscreen import fixtures as fx
+
+    orders = spark.createDataFrame([(6 * p, p, 1000.0, "1999-01-01", "x") for p in (1234567, 1234568, 12)],
+                                   "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate string, o_orderpriority string")
+    rows = orders.selectExpr("*", *fx.KEY_EXPRS).selectExpr("*", fx.BASE_EXPR).selectExpr(*fx.BRONZE_EXPRS).collect()
+    assert len({r.ParcelNumber for r in rows}) == 3 and {r.PostalCode for r in rows} == {"1234567", "1234568", "00012"}
+    assert any("000012-ab" in r.ParcelNumber for r in rows)
+
+
+def test_stream_and_batch_see_the_same_files(spark, tmp_path):
+    from dealscreen.sources import files
+    from dealscreen.streaming.bronze import run_bronze
+
+    df = spark.createDataFrame([("L1", 1.5)], "ListingKey string, ListPrice double")
+    landing = str(tmp_path / "landing")
+    for sub in ("a", "b/c", "d/e/f"):
+        df.write.json(f"{landing}/{sub}")
+    assert run_bronze(spark, landing, str(tmp_path / "ckpt"), target_path=str(tmp_path / "out")) >= 1
+    assert spark.read.parquet(str(tmp_path / "out")).count() == files.read_bronze(spark, landing).count() == 3
+    assert run_bronze(spark, landing, str(tmp_path / "ckpt"), target_path=str(tmp_path / "out")) == 0
+
+
+def test_pull_with_microseconds_lands_once(spark, tmp_path):
+    import datetime as dt
+
+    from dealscreen.sources import incremental as inc
+
+    times = [dt.datetime(2024, 5, 1, 12, 0, 0, 123456), dt.datetime(2024, 5, 1, 12, 0, 0, 654321)]
+    src = spark.createDataFrame([(f"L{i}", t) for i, t in enumerate(times)], "ListingKey string, ModificationTimestamp timestamp_ntz")
+    state, landing = str(tmp_path / "state"), str(tmp_path / "landing")
+    first = inc.incremental_pull(src, landing, state)
+    again = inc.incremental_pull(src, landing, state)
+    assert (first.n_records, first.watermark, again.n_records, again.batch_path) == (2, times[1], 0, None)
+    assert inc.read_watermark(spark, state) == times[1]
+    landed = spark.read.schema(src.schema).json(first.batch_path)
+    assert {r.ModificationTimestamp for r in landed.collect()} == set(times)
+
+
+def test_estimates_without_order_columns(spark):
+    from dealscreen.plans.silver import quarantined_estimates, silver_value_estimates
+
+    feed = spark.createDataFrame([("1-a", 10.0, "avm"), ("1-a", 12.0, "avm"), (None, 1.0, "avm"), ("2", 5.0, None)],
+                                 "ParcelNumber string, value_estimate double, estimate_source string")
+    assert [tuple(r) for r in silver_value_estimates([feed]).collect()] == [("1A", 12.0, "avm")]
+    assert quarantined_estimates([feed]).count() == 2
