@@ -104,16 +104,22 @@ class Lattice:
         self.final[nodes] = False
         self.character = np.zeros(len(self.final), np.int32)
         self.character[nodes] = cp
-        self.vocabulary, wide = vocabulary, vocabulary.longest
-        self.id = np.full((len(self.final), wide), -1, np.int32)
+        self.vocabulary = vocabulary
+        found, wide = [], 1
         at, h, n = np.arange(len(cp)), np.zeros(len(cp), np.uint64), 0
         while len(at):
             h = h * _MUL + cp[at + n] + np.uint64(1)
             hit, ids = vocabulary.find(h)
-            self.id[nodes[at], n] = ids
             n += 1
+            whole = ids >= 0
+            if whole.any():
+                found.append((nodes[at[whole]], n - 1, ids[whole]))
+                wide = n
             more = hit & (left[at] > n)
             at, h = at[more], h[more]
+        self.id = np.full((len(self.final), wide), -1, np.int32)
+        for where, column, ids in found:
+            self.id[where, column] = ids
         lone = np.flatnonzero(self.id[nodes, 0] < 0)
         c = cp[lone].astype(np.int64)
         width = (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF)
