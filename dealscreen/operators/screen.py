@@ -8,7 +8,7 @@ unknown and the listing does not pass.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealscreen.config import Assumptions
@@ -37,30 +37,39 @@ def join_values(listings: DataFrame, values: DataFrame,
     return left.join(vals, left["_jk"] == vals["_vk"], "left").drop("_jk", "_vk")
 
 
+def underwriting(a: Assumptions, value: Column, loan_base: Column) -> dict[str, Column]:
+    """Rounded metrics by name of rows with list_price, annual_property_tax and monthly_hoa.
+
+    ``value`` is what equity and loan-to-value are measured against; the loan
+    is ``loan_base`` times the target LTV (the screen lends on the value, the
+    feature table on the price).
+    """
+    price = F.col("list_price")
+    loan, closing = loan_base * F.lit(float(a.ltv_target)), price * F.lit(float(a.closing_pct))
+    rent = dm.est_monthly_rent(price, a.rent_to_price_monthly)
+    interest = dm.monthly_payment(loan, a.annual_rate, a.term_years)
+    cost = dm.pitia(interest, F.col("annual_property_tax"), a.annual_insurance, F.col("monthly_hoa"))
+    return {
+        "dscr": F.round(dm.dscr(rent, cost), dm.DSCR_DIGITS),
+        "ltv": F.round(dm.ltv(loan, value), dm.RATIO_DIGITS),
+        **{name: dm.money(c) for name, c in {
+            "est_monthly_rent": rent, "monthly_pi": interest, "monthly_pitia": cost,
+            "instant_equity": dm.instant_equity(value, price),
+            "equity_after_close": dm.equity_after_close(value, price, closing)}.items()},
+    }
+
+
 def screen_columns(df: DataFrame, a: Assumptions) -> DataFrame:
     """Add the screen columns to rows holding list_price, annual_property_tax,
     monthly_hoa, value_estimate (nullable)."""
-    price = F.col("list_price")
-    value = F.coalesce(F.col("value_estimate"), price)
-    loan = value * F.lit(float(a.ltv_target))
-    rent = dm.est_monthly_rent(price, a.rent_to_price_monthly)
-    pit = dm.pitia(dm.monthly_payment(loan, a.annual_rate, a.term_years), F.col("annual_property_tax"),
-                   a.annual_insurance, F.col("monthly_hoa"))
-    ratio = dm.dscr(rent, pit)
-    closing = price * F.lit(float(a.closing_pct))
-    dscr_r = F.round(ratio, dm.DSCR_DIGITS)
-    ltv_r = F.round(dm.ltv(loan, value), dm.RATIO_DIGITS)
+    value = F.coalesce(F.col("value_estimate"), F.col("list_price"))
+    metrics = underwriting(a, value, value)
     ltv_cap = float(a.ltv_target) + 0.001
+    passes = (dm.dscr_passes(metrics["dscr"], a.dscr_threshold)
+              & F.coalesce(metrics["ltv"] <= F.lit(ltv_cap), F.lit(False)))
     return df.select(
-        "*",
-        dm.money(value).alias("value"),
-        dm.money(rent).alias("est_monthly_rent"),
-        dm.money(pit).alias("monthly_pitia"),
-        dscr_r.alias("dscr"),
-        ltv_r.alias("ltv"),
-        dm.money(dm.instant_equity(value, price)).alias("instant_equity"),
-        dm.money(dm.equity_after_close(value, price, closing)).alias("equity_after_close"),
-        (dm.dscr_passes(dscr_r, a.dscr_threshold) & F.coalesce(ltv_r <= F.lit(ltv_cap), F.lit(False))).alias("passes"),
+        "*", dm.money(value).alias("value"), passes.alias("passes"),
+        *[c.alias(name) for name, c in metrics.items() if name in SCREEN_COLS],
         F.coalesce(F.col("monthly_hoa"), F.lit(0.0)).alias("_hoa0"),
     ).drop("monthly_hoa").withColumnRenamed("_hoa0", "monthly_hoa")
 

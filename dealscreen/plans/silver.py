@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealscreen.functions.text import apn_key
@@ -19,19 +19,27 @@ from dealscreen.schemas import (ESTIMATE_ORDER, LISTING_ORDER, SILVER_LISTINGS_C
                                 SILVER_VALUE_ESTIMATES_COLS)
 
 
+# Silver names of bronze columns.
+LISTING_TEXTS = {"listing_key": "ListingKey", "address": "UnparsedAddress", "postal_code": "PostalCode",
+                 "property_type": "PropertyType"}
+LISTING_NUMBERS = {"list_price": "ListPrice", "annual_property_tax": "TaxAnnualAmount", "monthly_hoa": "MonthlyHOAAmt"}
+
+
+def listing_attributes() -> dict[str, Column]:
+    """The silver columns of a listing as expressions over bronze columns."""
+    hoa = F.col("MonthlyHOAAmt")
+    return {
+        "apn": apn_key("ParcelNumber"),
+        **{name: F.col(c) for name, c in LISTING_TEXTS.items()},
+        **{name: F.col(c).cast("double") for name, c in LISTING_NUMBERS.items()},
+        "has_hoa": F.coalesce(hoa > 0, F.lit(False)),
+    }
+
+
 def silver_listings(bronze: DataFrame, order: Sequence[str] = tuple(LISTING_ORDER)) -> DataFrame:
     """bronze listing versions -> one row per ``listing_key`` (9 columns)."""
-    hoa = F.col("MonthlyHOAAmt")
     renamed = bronze.select(
-        apn_key("ParcelNumber").alias("apn"),
-        F.col("ListingKey").alias("listing_key"),
-        F.col("UnparsedAddress").alias("address"),
-        F.col("PostalCode").alias("postal_code"),
-        F.col("PropertyType").alias("property_type"),
-        F.col("ListPrice").cast("double").alias("list_price"),
-        F.col("TaxAnnualAmount").cast("double").alias("annual_property_tax"),
-        hoa.cast("double").alias("monthly_hoa"),
-        F.coalesce(hoa > 0, F.lit(False)).alias("has_hoa"),
+        *[c.alias(name) for name, c in listing_attributes().items()],
         *with_order(bronze, order),
     )
     ties = [c for c in SILVER_LISTINGS_COLS if c != "listing_key"]
