@@ -155,14 +155,45 @@ def _to_bronze(spark: SparkSession, sf: str) -> DataFrame:
         "seq", "ParcelNumber", "ListingKey", "UnparsedAddress", "ListPrice", "value_estimate", "MonthlyHOAAmt")
 
 
-register("portal_to_bronze", osql.with_base() + f"""
+_TO_BRONZE_SQL = osql.with_base() + f"""
 SELECT seq, CASE WHEN seq % 3 = 0 OR trim(ParcelNumber) = '' OR ParcelNumber IS NULL
     THEN 'PUBLIC-portal_b-' || ListingKey ELSE trim(ParcelNumber) END AS ParcelNumber,
   'portal_b_' || ListingKey AS ListingKey, UnparsedAddress, ListPrice,
   coalesce(CASE WHEN seq % 4 IN (0, 1) THEN NULL ELSE NULLIF(ListPrice * {d(1.05)}, 0) END,
            ListPrice) AS value_estimate,
   coalesce(MonthlyHOAAmt, {d(0.0)}) AS MonthlyHOAAmt
-FROM fx_bronze""")(_to_bronze)
+FROM fx_bronze"""
+register("portal_to_bronze", _TO_BRONZE_SQL)(_to_bronze)
+
+
+# Two portal batches of the same listings land; read back as bronze, each listing's later version counts.
+def _portal_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    import time
+
+    from dealscreen.config import scratch_path
+    from dealscreen.operators.dedup import dedup_latest
+    from dealscreen.sources import files
+
+    r = _portal_records(spark, sf).withColumn("city", F.concat(F.lit("C"), F.col("postal_code")))
+    full = pt.to_bronze(r.select(*[F.col(n) if n in r.columns else F.lit(None).cast(t).alias(n)
+                                   for n, t in pt.PORTAL_RECORD_FIELDS], "seq"), keep=["seq"])
+    latest = dedup_latest(full, ["ListingKey"], ["seq"]).drop("seq")
+    landing = scratch_path(spark, "landing-portal")
+    files.write_portal_batch(latest.withColumn("ListPrice", F.lit(1.0)), landing)
+    time.sleep(1.1)  # file times may be whole seconds
+    files.write_portal_batch(latest, landing)
+    rows = files.good_rows(files.read_portal(spark, landing))
+    return dedup_latest(rows, ["ListingKey"], ["ModificationTimestamp"]).select(
+        "ListingKey", "ParcelNumber", "ListPrice", "value_estimate", "City")
+
+
+register("portal_landing_roundtrip", osql.with_base() + f"""
+SELECT 'portal_b_' || ListingKey AS ListingKey, CASE WHEN seq % 3 = 0 OR trim(ParcelNumber) = '' OR ParcelNumber IS NULL
+    THEN 'PUBLIC-portal_b-' || ListingKey ELSE trim(ParcelNumber) END AS ParcelNumber, ListPrice,
+  coalesce(CASE WHEN seq % 4 IN (0, 1) THEN NULL ELSE NULLIF(ListPrice * {d(1.05)}, 0) END, ListPrice) AS value_estimate,
+  'C' || PostalCode AS City
+FROM (SELECT *, row_number() OVER (PARTITION BY ListingKey ORDER BY seq DESC) AS rn FROM fx_bronze) x
+WHERE rn = 1""")(_portal_roundtrip)
 
 # --------------------------------------------------------------------------- #
 # Union of sources, fallback rows, counts, price bounds

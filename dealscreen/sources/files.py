@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealscreen.schemas import BRONZE_READ_SCHEMA, CORRUPT_COL
+from dealscreen.schemas import BRONZE_READ_SCHEMA, CORRUPT_COL, PORTAL_SCHEMA, conform
 
 #: JSON text keeps every microsecond (the writers' default formats cut to milliseconds).
 JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
@@ -45,6 +45,22 @@ def read_bronze(spark: SparkSession, path: str, schema: T.StructType = BRONZE_RE
     )
 
 
+def read_portal(spark: SparkSession, path: str) -> DataFrame:
+    """Portal batches as bronze rows, lines that don't parse included (``_corrupt_record``).
+
+    City and state come under their bronze names; a batch has no modification
+    time, so its file's is the version's (later batches are newer).
+    """
+    fields = [*PORTAL_SCHEMA.fields, T.StructField(CORRUPT_COL, T.StringType(), True)]
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        "value", F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("landed"))
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL}
+    rows = lines.filter(F.trim("value") != "").select(
+        F.from_json("value", T.StructType(fields), opts).alias("r"), "landed").select("r.*", "landed")
+    return conform(rows.withColumn("City", F.col("city")).withColumn("State", F.col("state"))
+                   .withColumn("ModificationTimestamp", F.col("landed")), BRONZE_READ_SCHEMA)
+
+
 def good_rows(df: DataFrame) -> DataFrame:
     return df.filter(F.col(CORRUPT_COL).isNull()).drop(CORRUPT_COL) if CORRUPT_COL in df.columns else df
 
