@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from dealscreen.config import checkpoint_root
+
 CHUNK_BYTES = 6 << 20
 
 #: One byte per ASCII letter A-Z is mapped to a-z, every other byte to itself.
@@ -20,12 +21,8 @@ LOWER[65:91] += 32
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a local one is set only where the session names none (tests)."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="llm-scratch-"))
-        base = sc.getCheckpointDir()
+    """A fresh folder under spark.checkpoint.dir; only a local session without one (tests) gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_root(spark)
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dealscreen.llm.common import (LOWER, chunks, coded, materialise, mix, read, remap, rows_of, sliding_min,
                                    split_words, window_hash)
 
-SPAN, GRAM, BLOCK_BYTES = 10, 5, 16 << 20
+SPAN, GRAM, BLOCK_BYTES = 10, 5, 2 << 20
 
 #: Separators become spaces; digits, lower-cased letters and bytes of non-ASCII characters stay.
 WORD_BYTES = LOWER.copy()

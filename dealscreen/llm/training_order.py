@@ -139,9 +139,14 @@ class Order:
         return self._walk(slots, self.keys[::-1])
 
 
+def _filesystem(uri: str):
+    """File system and path; s3a is Spark's name of what is s3 elsewhere."""
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
 def write_shard(uri: str, shard: int, records: np.ndarray) -> str:
     """Records in slot order as one file; written aside and renamed, so that a repeated task is harmless."""
-    fs, root = pafs.FileSystem.from_uri(uri)
+    fs, root = _filesystem(uri)
     fs.create_dir(root, recursive=True)
     name = f"{root}/shard-{shard:08d}.bin"
     aside = f"{root}/.shard-{shard:08d}.{uuid.uuid4().hex}"
@@ -153,7 +158,7 @@ def write_shard(uri: str, shard: int, records: np.ndarray) -> str:
 
 def read_records(uri: str, slot: int, count: int, shard: int = SHARD, seq_len: int = SEQ_LEN) -> list[tuple]:
     """(doc_id, offset, ids) of ``count`` slots from ``slot`` on: resumable sequential reads by place alone."""
-    fs, root = pafs.FileSystem.from_uri(uri)
+    fs, root = _filesystem(uri)
     out, stride = [], HEADER + 2 * seq_len
     while count > 0:
         here = min(count, shard - slot % shard)
