@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dealscreen.llm.common import chunks, mix, pack, read, scratch_dir, unpack
@@ -102,6 +103,14 @@ def sequences(docs: DataFrame, seq_len: int = SEQ_LEN, path: str = RANKS) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, "doc_ids array<long>, offset long, n_ids long, ids binary")
 
 
+def _squeezed(records: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(records.tobytes())
+
+
+def _records(data: bytes, stride: int) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, stride)
+
+
 def _fixed(rows: np.ndarray) -> pa.Array:
     """Equally long byte rows as a binary array."""
     ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
@@ -210,7 +219,7 @@ def training_order(docs: DataFrame, uri: str, seq_len: int = SEQ_LEN, shard: int
             rows = []
             for own in np.split(by, cuts):
                 listed = np.concatenate([flat[starts[i]:starts[i] + many[i]] for i in own.tolist()])
-                rows.append((int(slots[own[0]] // shard), pack(slots[own]), pack(records[own].reshape(-1).view("<u2")),
+                rows.append((int(slots[own[0]] // shard), pack(slots[own]), _squeezed(records[own]),
                              pack(many[own]), pack(listed)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4)]],
@@ -219,7 +228,7 @@ def training_order(docs: DataFrame, uri: str, seq_len: int = SEQ_LEN, shard: int
     def write(table: pa.Table) -> pa.Table:
         number = table["shard"][0].as_py()
         slots = np.concatenate([unpack(x, np.int64) for x in table["slots"].to_pylist()])
-        records = np.concatenate([unpack(x, "<u2").view(np.uint8).reshape(-1, stride) for x in table["records"].to_pylist()])
+        records = np.concatenate([_records(x, stride) for x in table["records"].to_pylist()])
         many = np.concatenate([unpack(x, np.int64) for x in table["many"].to_pylist()])
         docs_ = np.concatenate([unpack(x, np.int64) for x in table["docs"].to_pylist()])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(docs_))
