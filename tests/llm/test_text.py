@@ -317,6 +317,43 @@ def test_scores_are_a_code(texts):
     assert math.isclose(chance(bit) + chance(flipped), before, rel_tol=1e-4)
 
 
+@pytest.mark.parametrize("hot", [2, 1 << 18])
+def test_scores_count_every_context(monkeypatch, hot):
+    """Node counts of all words and bytes below all contexts, also where a context is dealt out by pieces of the code."""
+    monkeypatch.setattr(mixing, "HOT", hot)
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 3000) if x < 9000) for _ in range(4)] + ["", None, "w1"])
+    t = mixing.Tokens(texts)
+    distinct, n = np.unique(t.hash, return_counts=True)
+    words = mixing.Words(distinct, n, int((n == 1).sum()), np.ones(256, np.int64))
+    symbols, key, code, firsts, number, _ = mixing._events([(0, len(texts), t)], words)
+    depth, start, counts = mixing._paths(key, code, np.bincount(number))
+    s = symbols[0]
+    bit, _, _, seen = mixing.expand(s, 0, len(s.code), firsts[0], number, depth, start, counts)
+    paths = [format(c, "064b")[:k] for c, k in zip(s.code.tolist(), s.length.tolist())]
+    for i in range(3):
+        context = s.context[i].tolist()
+        nodes = Counter((c, p[:j]) for c, p in zip(context, paths) for j in range(len(p) + 1))
+        want = [(nodes[c, p[:j]], nodes[c, p[:j + 1]]) for c, p in zip(context, paths) for j in range(len(p))]
+        assert seen[i].T.tolist() == [list(w) for w in want]
+    assert "".join(map(str, bit)) == "".join(paths)
+
+
+def test_scores_know_the_word_before_a_rare_word(spark):
+    """A word that is not among the most frequent ones is a context like every other."""
+    rng = np.random.default_rng(5)
+    line = lambda order: " ".join(f"a{i} b{i}" for i in order)
+    common = " ".join(f"c{i} " * 9 for i in range(4200))  # more words that are more frequent
+    train = [i for i in range(400) if not mixing.held_out(i)]
+    held = next(i for i in range(400) if mixing.held_out(i))
+    rows = [(train[i], line(rng.permutation(2000))) for i in range(4)] + [(train[4], common)]
+    alone = next(i for i in range(held + 1, 400) if mixing.held_out(i))
+    order = rng.permutation(2000)
+    rows += [(held, line(order)), (alone, " ".join(f"a{i} b{j}" for i, j in zip(order, rng.permutation(2000))))]
+    by = {r.doc_id: r.score for r in mixing.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by[held] > 0.75 * by[alone]
+
+
 def test_scores_empty(no_docs):
     assert mixing.scores(no_docs).count() == 0
 
