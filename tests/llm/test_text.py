@@ -105,6 +105,22 @@ def test_quality_rejects_noise_and_keeps_clean(spark):
     assert 900001 not in ids and 900002 in ids
 
 
+def test_quality_of_a_language_is_its_own(spark):
+    """How much text of another language there is changes no perplexity, and a rare language has known words."""
+    rng = np.random.default_rng(2)
+    rare = [(i, " ".join(f"r{x % 400}" for x in rng.zipf(1.4, 120)), "xx") for i in range(20)]
+    other = [(100 + i, " ".join(f"o{x}" for x in rng.integers(0, 3000, 20000)), "en") for i in range(20)]
+
+    def perplexities(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = quality.train(df)
+        assert len(model.vocabulary.words["xx"][0]) > 50
+        out = quality.scored(df, spark.sparkContext.broadcast(model)).where("lang = 'xx'").collect()
+        return {r.doc_id: round(r.perplexity, 4) for r in out}
+
+    assert perplexities(rare) == perplexities(rare + other)
+
+
 def test_quality_empty(spark, no_docs):
     assert quality.keep_good(spark, no_docs, "").count() == 0
 
