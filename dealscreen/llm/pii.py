@@ -31,7 +31,7 @@ _FIRST_DAY, _DAYS = "DATE'1900-01-01'", (17, 4297)  # 17 * 4297 days: 1900-01-01
 
 #: Shapes, tried in this order at every start of a word.
 SHAPES = {
-    "email": r"[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
+    "email": r"[\p{L}\p{N}._%+\-]{1,64}@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
     "date": r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
