@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dealscreen.llm.decontaminate import OP10_SQL, op10_decontaminate
 from dealscreen.llm.html import op5_html
+from dealscreen.llm.merkle import OP11_SQL, op11_manifest
 from dealscreen.llm.mixing import op9_mixing
 from dealscreen.llm.pieces import op6_pieces
 from dealscreen.llm.pii import op1_pii
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_suffixes": op8_suffixes,
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_manifest": op11_manifest,
 }
 
-ORACLES = {"op4_substrings": OP4_SQL, "op10_decontaminate": OP10_SQL}
+ORACLES = {"op4_substrings": OP4_SQL, "op10_decontaminate": OP10_SQL, "op11_manifest": OP11_SQL}
