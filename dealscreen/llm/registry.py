@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dealscreen.llm.byte_bpe import op12_byte_bpe
 from dealscreen.llm.decontaminate import OP10_SQL, op10_decontaminate
 from dealscreen.llm.html import op5_html
 from dealscreen.llm.merkle import OP11_SQL, op11_manifest
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
     "op11_manifest": op11_manifest,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLES = {"op4_substrings": OP4_SQL, "op10_decontaminate": OP10_SQL, "op11_manifest": OP11_SQL}
