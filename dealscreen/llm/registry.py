@@ -7,6 +7,7 @@ from dealscreen.llm.decontaminate import OP10_SQL, op10_decontaminate
 from dealscreen.llm.html import op5_html
 from dealscreen.llm.merkle import OP11_SQL, op11_manifest
 from dealscreen.llm.mixing import op9_mixing
+from dealscreen.llm.negatives import OP13_SQL, op13_negatives
 from dealscreen.llm.pieces import op6_pieces
 from dealscreen.llm.pii import op1_pii
 from dealscreen.llm.quality import op2_quality
@@ -28,6 +29,8 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_manifest": op11_manifest,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_negatives": op13_negatives,
 }
 
-ORACLES = {"op4_substrings": OP4_SQL, "op10_decontaminate": OP10_SQL, "op11_manifest": OP11_SQL}
+ORACLES = {"op4_substrings": OP4_SQL, "op10_decontaminate": OP10_SQL, "op11_manifest": OP11_SQL,
+           "op13_negatives": OP13_SQL}
