@@ -64,12 +64,24 @@ def test_tables_encode_every_prefix(v):
             while at:
                 ids.append(table[at - 1])
                 at -= len(v.tokens[ids[-1]])
-            assert ids[::-1] == v.merged(data[:end])
+            assert ids[::-1] == [v.ranks[p] for p in v.merged(data[:end])]
             valid = [t for t, n in ((t, len(b)) for t, b in ((v.ranks.get(data[s:end]), data[s:end]) for s in range(end)) if t is not None)
                      if v.follows(table[end - n - 1] if end > n else -1, t)]
             assert len(valid) == 1
 
 
+def test_pairs_are_those_that_merging_keeps(v):
+    """Tokens side by side against merging their bytes: random pairs, and those cut from words."""
+    rng, ids = random.Random(6), sorted(v.tokens)
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(20000)]
+    pairs += [(a, b) for _ in range(400) for t in [v.tokens[rng.choice(ids)]] for i in range(1, len(t))
+              for a, b in [(v.ranks.get(t[:i]), v.ranks.get(t[i:]))] if a is not None and b is not None]
+    for a, b in pairs:
+        assert v.follows(a, b) == (v.merged(v.tokens[a] + v.tokens[b]) == [v.tokens[a], v.tokens[b]])
+    for t in ids:
+        assert v.follows(-1, t) == (v.merged(v.tokens[t]) == [v.tokens[t]])
+
+
 def test_edits_are_exact_and_near(v):
     rng = random.Random(9)
     for _ in range(400):
