@@ -209,3 +209,35 @@ def envelope_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page",
         "to_json(named_struct('value', CASE WHEN page % 5 <> 4 THEN recs END, "
         f"'@odata.nextLink', concat('Property?$top={ROWS_PER_ENVELOPE}&$skip=', CAST((page + 1) * {ROWS_PER_ENVELOPE} AS STRING)))) AS body")
+
+
+# --------------------------------------------------------------------------- #
+# Result pages that are linked to each other (some chains are broken)
+# --------------------------------------------------------------------------- #
+# Rows a page, pages a feed, the service's address, and the rules that break the feeds' chains.
+ROWS_PER_LINKED_PAGE, PAGES_PER_FEED = 50, 32
+LINK_BASE = "https://api.example.com/odata"
+LINKED_PAGE = f"CAST(floor(seq / {ROWS_PER_LINKED_PAGE}) AS BIGINT)"
+LINK_MISSING = "feed % 5 = 1 AND i = 19"                       # the page was never delivered
+LINK_CUT = "feed % 5 = 4 AND i = 25"                           # the page lost its end
+LINK_REPEATED = "(feed % 5 IN (0, 3) AND i = 3) OR (feed % 5 = 3 AND i = 14)"
+LINK_NEXT = (f"CASE WHEN page = last_page OR i = {PAGES_PER_FEED - 1} THEN NULL WHEN feed % 5 = 2 AND i = 21 THEN 8 "
+             "WHEN feed % 5 = 3 AND i = 13 THEN 15 ELSE i + 1 END")  # a cycle; a page that is left out
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feed, url, delivery, body: envelopes whose links are absolute or relative; repeated pages first came without records."""
+    b = bronze_listings(spark, sf_dir).selectExpr("*", f"{LINKED_PAGE} AS page")
+    last = b.agg(F.max("page")).first()[0]
+    pages = b.groupBy("page").agg(F.expr(
+        "collect_list(named_struct('ListingKey', ListingKey, 'ListPrice', ListPrice, "
+        "'ModificationTimestamp', ModificationTimestamp, 'seq', seq))").alias("recs"))
+    pages = pages.selectExpr("page", "recs", f"page div {PAGES_PER_FEED} AS feed", f"page % {PAGES_PER_FEED} AS i", f"{last} AS last_page")
+    pages = pages.where(f"NOT ({LINK_MISSING})").selectExpr("*", f"{LINK_NEXT} AS nxt").selectExpr(
+        "*", f"concat(CASE WHEN i % 3 = 0 THEN '{LINK_BASE}/' WHEN i % 3 = 1 THEN '/' ELSE '' END, 'page-', feed, '-', nxt) AS link")
+    body = "to_json(named_struct('value', {recs}, '@odata.nextLink', coalesce(link, '')))"
+    pages = pages.selectExpr("*", body.format(recs="recs") + " AS full", body.format(recs="slice(recs, 1, 1)") + " AS early",
+                             f"{LINK_REPEATED} AS twice", f"{LINK_CUT} AS cut")
+    return pages.selectExpr("CAST(feed AS STRING) AS feed", "concat('page-', feed, '-', i) AS url",
+                            "CASE WHEN cut THEN array(substring(full, 1, length(full) - 40)) WHEN twice THEN array(early, full) "
+                            "ELSE array(full) END AS bodies").selectExpr("feed", "url", "posexplode(bodies) AS (delivery, body)")
