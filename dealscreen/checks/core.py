@@ -38,20 +38,12 @@ def gold(spark: SparkSession, sf: str, a: Assumptions | None = None, method: str
     return gold_deal_screen(listings(spark, sf), values, a)
 
 
-_SERVED: dict[tuple[str, str], str] = {}
-
-
 def served(spark: SparkSession, sf: str) -> DataFrame:
-    """The ranked table as it is served: written once a session and input, then only read."""
+    """The ranked table as it is served, written anew for each query."""
     from dealscreen.config import scratch_path
     from dealscreen.operators.rank import rank
 
-    at = (spark.sparkContext.applicationId, sf)
-    if at not in _SERVED:
-        path = scratch_path(spark, "served")
-        rank(gold(spark, sf), target_path=path)
-        _SERVED[at] = path
-    return spark.read.parquet(_SERVED[at])
+    return rank(gold(spark, sf), target_path=scratch_path(spark, "served"))
 
 
 # Fixed value: the parcel looked up by the point query (parcel 1 of the adapter).

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealscreen.config import ensure_checkpoint_dir, scratch_path
+from dealscreen.operators.publish import publish
 
 logger = logging.getLogger(__name__)
 
@@ -120,7 +121,7 @@ def rank(screen: DataFrame, model_path: str | None = None, target: str | None =
 
     The model sees the screen without its ``rank_score`` and must produce
     one; if it does not, or there is no model, the deterministic rank is
-    kept. The result fully overwrites ``target`` (table) or ``target_path``.
+    kept. The result is published as ``target`` (a table, readable all the time) or overwrites ``target_path``.
     """
     # The model is looked for first: with one, nothing is ranked before it.
     model, result = load_model(model_path), None
@@ -134,8 +135,7 @@ def rank(screen: DataFrame, model_path: str | None = None, target: str | None =
     if result is None:
         result = screen if "rank_score" in screen.columns else rank_deals(screen)
     if target is not None:
-        result.write.mode("overwrite").saveAsTable(target)
-        return result.sparkSession.read.table(target)
+        return publish(result, target)
     if target_path is not None:
         result.write.mode("overwrite").parquet(target_path)
         return result.sparkSession.read.parquet(target_path)

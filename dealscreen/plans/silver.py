@@ -59,6 +59,11 @@ def silver_value_estimates(feeds: Sequence[DataFrame], order: Sequence[str] = tu
     value. Rows without a parcel, value or source are set aside
     (``quarantined_estimates``).
     """
+    return dedup_latest(estimate_rows(feeds, order), ["apn", "estimate_source"], [*order, "value_estimate"]).select(*SILVER_VALUE_ESTIMATES_COLS)
+
+
+def estimate_rows(feeds: Sequence[DataFrame], order: Sequence[str] = tuple(ESTIMATE_ORDER)) -> DataFrame:
+    """All estimates of all feeds that have a parcel and a value, with the ``order`` columns."""
     parts = [
         f.select(
             apn_key("ParcelNumber").alias("apn"),
@@ -71,8 +76,7 @@ def silver_value_estimates(feeds: Sequence[DataFrame], order: Sequence[str] = tu
     unioned = parts[0]
     for p in parts[1:]:
         unioned = unioned.unionByName(p)
-    cleaned = unioned.filter(F.col("apn").isNotNull() & F.col("value_estimate").isNotNull())
-    return dedup_latest(cleaned, ["apn", "estimate_source"], [*order, "value_estimate"]).select(*SILVER_VALUE_ESTIMATES_COLS)
+    return unioned.filter(F.col("apn").isNotNull() & F.col("value_estimate").isNotNull())
 
 
 def quarantined_estimates(feeds: Sequence[DataFrame]) -> DataFrame:

@@ -6,3 +6,4 @@ from dealscreen.checks import functions  # noqa: F401
 from dealscreen.checks import sources  # noqa: F401
 from dealscreen.checks import landing  # noqa: F401
 from dealscreen.checks import chain  # noqa: F401
+from dealscreen.checks import refresh  # noqa: F401
