@@ -252,3 +252,62 @@ SELECT apn, value_estimate, estimate_source FROM (
       seq DESC NULLS LAST) AS rn
   FROM fx_bronze WHERE {osql.apn('ParcelNumber')} IS NOT NULL AND ListPrice IS NOT NULL) x
 WHERE rn = 1""")(_mls_list)
+
+
+def _resumable(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of a twentieth of the rows, a stop between two of them, and half the rows of the mark's instant arriving later."""
+    from dealscreen.sources.resumable import resumable_pull
+
+    root = scratch_path(spark, "resumable")
+    src = bronze(spark, sf)
+    n, instant = src.agg(F.count(F.lit(1)), F.max(F.when(F.col(inc.TS_COL) < F.lit(PULL_SINCE).cast("timestamp_ntz"), F.col(inc.TS_COL)))).first()
+    at = F.col(inc.TS_COL) == F.lit(instant)
+    early = src.where((F.col(inc.TS_COL) < F.lit(instant)) | (at & (F.col("seq") % 2 == 0)))
+    how = {"key_col": "seq", "batch_rows": max(1, n // 5), "select": PULL_SELECT}
+    resumable_pull(early, f"{root}/landing", f"{root}/_state", max_batches=2, **how)
+    resumable_pull(early, f"{root}/landing", f"{root}/_state", **how)
+    resumable_pull(early, f"{root}/landing", f"{root}/_state", **how)  # nothing new
+    resumable_pull(src, f"{root}/landing", f"{root}/_state", **how)
+    schema = src.select(*PULL_SELECT, inc.TS_COL).schema
+    return spark.read.option("recursiveFileLookup", "true").schema(schema).json(f"{root}/landing")
+
+
+register("incremental_resumable", osql.with_base()
+         + "\nSELECT ListingKey, ListPrice, seq, ModificationTimestamp FROM fx_bronze")(_resumable)
+
+
+def _routed(spark: SparkSession, sf: str) -> DataFrame:
+    """Two landings, some lines cut; the second batch's first attempt fails between its two tables and is replayed."""
+    from dealscreen.streaming import routed
+
+    root = scratch_path(spark, "routed")
+    b = conform(bronze(spark, sf), BRONZE_SCHEMA)
+    text = F.to_json(F.struct(*[F.col(c) for c in BRONZE_COLS]))
+    lines = b.select("seq", F.when(F.col("seq") % 101 == 0, F.substring(text, 1, 25)).otherwise(text).alias("value"))
+    failures = [1]
+
+    def move(spark, source, target):
+        if "quarantine" in target and "batch=1" in target and failures:
+            failures.pop()
+            raise RuntimeError("stopped between the two tables")
+        routed._move(spark, source, target)
+
+    for i in range(2):
+        lines.where(F.col("seq") % 2 == i).select("value").write.text(f"{root}/landing/listings_{i}")
+        for _ in range(2):
+            try:
+                routed.run_routed(spark, f"{root}/landing", f"{root}/_checkpoint", root, move=move)
+                break
+            except Exception:  # the stream reports the stop; the next run replays the batch
+                if i == 0 or failures:
+                    raise
+    good = routed.routed_table(spark, root, "bronze").select(F.lit("bronze").alias("sink"), "ListingKey", "seq")
+    bad = routed.routed_table(spark, root, "quarantine").select(F.lit("quarantine").alias("sink"), F.lit(None).cast("string"), F.lit(None).cast("long"))
+    return good.union(bad).groupBy("sink").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("seq"), F.lit(0)).alias("sum_seq"),
+                                              F.count_distinct("seq").alias("n_seq"))
+
+
+register("bronze_routed", osql.with_base() + """
+SELECT 'bronze' AS sink, count(*) AS n, CAST(sum(seq) AS BIGINT) AS sum_seq, count(DISTINCT seq) AS n_seq FROM fx_bronze WHERE seq % 101 <> 0
+UNION ALL
+SELECT 'quarantine', count(*), 0, 0 FROM fx_bronze WHERE seq % 101 = 0 HAVING count(*) > 0""")(_routed)

@@ -104,6 +104,8 @@ def incremental_pull(source: DataFrame, landing: str, state_path: str, select: S
         "ignoreNullFields", "false").options(**JSON_TIMES).json(path)
     n, largest = int(seen.get["n"]), seen.get["w"]
     if n == 0:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
         return PullResult(0, since, None)
     wm = (dt.datetime.fromisoformat(largest) if largest else since) if has_ts else started
     if wm is not None:

@@ -34,7 +34,7 @@ def read_bronze_stream(spark: SparkSession, landing: str, schema: T.StructType =
     )
 
 
-def _committed(spark: SparkSession, checkpoint: str) -> int:
+def committed_batches(spark: SparkSession, checkpoint: str) -> int:
     """The next micro-batch's number by the checkpoint's commit log."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/commits")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -51,10 +51,10 @@ def run_bronze(spark: SparkSession, landing: str, checkpoint: str, target_path:
 
     Returns the number of micro-batches that this call committed.
     """
-    before = _committed(spark, checkpoint)
+    before = committed_batches(spark, checkpoint)
     stream = read_bronze_stream(spark, landing, schema, max_files_per_trigger)
     writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint) \
         .outputMode("append").trigger(availableNow=True)
     q = writer.toTable(table) if table else writer.start(target_path)
     q.awaitTermination()
-    return _committed(spark, checkpoint) - before
+    return committed_batches(spark, checkpoint) - before
