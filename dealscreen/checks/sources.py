@@ -261,3 +261,17 @@ register("lane_row_counts", osql.with_base(osql.silver_estimates_cte()) + """
 SELECT CASE WHEN estimate_source IN ('county') THEN 'public' ELSE 'licensed' END AS lane, estimate_source,
   count(*) AS n_rows
 FROM silver_value_estimates GROUP BY 1, 2""")(_lanes)
+
+
+# Price texts with and without scale letters, built from every listing version.
+_PRICE_TEXT = """CASE seq % 6 WHEN 0 THEN '$1.2M' WHEN 1 THEN concat('$', CAST(seq AS STRING), 'k') WHEN 2 THEN concat('$', CAST(seq AS STRING), ',000')
+  WHEN 3 THEN concat(CAST(seq AS STRING), ' - ', CAST(seq + 1 AS STRING)) WHEN 4 THEN NULL ELSE concat('USD ', CAST(seq AS STRING), '.50 monthly') END"""
+
+
+def _suspicious(spark: SparkSession, sf: str) -> DataFrame:
+    from dealscreen.functions.text import suspicious_price
+
+    return bronze(spark, sf).selectExpr("seq", f"{_PRICE_TEXT} AS price").select("seq", suspicious_price("price").alias("suspicious_price"))
+
+
+register("suspicious_price", osql.with_base() + "\nSELECT seq, seq % 6 IN (0, 1, 3) AS suspicious_price FROM fx_bronze")(_suspicious)

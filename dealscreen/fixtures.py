@@ -160,6 +160,16 @@ _PROPS_EXPRS = {
 }
 
 
+# Home cards as portals write them: either quote, none, entities, any order, other elements and comments between them.
+_CARD_EXPR = """CASE seq % 6
+    WHEN 0 THEN concat('<div class="card" data-rf-test-id="homecard" id="', ListingKey, '"></div>')
+    WHEN 1 THEN concat('<div id=', chr(39), ListingKey, chr(39), ' data-rf-test-id=', chr(39), 'homecard', chr(39), ' title="a > b"></div>')
+    WHEN 2 THEN concat('<!-- <div data-rf-test-id="homecard" id="no"> --><DIV DATA-RF-TEST-ID=homecard ID=', ListingKey, '></DIV>')
+    WHEN 3 THEN concat('<div hidden data-rf-test-id = "homecard"', chr(10), ' id = "', ListingKey, '" /><div data-id="x" title="data-rf-test-id=homecard id=y"></div>')
+    WHEN 4 THEN concat('<div data-id="x" data-rf-test-id="&#104;omecar"></div><div id="', ListingKey, '" data-rf-test-id="&#104;&#x6f;mecard" id="second"></div>')
+    ELSE concat('<script>var c = "<div data-rf-test-id=homecard id=z>";</script><div data-rf-test-id="homecard" id="', ListingKey, '" title="', chr(39), '"></div>') END"""
+
+
 def portal_pages(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
     """One saved results page per ``ROWS_PER_PAGE`` listing versions, in the
     given portal layout (JSON island, blocked titles, card-only pages).
@@ -170,7 +180,7 @@ def portal_pages(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
     b = bronze_listings(spark, sf_dir).selectExpr("*", f"{PAGE_EXPR} AS page")
     pages = b.groupBy("page").agg(
         F.expr(f"collect_list({_RECORD_EXPRS[layout]})").alias("recs"),
-        F.expr("collect_list(concat('<div class=\"card\" data-rf-test-id=\"homecard\" id=\"', ListingKey, '\"></div>'))")
+        F.expr(f"collect_list({_CARD_EXPR})")
         .alias("cards"),
     )
     title = f"CASE WHEN {BLOCKED_TITLE_RULE} THEN 'Captcha check' ELSE concat('Homes for sale, page ', CAST(page AS STRING)) END"

@@ -53,3 +53,15 @@ def batch_label(ts, fmt: str = PULL_LABEL_FORMAT) -> Column:
 
 def iso_utc(ts) -> Column:
     return F.date_format(_col(ts), ISO_UTC_FORMAT)
+
+
+# Fixed value: a figure with a thousands or millions letter behind it, which ``number_from_text`` does not scale.
+SCALED_FIGURE = r"(?i)[0-9]\s*(?:k|m|mm|mil|million|thousand)(?![a-z])"
+
+
+def suspicious_price(text) -> Column:
+    """True where the price text's figure has a scale letter ($1.2M reads as 1.2), or holds more than one figure or dot."""
+    c = F.coalesce(_col(text), F.lit(""))
+    figures = F.regexp_extract_all(F.regexp_replace(c, ",", ""), F.lit(r"[0-9.]+"), F.lit(0))
+    return c.rlike(SCALED_FIGURE) | (F.size(F.filter(figures, lambda f: f.rlike("[0-9]"))) > 1) | F.exists(
+        figures, lambda f: f.rlike(r"[.].*[.]"))

@@ -12,14 +12,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealscreen.config import Assumptions, Namespace, ensure_namespace
+from dealscreen.config import LICENSED, Assumptions, Namespace, assert_single_lane, ensure_namespace
 from dealscreen.operators.rank import rank
 from dealscreen.plans.gold import gold_deal_screen, gold_value_triangulation
 from dealscreen.plans.ml_features import ml_features
-from dealscreen.plans.silver import (quarantined_estimates, quarantined_listings, silver_listings,
+from dealscreen.plans.silver import (own_estimates, quarantined_estimates, quarantined_listings, silver_listings,
                                      silver_value_estimates)
-from dealscreen.schemas import (ESTIMATE_ORDER, GOLD_DEAL_SCREEN_COLS, GOLD_TRIANGULATION_COLS, LISTING_ORDER, ML_ALL_COLS,
-                                SILVER_LISTINGS_COLS, SILVER_VALUE_ESTIMATES_COLS, assert_schema)
+from dealscreen.schemas import (ESTIMATE_ORDER, GOLD_DEAL_SCREEN_SCHEMA, GOLD_TRIANGULATION_SCHEMA, LISTING_ORDER, ML_SCHEMA,
+                                SILVER_LISTINGS_SCHEMA, SILVER_VALUE_ESTIMATES_SCHEMA, enforce)
 
 
 @dataclass(frozen=True)
@@ -36,44 +36,57 @@ class PipelineTables:
     quarantine_lines: str
 
     @classmethod
-    def licensed(cls, ns: Namespace) -> "PipelineTables":
-        return cls(*(ns.licensed(t) for t in (
+    def of(cls, ns: Namespace, lane: str) -> "PipelineTables":
+        """The tables of a lane, in its database."""
+        return cls(*(ns.qualified(lane, t) for t in (
             "bronze_listings", "silver_listings", "silver_value_estimates", "silver_ml_features",
             "gold_value_triangulation", "gold_deal_screen", "gold_ranked", "quarantine_listings",
             "quarantine_estimates", "quarantine_lines")))
 
+    @classmethod
+    def licensed(cls, ns: Namespace) -> "PipelineTables":
+        return cls.of(ns, LICENSED)
+
 
 def _overwrite(df: DataFrame, table: str) -> DataFrame:
     df.write.mode("overwrite").format("parquet").saveAsTable(table)
     return df.sparkSession.read.table(table)
 
 
+def _of_lane(df: DataFrame, lane: str) -> DataFrame:
+    """Input rows of one lane: rows that are tagged must be that lane's."""
+    return assert_single_lane(df, lane) if "lane" in df.columns else df
+
+
 def run_pipeline(spark: SparkSession, bronze: DataFrame, estimate_feeds: Sequence[DataFrame],
                  ns: Namespace | None = None, a: Assumptions | None = None, method: str = "exact",
                  model_path: str | None = None, location_root: str | None = None,
                  listing_order: Sequence[str] = tuple(LISTING_ORDER),
-                 estimate_order: Sequence[str] = tuple(ESTIMATE_ORDER), bronze_written: bool = False) -> DataFrame:
+                 estimate_order: Sequence[str] = tuple(ESTIMATE_ORDER), bronze_written: bool = False,
+                 lane: str = LICENSED) -> DataFrame:
     """Run every layer in order and return the ranked gold table.
 
     Listings without a key and estimates without parcel, value or source are
     written to quarantine tables. With ``bronze_written`` the bronze rows are
-    already durable (the stream's table) and are read where they are.
+    already durable (the stream's table) and are read where they are. All tables
+    lie in the lane's database; inputs with a ``lane`` column must be of that lane.
     """
     ns = ns or Namespace.from_spark(spark)
     a = a or Assumptions.from_spark(spark)
     ensure_namespace(spark, ns, location_root)
-    t = PipelineTables.licensed(ns)
+    t = PipelineTables.of(ns, lane)
+    bronze, estimate_feeds = _of_lane(bronze, lane), [_of_lane(f, lane) for f in estimate_feeds]
 
     b = bronze if bronze_written else _overwrite(bronze, t.bronze)
     _overwrite(quarantined_listings(b), t.quarantine_listings)
     _overwrite(quarantined_estimates(list(estimate_feeds)), t.quarantine_estimates)
-    listings = _overwrite(assert_schema(silver_listings(b, listing_order), SILVER_LISTINGS_COLS), t.silver_listings)
-    estimates = _overwrite(assert_schema(silver_value_estimates(list(estimate_feeds), estimate_order),
-                                         SILVER_VALUE_ESTIMATES_COLS), t.silver_value_estimates)
-    values = _overwrite(assert_schema(gold_value_triangulation(estimates, method, a), GOLD_TRIANGULATION_COLS),
-                        t.gold_value_triangulation)
-    _overwrite(assert_schema(ml_features(b, values, a, tuple(listing_order)), ML_ALL_COLS), t.silver_ml_features)
-    screen = _overwrite(assert_schema(gold_deal_screen(listings, values, a), GOLD_DEAL_SCREEN_COLS), t.gold_deal_screen)
+    listings = _overwrite(enforce(silver_listings(b, listing_order), "silver_listings", SILVER_LISTINGS_SCHEMA), t.silver_listings)
+    estimates = silver_value_estimates(list(estimate_feeds), estimate_order)
+    estimates = _overwrite(enforce(estimates, "silver_value_estimates", SILVER_VALUE_ESTIMATES_SCHEMA), t.silver_value_estimates)
+    values = gold_value_triangulation(estimates, method, a)
+    values = _overwrite(enforce(values, "gold_value_triangulation", GOLD_TRIANGULATION_SCHEMA), t.gold_value_triangulation)
+    _overwrite(enforce(ml_features(b, values, a, tuple(listing_order)), "silver_ml_features", ML_SCHEMA), t.silver_ml_features)
+    screen = _overwrite(enforce(gold_deal_screen(listings, values, a), "gold_deal_screen", GOLD_DEAL_SCREEN_SCHEMA), t.gold_deal_screen)
     return rank(screen, model_path=model_path, target=t.gold_ranked)
 
 
@@ -90,6 +103,8 @@ def run_from_landing(spark: SparkSession, landing: str, estimate_feeds: Sequence
 
     run_bronze(spark, landing, checkpoint, target_path=bronze_path, max_files_per_trigger=max_files_per_trigger)
     bronze = spark.read.parquet(bronze_path)
-    ranked = run_pipeline(spark, good_rows(bronze), estimate_feeds, bronze_written=True, **kw)
+    # Rows that bring an estimate of their own (portal feeds) are a further feed.
+    good = good_rows(bronze)
+    ranked = run_pipeline(spark, good, [*estimate_feeds, own_estimates(good)], bronze_written=True, **kw)
     _overwrite(quarantine(bronze), PipelineTables.licensed(kw.get("ns") or Namespace.from_spark(spark)).quarantine_lines)
     return ranked

@@ -64,12 +64,14 @@ def silver_value_estimates(feeds: Sequence[DataFrame], order: Sequence[str] = tu
 
 def estimate_rows(feeds: Sequence[DataFrame], order: Sequence[str] = tuple(ESTIMATE_ORDER)) -> DataFrame:
     """All estimates of all feeds that have a parcel and a value, with the ``order`` columns."""
+    # A feed without an order column has nulls of the type that it has in the others.
+    types = {c: f.schema[c].dataType for f in feeds for c in order if c in f.columns}
     parts = [
         f.select(
             apn_key("ParcelNumber").alias("apn"),
             F.col("value_estimate").cast("double").alias("value_estimate"),
             F.col("estimate_source").cast("string").alias("estimate_source"),
-            *with_order(f, order),
+            *[(F.col(c) if c in f.columns else F.lit(None).cast(types.get(c, "string"))).alias(c) for c in order],
         )
         for f in feeds
     ]

@@ -78,6 +78,36 @@ GOLD_DEAL_SCREEN_COLS = [
 ]
 
 
+# Table contracts: names and types of every layer's columns, and those that are never null.
+SILVER_LISTINGS_SCHEMA = _struct(
+    ("apn", S), ("listing_key", S), ("address", S), ("postal_code", S), ("property_type", S), ("list_price", D),
+    ("annual_property_tax", D), ("monthly_hoa", D), ("has_hoa", B))
+SILVER_VALUE_ESTIMATES_SCHEMA = _struct(("apn", S), ("value_estimate", D), ("estimate_source", S))
+GOLD_TRIANGULATION_SCHEMA = _struct(("apn", S), ("value_estimate", D), ("n_sources", L), ("spread_pct", D), ("value_confidence", S))
+_TEXTS = {"property_type", "postal_code", "apn", "listing_key", "address", "source", "search_url", "value_confidence"}
+_OTHERS = {"beds": I, "has_hoa": B, "passes": B, "rank_score": L, ML_TARGET_COL: B}
+GOLD_DEAL_SCREEN_SCHEMA = _struct(*[(c, S if c in _TEXTS else _OTHERS.get(c, D)) for c in GOLD_DEAL_SCREEN_COLS])
+ML_SCHEMA = _struct(*[(c, S if c in _TEXTS else _OTHERS.get(c, D)) for c in ML_ALL_COLS])
+NEVER_NULL = {
+    "silver_listings": ("listing_key", "has_hoa"), "silver_value_estimates": ("apn", "value_estimate", "estimate_source"),
+    "gold_value_triangulation": ("apn", "value_estimate", "n_sources"), "silver_ml_features": ("listing_key", "has_hoa", "monthly_hoa"),
+    "gold_deal_screen": ("listing_key", "has_hoa", "monthly_hoa", "passes", "rank_score"),
+}
+
+
+def enforce(df: DataFrame, table: str, schema: T.StructType) -> DataFrame:
+    """``df`` with exactly the contract's columns and types; a null in a column that is never null fails the write.
+
+    The nulls are checked in the rows as they are written, not in a pass of their own.
+    """
+    assert_schema(df, schema)
+    def checked(c: str):
+        wrong = F.raise_error(F.lit(f"{table}.{c} is null")).cast(schema[c].dataType)
+        return F.when(F.col(c).isNull(), wrong).otherwise(F.col(c)).alias(c)
+
+    return df.select(*[checked(c) if c in NEVER_NULL.get(table, ()) else F.col(c) for c in df.columns])
+
+
 def assert_schema(df: DataFrame, expected) -> DataFrame:
     """Raise ``ValueError`` unless ``df`` has exactly the expected columns.
 
