@@ -34,6 +34,10 @@ SHINGLE, DISTANCE, SEGMENTS, BUCKET = 3, 2, 2, 64
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+#: Text bytes hashed at once: a batch's words and hashes take some twenty times as much.
+CHUNK = 2 << 20
+
+
 def simhashes(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """Signed 64-bit fingerprints of all texts."""
     words, offsets = split_words(remap(texts, LOWER))
@@ -63,14 +67,23 @@ def simhashes(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
-    """row (the document, all columns or those to keep) and its fingerprint as a signed long."""
+    """row (the document, all columns or those to keep) and its fingerprint as a signed long.
+
+    The text travels to Python once, beside the other columns, and back only if it is kept.
+    """
+    kept = [c for c in docs.columns if keep is None or c in keep]
+    others, whole = [c for c in kept if c != "text"], "text" in kept
+
     def add(batches):
-        for b in chunks(batches):
+        for b in chunks(batches, limit=CHUNK):
             fp = pa.array(simhashes(b.column("text"), shingle), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("row"), fp], names=["row", "fingerprint"])
+            columns = {"row": b.column("row"), "fingerprint": fp, **({"text": b.column("text")} if whole else {})}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    rows = docs.select(F.struct(*[c for c in docs.columns if keep is None or c in keep]).alias("row"), "text")
-    return rows.mapInArrow(add, f"row {rows.schema['row'].dataType.simpleString()}, fingerprint long")
+    rows = docs.select(F.struct(*others, F.lit(None).cast("byte").alias("_")).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, fingerprint long{', text string' if whole else ''}"
+    row = F.struct(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept]).alias("row")
+    return rows.mapInArrow(add, schema).select(row, "fingerprint")
 
 
 def _masks(bits: int, radius: int) -> list[int]:
@@ -145,7 +158,10 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS,
                     bucket: int = BUCKET, keep: list[str] | None = None) -> DataFrame:
-    """row, fingerprint (long) and component_id of every document row; the rows with fingerprints are written once."""
+    """row, fingerprint (long), root (the component's smallest fingerprint) and component_id of every document row.
+
+    The rows with fingerprints are written once.
+    """
     marked = materialise(with_fingerprint(docs, shingle, keep))
     light = materialise(marked.select("fingerprint", F.col("row.doc_id").alias("id")).groupBy("fingerprint")
                         .agg(F.min("id").alias("id")))
@@ -153,7 +169,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     named = light.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
         "fingerprint", "id", F.coalesce("root", "fingerprint").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    return marked.join(named.join(least, "root").select("fingerprint", "component_id"), "fingerprint")
+    return marked.join(named.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,12 +179,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, the one that names it.
+    """Pipeline stage: one row of each component stays, the one with the smallest id (null last), then the smallest hash of its text.
 
-    Of several rows with that id one stays (smallest hash of its text); of a component without ids likewise.
+    Components are told apart by their fingerprints: equal ids in two of them are two documents.
     """
-    found = near_duplicates(docs)
-    first = Window.partitionBy(F.coalesce("component_id", "fingerprint"), F.col("component_id").isNull()).orderBy(
-        F.xxhash64("row.text"))
-    return (found.where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
-            .withColumn("first", F.row_number().over(first)).where("first = 1").select("row.*"))
+    first = Window.partitionBy("root").orderBy(F.col("row.doc_id").asc_nulls_last(), F.xxhash64("row.text"))
+    return near_duplicates(docs).withColumn("first", F.row_number().over(first)).where("first = 1").select("row.*")

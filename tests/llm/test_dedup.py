@@ -153,6 +153,14 @@ def test_keep_one(spark, docs, texts):
     assert sorted((r.doc_id for r in got), key=str) == sorted((c for c, in want), key=str)
 
 
+def test_keep_one_tells_documents_of_equal_ids_apart(spark):
+    """Unlinked texts that share an id are documents of their own; copies without ids are one."""
+    a, b, c = ("".join(f"{w}{i} " for i in range(80)) for w in ("red", "green", "blue"))
+    rows = spark.createDataFrame([(1, a), (1, b), (2, c), (3, a), (None, b), (None, "x y z"), (None, "x y z")], "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(spark, rows, "").collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (2, c), (None, "x y z")], key=str)
+
+
 @pytest.mark.parametrize("run", [substrings.deduplicated, suffixes.deduplicated, simhash.near_duplicates])
 def test_empty(run, no_docs):
     assert run(no_docs).count() == 0
