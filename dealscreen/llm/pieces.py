@@ -362,13 +362,17 @@ def row_seeds(keys: pa.Array, seed: int) -> np.ndarray:
 def sampled(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MODEL, key: str = "doc_id",
             digest: bool = False) -> DataFrame:
     """row (the document, all columns) and its samples; with digest their sizes, hashes and round trips instead of ids."""
-    rows = docs.select(F.struct("*" if not digest else key).alias("row"), F.col(key).alias("key"), "text")
+    # The text travels to Python once, beside the other columns; whole samples come in smaller batches than digests.
+    kept = [key] if digest else docs.columns
+    others = [c for c in kept if c != "text"]
+    rows = docs.select(F.struct(*others, F.lit(None).cast("byte").alias("_")).alias("row"), F.col(key).alias("key"),
+                       F.col("text").cast("string").alias("text"))
     kind = _SAMPLES if not digest else ("array<struct<n_pieces:bigint,ids_sha256:string,round_trip:boolean,"
                                         "log_prob:double,inclusion:double>>")
 
     def run(batches):
         vocabulary = pieces(model)
-        for b in chunks(batches, limit=CHUNK):
+        for b in chunks(batches, limit=CHUNK if digest else CHUNK // 4):
             texts = b.column("text").to_pylist()
             made = sample(b.column("text"), row_seeds(b.column("key"), seed), k, vocabulary)
             if digest:
@@ -387,9 +391,12 @@ def sampled(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MO
                                                      pa.array([x[2] for x in every], pa.float64())],
                                                     names=["ids", "log_prob", "inclusion"])
                 out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in made])]), pa.int32()), struct)
-            yield pa.RecordBatch.from_arrays([b.column("row"), out], names=["row", "samples"])
+            columns = {"row": b.column("row"), "samples": out, **({} if digest else {"text": b.column("text")})}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, samples {kind}")
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, samples {kind}{'' if digest else ', text string'}"
+    row = F.struct(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept]).alias("row")
+    return rows.mapInArrow(run, schema).select(row, "samples")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
