@@ -12,7 +12,7 @@ from dealscreen.llm import pieces  # noqa: E402
 from dealscreen.llm.common import materialise, read  # noqa: E402
 
 from test_dedup import simhash_rows  # noqa: E402
-from test_text import base_counts, contaminated  # noqa: E402
+from test_text_operators import base_counts, contaminated  # noqa: E402
 
 
 @pytest.fixture(scope="module")
