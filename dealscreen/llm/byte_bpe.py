@@ -2,7 +2,7 @@
 
 A text is cut by the tokenizer's pattern; each match is encoded by itself. For every byte prefix of a match there is one
 token with which the prefix's encoding ends: the token that ends there and may follow the last token of the prefix before
-it. Two tokens may follow each other if merging their bytes gives just these two, which the parts at their common edge tell. So one pass over the prefixes, with
+it. Two tokens may follow each other if merging their bytes gives just these two. So one pass over the prefixes, with
 all vocabulary entries that end at each byte from an automaton, gives the encoding by walking back from the end; the table
 of last tokens encodes every prefix as well. A match that is a vocabulary entry is this one token, as in the tokenizer's
 own library. A match for which no token is valid at some prefix (impossible in a vocabulary of merges) is merged directly.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,8 +34,8 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 from dealscreen.llm.common import chunks, read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Marks the end of a match in a table; text bytes a batch; matches and pairs kept a worker, longest match kept (characters).
-END, CHUNK, KEPT, PAIRS, KEPT_LENGTH = 1 << 30, 1 << 20, 250_000, 500_000, 48
+#: Marks the end of a match in a table; text bytes a batch; distinct matches kept, and the longest kept (characters).
+END, CHUNK, KEPT, KEPT_LENGTH = 1 << 30, 1 << 20, 400_000, 48
 #: Matches that a change may touch before the one it lies in: the pattern looks at most two characters beyond a match.
 BACK = 3
 
@@ -44,6 +44,7 @@ class Vocabulary:
     """Ranks, the automaton of all entries, and which tokens may follow each other."""
 
     def __init__(self, path: str, pattern: str):
+        import ahocorasick
         import regex
 
         with open(path, "rb") as f:
@@ -52,100 +53,57 @@ class Vocabulary:
         self.longest = max(map(len, self.ranks))
         #: Bytes by id; ids without a token, and the last place, have none.
         self.surface = pa.array([self.tokens.get(i, b"") for i in range(max(self.tokens) + 2)], pa.binary())
+        self.automaton = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.automaton.make_automaton()
         self.pattern = regex.compile(pattern)
         self.pairs: dict[int, bool] = {}
-        self.edges: dict[int, list[tuple[bytes, float]] | None] = {}
         self.kept: dict[str, tuple[int, ...]] = {}
 
-    @cached_property
-    def automaton(self):
-        """All entries, to find those that end at each byte (a worker that only decodes needs none)."""
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for token, rank in self.ranks.items():
-            automaton.add_word(token.decode("latin-1"), (rank, len(token)))
-        automaton.make_automaton()
-        return automaton
-
-    def merged(self, data: bytes, below: float = float("inf")) -> list[bytes]:
-        """Merge the adjacent parts with the lowest rank, the first of equals, until no rank under ``below`` is left."""
+    def merged(self, data: bytes) -> list[int]:
+        """Merge the adjacent parts with the lowest rank, the first of equals, until none is a vocabulary entry."""
         parts, ranks = [data[i:i + 1] for i in range(len(data))], self.ranks
         while len(parts) > 1:
-            rank, i = min((ranks.get(a + b, below), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank >= below:
+            found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not found:
                 break
+            i = min(found)[1]
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return parts
-
-    def edge(self, token: int, right: bool) -> list[tuple[bytes, float]] | None:
-        """The parts that touch the token's right or left end while it is merged, each with the rank that ends it.
-
-        None: its bytes don't merge to it.
-        """
-        key = token << 1 | right
-        if key not in self.edges:
-            data = self.tokens[token]
-            if len(data) == 1:
-                found = [(data, float("inf"))]
-            else:
-                halves = self.merged(data, token)
-                inner = self.edge(self.ranks[halves[right]], right) if len(halves) == 2 else None
-                found = None if inner is None else [*inner[:-1], (inner[-1][0], token), (data, float("inf"))]
-            self.edges[key] = found
-        return self.edges[key]
+        return [ranks[p] for p in parts]
 
     def follows(self, before: int, token: int) -> bool:
-        """Whether ``token`` may come after ``before`` (-1: at the start of a match).
-
-        It may if, while both are merged, no part at the end of the one and part at the start of the other merge first
-        (of equal ranks the left one does).
-        """
+        """Whether ``token`` may come after ``before`` (-1: at the start of a match)."""
         key = (before + 1) << 32 | token
         known = self.pairs.get(key)
         if known is None:
-            left, right = self.edge(before, True) if before >= 0 else [], self.edge(token, False)
-            known = left is not None and right is not None and (before < 0 or self._apart(left, right))
-            if len(self.pairs) >= PAIRS:
+            data = (b"" if before < 0 else self.tokens[before]) + self.tokens[token]
+            known = self.merged(data) == ([token] if before < 0 else [before, token])
+            if len(self.pairs) >= 4 * KEPT:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
 
-    def _apart(self, left: list[tuple[bytes, float]], right: list[tuple[bytes, float]]) -> bool:
-        i = j = 0
-        while True:
-            (a, until_a), (b, until_b) = left[i], right[j]
-            rank = self.ranks.get(a + b)
-            if rank is not None and rank < until_a and rank <= until_b:
-                return False
-            if i == len(left) - 1 and j == len(right) - 1:
-                return True
-            if until_a <= until_b:
-                i += 1
-            else:
-                j += 1
-
     def last_tokens(self, match: bytes, table: list[int] | None = None) -> list[int] | None:
         """The last token of each prefix of the match; ``table`` has those of its first prefixes. None: not a merge vocabulary."""
-        known, pairs, follows = len(table or ()), self.pairs, self.follows
-        # One more than the last token, from the empty prefix on; 0 is the start and -1 not yet found.
-        after = [0, *(t + 1 for t in table or ()), *[-1] * (len(match) - known)]
+        table = list(table or ())
+        known = len(table)
+        table += [-1] * (len(match) - known)
         start = max(0, known - self.longest)
         for end, (token, size) in self.automaton.iter(match[start:].decode("latin-1")):
-            end += start + 1
-            if after[end] < 0 and size <= end:
-                before = after[end - size]
-                if before >= 0:
-                    valid = pairs.get(before << 32 | token)
-                    if valid or valid is None and follows(before - 1, token):
-                        after[end] = token + 1
-        return None if -1 in after else [t - 1 for t in after[1:]]
+            end += start
+            if end < known or table[end] >= 0 or size > end + 1:
+                continue
+            before = table[end - size] if end >= size else -1
+            if (end < size or before >= 0) and self.follows(before, token):
+                table[end] = token
+        return table if -1 not in table else None
 
     def table(self, match: bytes, known: list[int] | None = None) -> list[int]:
         """Last tokens of the match's prefixes, the whole match as the library encodes it, its end marked."""
         whole, table = self.ranks.get(match), self.last_tokens(match, known)
         if table is None:  # each prefix merged by itself
-            table = [self.ranks[self.merged(match[:i + 1])[-1]] for i in range(len(match))]
+            table = [self.merged(match[:i + 1])[-1] for i in range(len(match))]
         if whole is not None:
             table[-1] = whole
         table[-1] |= END
@@ -158,7 +116,7 @@ class Vocabulary:
             return (whole,)
         table, out, at = self.last_tokens(match), [], len(match)
         if table is None:
-            return tuple(self.ranks[p] for p in self.merged(match))
+            return tuple(self.merged(match))
         while at:
             out.append(table[at - 1])
             at -= len(self.tokens[out[-1]])
