@@ -29,12 +29,12 @@ def scratch_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write to the shared folder (to ``path``, or a fresh one) and read back: cuts lineage, survives lost executors.
 
     What the write shuffled is freed when it has ended, not when the driver happens to collect garbage.
     """
-    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
+    spark, path = df.sparkSession, path or scratch_dir(df.sparkSession)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -44,6 +44,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``materialise`` wrote to ``path``, once nothing reads it any more."""
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    table.getFileSystem(spark._jsc.hadoopConfiguration()).delete(table, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,19 +1,21 @@
 """Repeated word sequences across documents, by windows of doubling length.
 
-Level 1: every window of ``WINDOW`` consecutive words is hashed (64 bits) and sent to its hash's bucket, which finds the
-windows that start in two or more documents. Windows that are repeated at one length alone are extended: a window of
-twice the length is a candidate where both its halves are repeated, its hash is made from theirs; only candidates are
-sent again, until none survives. Each level's survivors are a table in the shared folder, and what it shuffled is freed.
-
-Removed are the words covered by a window (of WINDOW words) that also starts in a document with a smaller doc_id; windows
-are judged on the input. The levels give each document the longest length at which one of its windows is repeated.
-
-Documents are packed into chunks of about ``CHUNK`` bytes (a longer one stands alone); per bucket a chunk sends one row of
-packed arrays (hashes, places, doc ids). Buckets are by hash, so a window that a third of all documents share is one
-hash value among its bucket's many; its places are only compared with their smallest and largest doc_id, never paired.
+Length 1 takes every word; a window that is repeated at one length alone is extended to twice it, so a candidate's two
+halves are both repeated: 1, 2, 4, 8 words, then ``WINDOW`` (13) words from two windows of 8 that overlap, then 26, 52 and
+so on until no candidate survives. Removed are the words covered by a window of ``WINDOW`` words that also starts in a
+document with a smaller doc_id, windows being judged on the input; that length's candidates tell it, and the longer ones
+give each document the longest length at which one of its windows is repeated.
+
+Documents are packed into chunks of about ``CHUNK`` bytes (a longer one stands alone). For every length a chunk keeps the
+places of its candidates and sends each distinct hash (64 bits) once: sorted, delta-coded, cut by bucket into ranges. A
+bucket says which of them are repeated, and the chunk finds its places again. Below ``WINDOW`` no ids are sent: a hash of
+two chunks, or of two documents of one chunk, goes on (more than the repeated ones, never fewer). From ``WINDOW`` on the
+smallest and largest doc_id of each hash are sent and decide. A window that a third of all documents share is one entry
+a chunk, however often it occurs. A length's tables are deleted when the next one's are written.
 
 Defined cases: null and empty texts have no words; a null doc_id is larger than every other and not smaller than itself;
-rows with equal ids are the same document (they don't remove from each other) and each get a row.
+rows with equal ids are the same document (they don't remove from each other) and each get a row; a window lies in one
+row. Ids are whole numbers (a doc_id that isn't fails the cast).
 """
 
 from __future__ import annotations
@@ -25,15 +27,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealscreen.llm.common import (materialise, mix, pack, read, scratch_dir, shuffle_partitions, split_words,
-                                   unpack, window_hash)
+from dealscreen.llm.common import (coded, discard, materialise, mix, pack, read, rows_of, scratch_dir,
+                                   shuffle_partitions, split_words, unpack)
 from dealscreen.llm.xxh import xxh64_slices
 
 WINDOW, CHUNK = 13, 4 << 20
 _LAST = np.iinfo(np.int64).max
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_ROWS = "bucket int, chunk long, h binary, at binary, ids binary"
-_FOUND = "chunk long, h binary, at binary, ids binary, later binary"
+_STATE = ("chunk long, ids binary, at binary, row binary, code binary, longest binary, gone binary, "
+          "sent array<struct<bucket:int,h:binary,low:binary,high:binary>>")
+_ARROW = pa.schema([("chunk", pa.int64()), *[(x, pa.binary()) for x in ("ids", "at", "row", "code", "longest", "gone")],
+                    ("sent", pa.list_(pa.struct([("bucket", pa.int32()), *[(x, pa.binary()) for x in ("h", "low", "high")]])))])
+_VERDICT = "chunk long, bucket int, kept binary, least binary"
 
 
 def packed_chunks(docs: DataFrame, limit: int = CHUNK) -> DataFrame:
@@ -61,109 +66,162 @@ def packed_chunks(docs: DataFrame, limit: int = CHUNK) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Words, row offsets and word hashes."""
-    words, offsets = split_words(texts)
+def _hashes(words: pa.Array) -> np.ndarray:
     if not len(words):
-        return words, offsets, np.empty(0, np.uint64)
+        return np.empty(0, np.uint64)
     ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].astype(np.int64)
-    data = np.frombuffer(words.buffers()[2], np.uint8)
-    return words, offsets, xxh64_slices(data, ends[:-1], ends[1:])
+    return xxh64_slices(np.frombuffer(words.buffers()[2], np.uint8), ends[:-1], ends[1:])
+
+
+def _state(chunk: int, ids: np.ndarray, at: np.ndarray, row: np.ndarray, h: np.ndarray, longest: np.ndarray,
+           gone: np.ndarray, exact: bool, buckets: int) -> dict:
+    """A chunk's candidates of one length: places, rows, and each distinct hash once, in ranges of hashes by bucket."""
+    order = np.argsort(h, kind="stable")
+    ordered = h[order]
+    heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(h) else np.empty(0, np.int64)
+    code = np.empty(len(h), np.uint32)
+    code[order] = np.repeat(np.arange(len(heads), dtype=np.uint32), np.diff(np.append(heads, len(h))))
+    distinct = ordered[heads]
+    sent = []
+    if len(heads):
+        own = ids[row[order]]
+        low, high = np.minimum.reduceat(own, heads), np.maximum.reduceat(own, heads)
+        bucket = ((distinct >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        for b in np.flatnonzero(np.diff(cuts)).tolist():
+            a, z = cuts[b], cuts[b + 1]
+            sent.append({"bucket": b, "h": pack(np.diff(distinct[a:z], prepend=np.uint64(0))),
+                         "low": pack(low[a:z]) if exact else b"",
+                         "high": pack(high[a:z] - low[a:z] if exact else np.packbits(low[a:z] != high[a:z]))})
+    return {"chunk": chunk, "ids": pack(ids), "at": pack(np.diff(at, prepend=0).astype(np.uint32)),
+            "row": pack(np.diff(row, prepend=0).astype(np.uint32)), "code": pack(code), "longest": pack(longest),
+            "gone": pack(np.diff(gone, prepend=0).astype(np.uint32)), "sent": sent}
+
+
+def _batch(states: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(states, schema=_ARROW)
+
+
+def _words_level(exact: bool, buckets: int):
+    """Length 1: every word of a chunk, hashed once for all its places."""
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                texts = b.column("texts").slice(r, 1).flatten()
+                ids = pc.fill_null(b.column("ids").slice(r, 1).flatten(), _LAST).to_numpy()
+                words, offsets = split_words(texts)
+                code, distinct = coded(words)
+                at, none = np.arange(len(words)), np.empty(0, np.int64)
+                yield _batch([_state(b.column("chunk")[r].as_py(), ids, at, rows_of(offsets), _hashes(distinct)[code],
+                                     np.zeros(len(texts), np.int64), none, exact, buckets)])
 
+    return run
 
-def _starts(offsets: np.ndarray, window: int) -> np.ndarray:
-    """Places of the first words of all windows."""
-    n = np.maximum(np.diff(offsets) - window + 1, 0)
-    return np.arange(int(n.sum())) + np.repeat(offsets[:-1] - (np.cumsum(n) - n), n)
 
+def _verdicts(exact: bool):
+    """Which of a bucket's hashes are repeated; where ids were sent, by the smallest and largest of all chunks.
 
-def _send(chunk: int, h: np.ndarray, at: np.ndarray, ids: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """One row per bucket, each with its windows in the order of their places."""
-    bucket = (h % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    rows = [(b, pack(h[o]), pack(np.diff(at[o], prepend=0).astype(np.uint32)), pack(np.diff(ids[o], prepend=0)))
-            for b in range(buckets) if len(o := order[cuts[b]:cuts[b + 1]])]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()),
-         *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)]], names=["bucket", "chunk", "h", "at", "ids"])
+    Without ids a hash is repeated where two chunks have it or one chunk has it in two documents.
+    """
+    def run(table: pa.Table) -> pa.Table:
+        hashes = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in table["h"].to_pylist()]
+        size = np.array([len(x) for x in hashes])
+        h = np.concatenate(hashes)
+        order = np.argsort(h, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        count = np.diff(np.append(heads, len(h)))
+        group = np.empty(len(h), np.int64)
+        group[order] = np.repeat(np.arange(len(heads)), count)
+        if exact:
+            low = np.concatenate([unpack(x, np.int64) for x in table["low"].to_pylist()])
+            high = low + np.concatenate([unpack(x, np.int64) for x in table["high"].to_pylist()])
+            least = np.minimum.reduceat(low[order], heads)
+            several, least = least != np.maximum.reduceat(high[order], heads), least[group]
+        else:
+            here = np.concatenate([np.unpackbits(unpack(x, np.uint8), count=n) for x, n in
+                                   zip(table["high"].to_pylist(), size.tolist())])
+            several, least = (count > 1) | np.logical_or.reduceat(here[order] > 0, heads), np.zeros(len(h), np.int64)
+        kept, out, ends = several[group], [], np.cumsum(size)
+        for chunk, bucket, a, z in zip(table["chunk"].to_pylist(), table["bucket"].to_pylist(), ends - size, ends):
+            k = kept[a:z]
+            if k.any():
+                out.append((chunk, bucket, pack(np.packbits(k)), pack(least[a:z][k]) if exact else b""))
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in
+                         enumerate([pa.int64(), pa.int32(), pa.binary(), pa.binary()])],
+                        names=["chunk", "bucket", "kept", "least"])
 
+    return run
+
+
+def _extend(length: int, following: int, window: int, buckets: int):
+    """A chunk's repeated windows, joined to those of the following length.
+
+    A longer window is a candidate where the windows at its start and at its end, which cover it, are both repeated. From
+    ``window`` on a repeated one counts for its row's longest; at ``window`` the places after a smaller id are told.
+    """
+    step, exact = following - length, length >= window
 
-def _first_level(window: int, buckets: int):
     def run(batches):
         for b in batches:
-            for r in range(b.num_rows):
-                texts = b.column("texts").slice(r, 1).flatten()
-                ids = pc.fill_null(b.column("ids").slice(r, 1).flatten(), _LAST).to_numpy()
-                _, offsets, words = _words(texts)
-                at = _starts(offsets, window)
-                if len(at):
-                    h = window_hash(words, window)[at]
-                    own = ids[np.searchsorted(offsets, at, side="right") - 1]
-                    yield _send(b.column("chunk")[r].as_py(), h, at, own, buckets)
+            for x in b.to_pylist():
+                ids, row = unpack(x["ids"], np.int64), np.cumsum(unpack(x["row"], np.uint32), dtype=np.int64)
+                at = np.cumsum(unpack(x["at"], np.uint32), dtype=np.int64)
+                longest, gone = unpack(x["longest"], np.int64), np.cumsum(unpack(x["gone"], np.uint32), dtype=np.int64)
+                h, kept, least = [np.empty(0, np.uint64)], [np.empty(0, bool)], [np.empty(0, np.int64)]
+                told = {v["bucket"]: v for v in x["verdicts"] or ()}
+                for s in x["sent"]:
+                    h.append(np.cumsum(unpack(s["h"], np.uint64), dtype=np.uint64))
+                    v = told.get(s["bucket"])
+                    kept.append(np.unpackbits(unpack(v["kept"], np.uint8), count=len(h[-1])).astype(bool) if v
+                                else np.zeros(len(h[-1]), bool))
+                    if exact:
+                        least.append(np.zeros(len(h[-1]), np.int64))
+                        least[-1][kept[-1]] = unpack(v["least"], np.int64) if v else 0
+                code = unpack(x["code"], np.uint32)
+                left = np.concatenate(kept)[code]
+                at, row, code = at[left], row[left], code[left]
+                own = np.concatenate(h)[code]
+                if exact:
+                    longest = longest.copy()
+                    longest[row] = length
+                if length == window:
+                    gone = at[ids[row] > np.concatenate(least)[code]]
+                slot = np.minimum(np.searchsorted(at, at + step), max(len(at) - 1, 0))
+                both = np.flatnonzero((at[slot] == at + step) & (row[slot] == row))
+                yield _batch([_state(x["chunk"], ids, at[both], row[both], mix(own[both] * _MUL + own[slot[both]]),
+                                     longest, gone, following >= window, buckets)])
 
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """A bucket's windows that start in two or more documents; later: whether one of these has a smaller id."""
-    hashes = [unpack(x, np.uint64) for x in table["h"].to_pylist()]
-    ids = [np.cumsum(unpack(x, np.int64)) for x in table["ids"].to_pylist()]
-    size = np.array([len(x) for x in hashes])
-    h, own = np.concatenate(hashes), np.concatenate(ids)
-    order = np.argsort(h)
-    heads = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-    low, high = np.minimum.reduceat(own[order], heads), np.maximum.reduceat(own[order], heads)
-    group = np.empty(len(h), np.int64)
-    group[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(h))))
-    kept, later = (low != high)[group], own > low[group]
-    out, ends = [], np.cumsum(size)
-    for chunk, at, a, z in zip(table["chunk"].to_pylist(), table["at"].to_pylist(), ends - size, ends):
-        k = kept[a:z]
-        if k.any():
-            place = np.cumsum(unpack(at, np.uint32), dtype=np.int64)[k]
-            out.append((chunk, pack(h[a:z][k]), pack(np.diff(place, prepend=0).astype(np.uint32)),
-                        pack(np.diff(own[a:z][k], prepend=0)), pack(later[a:z][k].astype(np.uint8))))
-    return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate([pa.int64()] + [pa.binary()] * 4)],
-                    names=["chunk", "h", "at", "ids", "later"])
-
-
-def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A chunk's windows from all buckets by place: places, hashes, ids."""
-    at = np.concatenate([np.cumsum(unpack(x, np.uint32), dtype=np.int64) for x in table["at"].to_pylist()])
-    h = np.concatenate([unpack(x, np.uint64) for x in table["h"].to_pylist()])
-    ids = np.concatenate([np.cumsum(unpack(x, np.int64)) for x in table["ids"].to_pylist()])
-    order = np.argsort(at)
-    return at[order], h[order], ids[order]
-
-
-def _extend(length: int, buckets: int):
-    """Candidates of twice the length: windows whose second half starts ``length`` words on and is repeated too."""
-    def run(table: pa.Table) -> pa.Table:
-        at, h, ids = _joined(table)
-        slot = np.minimum(np.searchsorted(at, at + length), len(at) - 1)
-        both = np.flatnonzero((at[slot] == at + length) & (ids[slot] == ids))
-        if not len(both):
-            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())],
-                            names=["bucket", "chunk", "h", "at", "ids"])
-        twice = mix(h[both] * _MUL + h[slot[both]])
-        return pa.Table.from_batches([_send(table["chunk"][0].as_py(), twice, at[both], ids[both], buckets)])
+def _following(length: int, window: int) -> int:
+    """Twice the length; on the way to ``window`` no further than it, so that the last step's two halves overlap."""
+    return 2 * length if length >= window else min(2 * length, window)
 
-    return run
 
+def levels(chunks: DataFrame, window: int = WINDOW) -> DataFrame:
+    """chunk, longest, gone: the doubling from single words on until no candidate survives.
 
-def levels(chunks: DataFrame, window: int = WINDOW) -> list[tuple[int, DataFrame]]:
-    """(length, repeated windows) from ``window`` on, doubling until none is repeated."""
-    spark, out = chunks.sparkSession, []
+    Each length's candidates are one table; it and the verdicts on it are deleted when the next length's is written.
+    """
+    spark, length = chunks.sparkSession, 1
     buckets = 2 * shuffle_partitions(spark)
-    sent, length = chunks.select("chunk", "ids", "texts").mapInArrow(_first_level(window, buckets), _ROWS), window
-    while True:
-        found = materialise(sent.groupBy("bucket").applyInArrow(_repeated, _FOUND))
-        if found.isEmpty():
-            return out
-        out.append((length, found))
-        sent = found.select("chunk", "h", "at", "ids").groupBy("chunk").applyInArrow(_extend(length, buckets), _ROWS)
-        length *= 2
+    path = scratch_dir(spark)
+    state = materialise(chunks.select("chunk", "ids", "texts")
+                        .mapInArrow(_words_level(length >= window, buckets), _STATE), path)
+    while not state.where(F.size("sent") > 0).isEmpty():
+        sent = state.select("chunk", F.explode("sent").alias("s")).select("chunk", "s.*")
+        judged = scratch_dir(spark)
+        verdicts = materialise(sent.groupBy("bucket").applyInArrow(_verdicts(length >= window), _VERDICT), judged)
+        verdicts = verdicts.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kept", "least")).alias("verdicts"))
+        following, before = _following(length, window), path
+        path = scratch_dir(spark)
+        state = materialise(state.join(verdicts, "chunk", "left")
+                            .mapInArrow(_extend(length, following, window, buckets), _STATE), path)
+        discard(spark, before)
+        discard(spark, judged)
+        length = following
+    return state.select("chunk", "longest", "gone")
 
 
 def _assemble(window: int):
@@ -174,14 +232,10 @@ def _assemble(window: int):
                 ids = b.column("ids").slice(r, 1).flatten()
                 words, offsets = split_words(texts)
                 cover = np.zeros(len(words) + 1, np.int64)
-                longest = np.zeros(len(texts), np.int64)
-                for x in b.column("found")[r].as_py() or ():
-                    at = np.cumsum(unpack(x["at"], np.uint32), dtype=np.int64)
-                    if x["length"] == window:
-                        gone = at[unpack(x["later"], np.uint8) > 0]
-                        np.add.at(cover, gone, 1)
-                        np.add.at(cover, np.minimum(gone + window, len(words)), -1)
-                    np.maximum.at(longest, np.searchsorted(offsets, at, side="right") - 1, x["length"])
+                at = np.cumsum(unpack(b.column("gone")[r].as_py(), np.uint32), dtype=np.int64)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + window, -1)
+                longest = unpack(b.column("longest")[r].as_py(), np.int64)
                 removed = np.cumsum(cover[:-1]) > 0
                 gone = np.concatenate([[0], np.cumsum(removed)])
                 hashes = []
@@ -202,16 +256,7 @@ def _assemble(window: int):
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and longest_window (0: none) of every document row."""
     chunks = packed_chunks(docs)
-    found = [x.select("chunk", F.struct(F.lit(n).cast("long").alias("length"), "at",
-                                        F.when(F.lit(n == window), F.col("later")).alias("later")).alias("x"))
-             for n, x in levels(chunks, window)]
-    joined = chunks.withColumn("found", F.lit(None).cast("array<struct<length:bigint,at:binary,later:binary>>"))
-    if found:
-        every = found[0]
-        for x in found[1:]:
-            every = every.union(x)
-        joined = chunks.join(every.groupBy("chunk").agg(F.collect_list("x").alias("found")), "chunk", "left")
-    return joined.select("ids", "texts", "found").mapInArrow(
+    return chunks.join(levels(chunks, window), "chunk").select("ids", "texts", "longest", "gone").mapInArrow(
         _assemble(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, longest_window long")
 
 

@@ -1,6 +1,7 @@
 """Substring, suffix and SimHash dedup against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -47,6 +48,73 @@ def test_substring_levels(docs, texts):
     assert longest[104] == 52 and longest[106] == 0
 
 
+def longest_windows(texts, window):
+    """By row: the longest of window, twice it and so on at which one of its windows starts in another document too."""
+    out, n = [0] * len(texts), window
+    while True:
+        owners, of = defaultdict(set), defaultdict(set)
+        for r, (i, t) in enumerate(texts):
+            w = (t or "").split()
+            for s in range(len(w) - n + 1):
+                owners[tuple(w[s:s + n])].add(i)
+                of[tuple(w[s:s + n])].add(r)
+        found = {r for x, ids in owners.items() if len(ids) > 1 for r in of[x]}
+        if not found:
+            return out
+        for r in found:
+            out[r] = n
+        n *= 2
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 8])
+def test_substring_windows(spark, window):
+    """Other lengths, many chunks: the base level is reached through shorter windows, overlapping where it isn't their double."""
+    rng = random.Random(window)
+    made = [(rng.randrange(40), " ".join(rng.choice("abcdefghij") * rng.randrange(1, 3) for _ in range(rng.randrange(30))))
+            for _ in range(60)]
+    made += [(90, "k l m n o p"), (90, "q r s t u v"), (91, "k l m n o p q r s t u v"), (None, "k l m n o p"), (92, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").repartition(7)
+    got = substrings.deduplicated(docs, window).collect()
+    assert Counter(tuple(r)[:4] for r in got) == Counter(removed_words(made, window))
+    assert Counter((r.doc_id, r.n_words, r.longest_window) for r in got) == Counter(
+        (i, len((t or "").split()), n) for (i, t), n in zip(made, longest_windows(made, window)))
+
+
+def test_substring_window_stays_in_its_row(spark):
+    """Rows of equal id that lie side by side are not read across."""
+    made = [(1, "a b c d"), (1, "e f g h"), (2, "a b c d e f g h"), (3, "d e f")]
+    got = substrings.deduplicated(spark.createDataFrame(made, "doc_id long, text string").coalesce(1), 4).collect()
+    assert Counter(tuple(r)[:4] for r in got) == Counter(removed_words(made, 4))
+    assert all(r.longest_window <= 4 for r in got)
+
+
+def test_substring_hot_window(spark):
+    """A passage in a third of the documents, several times in each, is sent once a chunk; a length's tables are deleted."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(20))
+    made = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(20)) + (f" {passage} x{i} {passage}" if i % 3 == 0 else ""))
+            for i in range(300)]
+    chunks = substrings.packed_chunks(spark.createDataFrame(made, "doc_id long, text string").repartition(4))
+    states = []
+    for row in chunks.select("chunk", "ids", "texts").mapInArrow(
+            substrings._words_level(True, 4), substrings._STATE).collect():
+        states.append(sum(len(substrings.unpack(s["h"], "uint64")) for s in row.sent))
+    assert sum(states) <= 300 * 20 + 100 + len(states) * 20
+    got = substrings.deduplicated(spark.createDataFrame(made, "doc_id long, text string").repartition(4)).collect()
+    assert Counter(tuple(r)[:4] for r in got) == Counter(removed_words(made))
+
+
+def test_substring_tables_of_shorter_windows_are_deleted(docs, monkeypatch):
+    written, deleted = [], []
+    plain, drop = substrings.materialise, substrings.discard
+    monkeypatch.setattr(substrings, "materialise", lambda df, path=None: written.append(path) or plain(df, path))
+    monkeypatch.setattr(substrings, "discard", lambda spark, path: deleted.append(path) or drop(spark, path))
+    chunks = substrings.packed_chunks(docs)
+    last = substrings.levels(chunks)
+    assert last.count() == chunks.count()
+    assert set(deleted) == set(written[:-1]) and written[-1] not in deleted
+
+
 def removed_bytes(texts, length=200):
     count = Counter()
     for _, t in texts:
