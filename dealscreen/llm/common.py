@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,23 +30,40 @@ def scratch_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write to the shared folder (to ``path``, or a fresh one) and read back: cuts lineage, survives lost executors.
-
-    What the write shuffled is freed when it has ended, not when the driver happens to collect garbage.
-    """
-    spark, path = df.sparkSession, path or scratch_dir(df.sparkSession)
+@contextmanager
+def _freed(spark: SparkSession):
+    """What a write shuffles is freed when it has ended, not when the driver happens to collect garbage."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write to the shared folder (to ``path``, or a fresh one) and read back: cuts lineage, survives lost executors."""
+    spark, path = df.sparkSession, path or scratch_dir(df.sparkSession)
+    with _freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_buckets(df: DataFrame, key: str, buckets: int, path: str) -> DataFrame:
+    """The same, in buckets by a key: joins on it leave these rows where they are.
+
+    Buckets are told by a table's entry in the catalog; the entry is dropped once it is read, the files stay.
+    """
+    spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
+    with _freed(spark):
+        df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name, format="parquet")
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table that ``materialise`` wrote to ``path``, once nothing reads it any more."""
+    """Delete a table that was written to ``path``, once nothing reads it any more."""
     table = spark._jvm.org.apache.hadoop.fs.Path(path)
     table.getFileSystem(spark._jsc.hadoopConfiguration()).delete(table, True)
 

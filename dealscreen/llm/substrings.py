@@ -27,8 +27,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealscreen.llm.common import (coded, discard, materialise, mix, pack, read, rows_of, scratch_dir,
-                                   shuffle_partitions, split_words, unpack)
+from dealscreen.llm.common import (coded, discard, materialise, materialise_buckets, mix, pack, read, rows_of,
+                                   scratch_dir, shuffle_partitions, split_words, unpack)
 from dealscreen.llm.xxh import xxh64_slices
 
 WINDOW, CHUNK = 13, 4 << 20
@@ -202,13 +202,14 @@ def _following(length: int, window: int) -> int:
 def levels(chunks: DataFrame, window: int = WINDOW) -> DataFrame:
     """chunk, longest, gone: the doubling from single words on until no candidate survives.
 
-    Each length's candidates are one table; it and the verdicts on it are deleted when the next length's is written.
+    Each length's candidates are one table; it and the verdicts on it are deleted when the next length's is written. The
+    tables are bucketed by chunk, so that only hashes and verdicts are shuffled.
     """
-    spark, length = chunks.sparkSession, 1
-    buckets = 2 * shuffle_partitions(spark)
-    path = scratch_dir(spark)
-    state = materialise(chunks.select("chunk", "ids", "texts")
-                        .mapInArrow(_words_level(length >= window, buckets), _STATE), path)
+    spark, length, path = chunks.sparkSession, 1, scratch_dir(chunks.sparkSession)
+    parts = shuffle_partitions(spark)
+    state = materialise_buckets(
+        chunks.select("chunk", "ids", "texts").mapInArrow(_words_level(length >= window, 2 * parts), _STATE)
+        .repartition(parts, "chunk"), "chunk", parts, path)
     while not state.where(F.size("sent") > 0).isEmpty():
         sent = state.select("chunk", F.explode("sent").alias("s")).select("chunk", "s.*")
         judged = scratch_dir(spark)
@@ -216,8 +217,9 @@ def levels(chunks: DataFrame, window: int = WINDOW) -> DataFrame:
         verdicts = verdicts.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "kept", "least")).alias("verdicts"))
         following, before = _following(length, window), path
         path = scratch_dir(spark)
-        state = materialise(state.join(verdicts, "chunk", "left")
-                            .mapInArrow(_extend(length, following, window, buckets), _STATE), path)
+        state = materialise_buckets(
+            state.join(verdicts.hint("merge"), "chunk", "left")
+            .mapInArrow(_extend(length, following, window, 2 * parts), _STATE), "chunk", parts, path)
         discard(spark, before)
         discard(spark, judged)
         length = following

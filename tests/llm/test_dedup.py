@@ -106,13 +106,16 @@ def test_substring_hot_window(spark):
 
 def test_substring_tables_of_shorter_windows_are_deleted(docs, monkeypatch):
     written, deleted = [], []
-    plain, drop = substrings.materialise, substrings.discard
-    monkeypatch.setattr(substrings, "materialise", lambda df, path=None: written.append(path) or plain(df, path))
+    plain, buckets, drop = substrings.materialise, substrings.materialise_buckets, substrings.discard
+    monkeypatch.setattr(substrings, "materialise", lambda df, path: written.append(path) or plain(df, path))
+    monkeypatch.setattr(substrings, "materialise_buckets",
+                        lambda df, key, n, path: written.append(path) or buckets(df, key, n, path))
     monkeypatch.setattr(substrings, "discard", lambda spark, path: deleted.append(path) or drop(spark, path))
     chunks = substrings.packed_chunks(docs)
     last = substrings.levels(chunks)
     assert last.count() == chunks.count()
     assert set(deleted) == set(written[:-1]) and written[-1] not in deleted
+    assert not [t.name for t in docs.sparkSession.catalog.listTables() if t.name.startswith("llm_")]
 
 
 def removed_bytes(texts, length=200):
