@@ -31,7 +31,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def _freed(spark: SparkSession):
+def freed(spark: SparkSession):
     """What a write shuffles is freed when it has ended, not when the driver happens to collect garbage."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
@@ -44,7 +44,7 @@ def _freed(spark: SparkSession):
 def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write to the shared folder (to ``path``, or a fresh one) and read back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, path or scratch_dir(df.sparkSession)
-    with _freed(spark):
+    with freed(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -55,7 +55,7 @@ def materialise_buckets(df: DataFrame, key: str, buckets: int, path: str) -> Dat
     Buckets are told by a table's entry in the catalog; the entry is dropped once it is read, the files stay.
     """
     spark, name = df.sparkSession, f"llm_{uuid.uuid4().hex}"
-    with _freed(spark):
+    with freed(spark):
         df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name, format="parquet")
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")

@@ -1,20 +1,22 @@
 """Token ids of all documents in training order: fixed-stride shards for sequential, resumable reads.
 
-Documents become byte-level BPE ids, each ended by ``END``, one after the other in a stream per input partition that is cut
-into sequences of ``SEQ_LEN`` ids (only a partition's last one is filled up with END; it knows its length). The N sequences
-are numbered as they are stored after encoding, and a keyed Feistel network over the next even power of two, walked along
-its cycle until below N, gives each number its slot in the training order: a permutation, known from key and N alone in both
-directions. Slots are range partitioned into shards of ``SHARD`` records; a record is ``HEADER`` bytes (doc_id of its first
-id, that id's place in the document, length) and SEQ_LEN 16-bit ids, so slot s is at byte s % SHARD * STRIDE of shard
-s // SHARD: reads are sequential and resume anywhere.
-
-Steps: one pass encodes and writes the sequences to the shared folder; the driver sees one count per written part (never
-rows), which gives every part its first number; the second pass permutes, shuffles each sequence once to its shard's task
-(a batch's records for a shard compressed together) and writes the shard under a temporary name, then renames it, so that
-repeated or speculative tasks leave the same file.
-
-Defined cases: null texts are left out, empty ones are only their END; repeated rows are encoded as often as they occur;
-null doc_ids are stored as -1; no documents give no shards.
+Documents, ordered by doc_id and a hash of their text, become byte-level BPE ids, each ended by ``END``, and form one stream
+that is cut at every ``SEQ_LEN`` ids (only the corpus's last sequence is filled up with END; it knows its length). A keyed
+Feistel network over the next even power of two, walked along its cycle until below N, gives each of the N sequences its slot
+in the training order: a permutation, known from key and N alone in both directions. Which ids stand at a slot follows from
+key and documents alone, however these are stored or split. Slots are range partitioned into shards of ``SHARD`` records; a
+record is ``HEADER`` bytes (doc_id of its first id, that id's place in the document, length) and SEQ_LEN 16-bit ids, so
+slot s is at byte s % SHARD * STRIDE of shard s // SHARD: reads are sequential and resume anywhere.
+
+Steps: documents are range partitioned by (doc_id, hash), sorted, encoded and written to the shared folder, each with the
+number of ids before it in its range; the driver sees one sum per range (never rows), which gives every range its place in
+the stream; the second pass cuts at the stream's fixed places, so that a sequence over two batches is two pieces, permutes,
+sends each piece once to its shard's range (a batch's pieces of a shard compressed together), puts the pieces together and
+writes the shard under a temporary name, then renames it, so that repeated or speculative tasks leave the same file.
+Shards are written once, before the rows that describe them are returned.
+
+Defined cases: null texts are left out, empty ones are only their END; repeated rows are encoded as often as they occur, and
+may be dealt over several ranges; null doc_ids are stored as -1; no documents give no shards.
 """
 
 from __future__ import annotations
@@ -27,16 +29,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealscreen.llm.common import chunks, mix, pack, read, scratch_dir, unpack
+from dealscreen.llm.common import (chunks, discard, freed, materialise, mix, pack, read, scratch_dir, shuffle_partitions,
+                                   unpack)
 
 RANKS, PATTERN = "/opt/tokenizers/byte_bpe_50k.tiktoken", (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")  # fixed: splits text before merges
 SEQ_LEN, SHARD, KEY, ROUNDS, END = 512, 4096, "training-order", 6, 50256
+PLACE_BYTES = 16 << 20
 HEADER = 16
 STRIDE = HEADER + 2 * SEQ_LEN
 
@@ -59,48 +62,45 @@ def encode(texts: pa.Array, path: str = RANKS) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.empty(0, np.uint16), offsets
 
 
-def sequences(docs: DataFrame, seq_len: int = SEQ_LEN, path: str = RANKS) -> DataFrame:
-    """doc_ids (of the documents it has ids of), offset (its first id's place in the first of them), n_ids and ids."""
-    def cut(stream, starts, docs_, last):
-        """Full sequences (with last also the rest) of the stream; starts: where each document begins in it."""
-        n = -(-len(stream) // seq_len) if last else len(stream) // seq_len
-        used = min(n * seq_len, len(stream))
-        block = np.full(n * seq_len, END, np.uint16)
-        block[:used] = stream[:used]
-        begin = np.arange(n) * seq_len
-        size = np.minimum(seq_len, len(stream) - begin)
-        first = np.searchsorted(starts, begin, side="right") - 1
-        final = np.searchsorted(starts, begin + size - 1, side="right") - 1
-        batch = None
-        if n:
-            many = final - first + 1
-            at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()),
-                                             pa.array(docs_[at], pa.int64()))
-            batch = pa.RecordBatch.from_arrays(
-                [lists, pa.array(begin - starts[first], pa.int64()), pa.array(size, pa.int64()),
-                 _fixed(block.view(np.uint8).reshape(n, 2 * seq_len))], names=["doc_ids", "offset", "n_ids", "ids"])
-        keep = max(np.searchsorted(starts, used, side="right") - 1, 0)
-        return batch, (stream[used:], starts[keep:] - used, docs_[keep:])
-
+def encoded(docs: DataFrame, path: str = RANKS) -> DataFrame:
+    """doc_id, at (ids before it in its range) and ids of every document, in ranges of (doc_id, hash of the text)."""
     def run(batches):
-        stream, starts, docs_ = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0, np.int64)
+        before = 0
         for b in chunks(batches):
-            b = b.filter(pc.is_valid(b.column("text")))
-            if not b.num_rows:
-                continue
             ids, offsets = encode(b.column("text"), path)
             ended = np.full(len(ids) + b.num_rows, END, np.uint16)
             ended[np.arange(len(ids)) + np.repeat(np.arange(b.num_rows), np.diff(offsets))] = ids
-            starts = np.concatenate([starts, len(stream) + offsets[:-1] + np.arange(b.num_rows)])
-            docs_ = np.concatenate([docs_, pc.fill_null(b.column("doc_id").cast(pa.int64()), -1).to_numpy()])
-            out, (stream, starts, docs_) = cut(np.concatenate([stream, ended]), starts, docs_, False)
-            if out is not None:
-                yield out
-        if len(stream):
-            yield cut(stream, starts, docs_, True)[0]
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_ids array<long>, offset long, n_ids long, ids binary")
+            places = offsets + np.arange(len(offsets))
+            data = memoryview(ended.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(before + places[:-1], pa.int64()),
+                 pa.array([data[2 * i:2 * j] for i, j in zip(places, places[1:])], pa.binary())],
+                names=["doc_id", "at", "ids"])
+            before += len(ended)
+
+    # Equal rows may stand in any order, so what tells them apart only deals them over the ranges.
+    keys = ["doc_id", "hash", "copy"]
+    rows = docs.where("text IS NOT NULL").select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), "text", F.xxhash64("text").alias("hash"),
+        F.monotonically_increasing_id().alias("copy"))
+    return (rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys)
+            .select("doc_id", "text").mapInArrow(run, "doc_id long, at long, ids binary"))
+
+
+def pieces_of(start: int, stream: np.ndarray, begins: np.ndarray, docs: np.ndarray, seq_len: int) -> tuple:
+    """What the sequences get of whole documents that begin at ``begins`` of a stream with ``start`` ids before it: number,
+    place in the sequence, ids as rows filled up with END, how many, documents (lists) and the first id's place in its own."""
+    edges = np.arange(start // seq_len, -(-(start + len(stream)) // seq_len) + 1) * seq_len - start
+    edges[0], edges[-1] = 0, len(stream)
+    low, size = edges[:-1], np.diff(edges)
+    numbers = start // seq_len + np.arange(len(low))
+    inside = np.where(numbers * seq_len < start, start % seq_len, 0)
+    ids = np.full((len(low), seq_len), END, np.uint16)
+    ids.ravel()[np.arange(len(stream)) + start % seq_len - np.repeat(inside, size)] = stream
+    first = np.searchsorted(begins, low, side="right") - 1
+    many = np.searchsorted(begins, low + size - 1, side="right") - first
+    at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    return numbers, inside, ids, size, many, docs[at], low - begins[first]
 
 
 def _squeezed(records: np.ndarray) -> bytes:
@@ -111,12 +111,6 @@ def _records(data: bytes, stride: int) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, stride)
 
 
-def _fixed(rows: np.ndarray) -> pa.Array:
-    """Equally long byte rows as a binary array."""
-    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
-
-
 class Order:
     """The keyed permutation of 0 to n-1: Feistel rounds on halves of bits, cycle-walked until below n."""
 
@@ -187,66 +181,93 @@ def training_order(docs: DataFrame, uri: str, seq_len: int = SEQ_LEN, shard: int
     """One row per sequence: slot, shard, byte_offset, doc_ids, offset, n_ids, ids_sha256; the shards are under uri."""
     spark, stride = docs.sparkSession, HEADER + 2 * seq_len
     held = scratch_dir(spark)
-    sequences(docs, seq_len, path).write.option("compression", "zstd").parquet(held)
-    stored = spark.read.parquet(held).withColumn("file", F.col("_metadata.file_name")).withColumn(
-        "at", F.col("_metadata.row_index"))
-    counts = sorted((r["file"], r["n"]) for r in stored.groupBy("file").agg(F.count("*").alias("n")).collect())
-    first, n = {}, 0
-    for name, size in counts:
-        first[name], n = n, n + size
-    if not n:
+    with freed(spark):
+        encoded(docs, path).write.option("compression", "zstd").parquet(held)
+    stored = spark.read.parquet(held).withColumn(
+        "part", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int"))
+    sums = stored.groupBy("part").agg(F.max(F.col("at") + F.octet_length("ids") / 2).cast("long").alias("n")).collect()
+    first, total = {}, 0
+    for part, size in sorted((r["part"], r["n"]) for r in sums):
+        first[part], total = total, total + size
+    if not total:
         return spark.createDataFrame([], _SCHEMA)
-    order = Order(n, key)
+    order = Order(-(-total // seq_len), key)
+    shards = -(-order.n // shard)
 
     def place(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            d = b.column("file").dictionary_encode()
-            base = np.array([first[x] for x in d.dictionary.to_pylist()], np.int64)[d.indices.to_numpy()]
-            slots = order.slots(base + b.column("at").to_numpy()).astype(np.int64)
-            docs_ = b.column("doc_ids")
-            many = pc.list_value_length(docs_).to_numpy().astype(np.int64)
-            flat = docs_.flatten().to_numpy()
-            starts = np.cumsum(many) - many
-            head = np.empty((b.num_rows, 2), "<i8")
-            head[:, 0] = flat[starts]
-            head[:, 1] = b.column("offset").to_numpy() | (b.column("n_ids").to_numpy() << 32)
-            ids = np.stack([np.frombuffer(x, np.uint8) for x in b.column("ids").to_pylist()])
-            records = np.concatenate([head.view(np.uint8).reshape(b.num_rows, HEADER), ids], axis=1)
+        for b in chunks(batches, "ids", PLACE_BYTES):
+            base = np.array([first[x] for x in b.column("part").to_pylist()], np.int64)
+            starts, docs_ = base + b.column("at").to_numpy(), b.column("doc_id").to_numpy()
+            parts = [np.frombuffer(x, np.uint16) for x in b.column("ids").to_pylist()]
+            ends = starts + np.array([len(x) for x in parts])
+            cuts = np.flatnonzero(starts[1:] != ends[:-1]) + 1
+            found = []
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(parts)]):
+                found.append(pieces_of(int(starts[i]), np.concatenate(parts[i:j]), starts[i:j] - starts[i], docs_[i:j], seq_len))
+            numbers, inside, ids, size, many, listed, offset = (np.concatenate(x) for x in zip(*found))
+            slots = order.slots(numbers).astype(np.int64)
+            head = np.empty((len(slots), 2), "<i8")
+            lists = np.cumsum(many) - many
+            head[:, 0] = listed[lists]
+            head[:, 1] = offset | (size << 32)
+            records = np.concatenate([head.view(np.uint8).reshape(-1, HEADER), ids.view(np.uint8)], axis=1)
             by = np.argsort(slots, kind="stable")
-            cuts = np.flatnonzero(np.diff(slots[by] // shard)) + 1
             rows = []
-            for own in np.split(by, cuts):
-                listed = np.concatenate([flat[starts[i]:starts[i] + many[i]] for i in own.tolist()])
-                rows.append((int(slots[own[0]] // shard), pack(slots[own]), _squeezed(records[own]),
-                             pack(many[own]), pack(listed)))
+            for own in np.split(by, np.flatnonzero(np.diff(slots[by] // shard)) + 1):
+                theirs = np.concatenate([listed[lists[i]:lists[i] + many[i]] for i in own.tolist()])
+                rows.append((int(slots[own[0]] // shard), pack(slots[own]), pack(inside[own]), _squeezed(records[own]),
+                             pack(many[own]), pack(theirs)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4)]],
-                names=["shard", "slots", "records", "many", "docs"])
-
-    def write(table: pa.Table) -> pa.Table:
-        number = table["shard"][0].as_py()
-        slots = np.concatenate([unpack(x, np.int64) for x in table["slots"].to_pylist()])
-        records = np.concatenate([_records(x, stride) for x in table["records"].to_pylist()])
-        many = np.concatenate([unpack(x, np.int64) for x in table["many"].to_pylist()])
-        docs_ = np.concatenate([unpack(x, np.int64) for x in table["docs"].to_pylist()])
+                [pa.array([r[0] for r in rows], pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6)]],
+                names=_PLACED)
+
+    def write(number: int, rows: list) -> pa.RecordBatch:
+        """The shard's pieces put together in slot order, written as one file and described."""
+        slots, inside, many, docs_ = (np.concatenate([unpack(r[c], np.int64) for r in rows])
+                                      for c in ("slots", "inside", "many", "docs"))
+        records = np.concatenate([_records(r["records"], stride) for r in rows])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(docs_))
-        by = np.argsort(slots)
-        slots, records, lists = slots[by], records[by], lists.take(pa.array(by))
-        write_shard(uri, number, records)
+        by = np.lexsort((inside, slots))
+        slots, inside, records, lists, many = slots[by], inside[by], records[by], lists.take(pa.array(by)), many[by]
         head = np.ascontiguousarray(records[:, 8:HEADER]).view("<i4")
-        return pa.table({
-            "slot": slots, "shard": np.full(len(slots), number), "byte_offset": slots % shard * stride, "doc_ids": lists,
-            "offset": head[:, 0].astype(np.int64), "n_ids": head[:, 1].astype(np.int64),
-            "ids_sha256": [hashlib.sha256(r[HEADER:HEADER + 2 * k].tobytes()).hexdigest()
-                           for r, k in zip(records, head[:, 1].tolist())]})
-
-    placed = stored.select("file", "at", "doc_ids", "offset", "n_ids", "ids").mapInArrow(
-        place, "shard long, slots binary, records binary, many binary, docs binary")
-    return placed.groupBy("shard").applyInArrow(write, _SCHEMA)
+        size = head[:, 1].astype(np.int64)
+        own = np.flatnonzero(np.diff(slots, prepend=-1))
+        whole, n_ids = records[own], np.add.reduceat(size, own)
+        for i in np.flatnonzero(inside).tolist():  # later pieces of a sequence: at most two for each batch's run
+            to, at = np.searchsorted(slots[own], slots[i]), HEADER + 2 * inside[i]
+            whole[to, at:at + 2 * size[i]] = records[i, HEADER:HEADER + 2 * size[i]]
+        whole[:, 12:HEADER] = n_ids.astype("<i4")[:, None].view(np.uint8)
+        write_shard(uri, number, whole)
+        ends = np.concatenate([[0], np.cumsum(np.add.reduceat(many, own))])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(slots[own]), pa.array(np.full(len(own), number, np.int64)), pa.array(slots[own] % shard * stride),
+             pa.ListArray.from_arrays(pa.array(ends, pa.int32()), lists.flatten()),
+             pa.array(head[own, 0].astype(np.int64)), pa.array(n_ids),
+             pa.array([hashlib.sha256(r[HEADER:HEADER + 2 * k].tobytes()).hexdigest() for r, k in zip(whole, n_ids.tolist())])],
+            names=["slot", "shard", "byte_offset", "doc_ids", "offset", "n_ids", "ids_sha256"])
+
+    def write_range(batches):
+        at, rows = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if rows and r["shard"] != at:
+                    yield write(at, rows)
+                    rows = []
+                at = r["shard"]
+                rows.append(r)
+        if rows:
+            yield write(at, rows)
+
+    # Contiguous shards a range, told by their number alone: no sampling, which would place everything twice.
+    ranges = min(shards, shuffle_partitions(spark))
+    placed = stored.mapInArrow(place, "shard long, slots binary, inside binary, records binary, many binary, docs binary")
+    out = materialise(placed.repartitionById(ranges, (F.floor(F.col("shard") * ranges / shards)).cast("int"))
+                      .sortWithinPartitions("shard").mapInArrow(write_range, _SCHEMA))
+    discard(spark, held)
+    return out
 
 
+_PLACED = ["shard", "slots", "inside", "records", "many", "docs"]
 _SCHEMA = "slot long, shard long, byte_offset long, doc_ids array<long>, offset long, n_ids long, ids_sha256 string"
 
 

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from dealscreen.llm import decontaminate, html, mixing, pieces, pii, quality, training_order
 from dealscreen.llm.common import scratch_dir, split_words
@@ -308,6 +309,44 @@ def test_training_order_round_trip(spark, docs, texts):
     assert [x[:2] for x in training_order.read_records(uri, 47, 9, shard=50, seq_len=64)] == [x[:2] for x in records[47:56]]
 
 
+def test_training_order_follows_from_documents_alone(spark, docs, texts, monkeypatch):
+    """The same shards from 1 and 7 input splits, from other ranges and with small batches; the stream is that of the
+    documents sorted by id and hash, and sequences that lie in several batches are whole."""
+    enc = training_order.encoding(training_order.RANKS)
+    found = []
+    for splits, ranges, size in ((1, 8, 16 << 20), (7, 3, 100), (4, 1, 5000)):
+        monkeypatch.setattr(training_order, "PLACE_BYTES", size)
+        monkeypatch.setattr(training_order, "shuffle_partitions", lambda _: ranges)
+        out = training_order.training_order(docs.repartition(splits), scratch_dir(spark) + "/shards", seq_len=64, shard=50)
+        found.append(sorted(map(tuple, out.collect())))
+    assert found[0] == found[1] == found[2]
+    hashed = docs.selectExpr("coalesce(doc_id, -1) AS doc_id", "xxhash64(text) AS hash", "text").where("text IS NOT NULL")
+    stream = [x for r in sorted(map(tuple, hashed.collect())) for x in (*enc.encode_ordinary(r[2]), training_order.END)]
+    order = training_order.Order(-(-len(stream) // 64))
+    want = [stream[n * 64:n * 64 + 64] for n in order.numbers(np.arange(order.n)).astype(int).tolist()]
+    assert [r[6] for r in found[0]] == [hashlib.sha256(np.array(w, "<u2").tobytes()).hexdigest() for w in want]
+
+
+def test_training_order_ranges(spark, docs, monkeypatch):
+    """Each task of the last exchange has a range of shards, also where there are fewer tasks than shards."""
+    monkeypatch.setattr(training_order, "shuffle_partitions", lambda _: 3)
+    out = training_order.training_order(docs, scratch_dir(spark) + "/shards", seq_len=16, shard=8)
+    spans = sorted(out.groupBy(F.col("_metadata.file_name")).agg(F.min("shard"), F.max("shard")).select(
+        "min(shard)", "max(shard)").collect())
+    assert len(spans) > 1 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_training_order_hot_id(spark):
+    """A third of all rows is one document: its copies are dealt over the ranges, and each is encoded."""
+    rows = [(i if i % 3 else 7, f"text {i if i % 3 else 7}") for i in range(300)]
+    hot = spark.createDataFrame(rows, "doc_id long, text string")
+    held = training_order.encoded(hot).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in held) < 100
+    out = training_order.training_order(hot, scratch_dir(spark) + "/shards", seq_len=16, shard=8)
+    assert sum(r.n_ids for r in out.collect()) == sum(
+        len(training_order.encoding(training_order.RANKS).encode_ordinary(t)) + 1 for _, t in rows)
+
+
 def test_training_order_empty(no_docs, spark):
     assert training_order.training_order(no_docs, scratch_dir(spark)).count() == 0
 
