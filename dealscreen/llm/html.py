@@ -9,10 +9,17 @@ and for each content node the spread of its text over the host's pages give entr
 * branch: ``1 - GAMMA`` times its presentation plus ``GAMMA`` times the mean importance of the content below it
 
 Contents and branches below ``THRESHOLD`` are removed from each page. Nodes seen on fewer than ``MIN_PAGES`` pages of a
-host keep importance 1. Element names and class names that state their purpose overrule the entropy: menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and reader comments have importance 0 everywhere; where a
-page marks its article (``article``, else ``main``) what is outside has importance 0 and the article's own text 1, so
-that articles that are copied to many pages of a host stay whole.
+host keep importance 1. Pages of a host with the same main part are one page for all counts, so that an article that is
+copied to many addresses isn't taken for a template. All pages of a host, with marked articles or without, form one tree.
+
+Marks in the markup shift these importances:
+
+* Where a page marks its article (``article`` with ``MARK_SHARE`` of the text or more, else ``main``), importances i inside it are
+  raised to 1 - (1 - i) ** ``RAISE``: passages that many articles quote stay, what stands in nearly all of them goes. What is
+  outside of it goes. An ``article`` with less of the text is a teaser and marks nothing.
+* Menus, footers, sidebars, forms, scripts, styles, adverts and reader comments that elements or class names tell have
+  importance 0. Other class names that may tell a purpose (``HINTS``) have it outside of articles only; inside, such a branch
+  goes if its text is found on two or more pages or is mostly links.
 
 Text: character references decoded, white space in a block becomes one space, blocks are joined by \\n in page order.
 
@@ -24,6 +31,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -32,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dealscreen.llm.common import chunks, read, scratch_dir
 
-GAMMA, THRESHOLD, MIN_PAGES = 0.9, 0.2, 8
+GAMMA, THRESHOLD, MIN_PAGES, RAISE, MARK_SHARE = 0.9, 0.2, 8, 4, 0.25
 
 # HTML element names by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,6 +60,8 @@ PURPOSE = set("ad ads advert adverts advertisement advertising adsense banner sp
               "reply replies respond related recommended share sharing social newsletter subscribe subscription signup "
               "login search searchbox form toolbar widget pager pagination skip".split())
 OUTSIDE = {"header", "top", "topbar"}
+#: Those of them that also name ordinary parts of an article.
+HINTS = set("notice notices alert related recommended widget overlay complementary skip search pager".split())
 REMARKS = {"comment", "comments", "reply", "replies", "respond"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)"
@@ -62,25 +72,41 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "children", "weight", "article", "main")
+    __slots__ = ("tag", "path", "children", "weight", "article", "main", "hint", "link")
+
+    def __init__(self, tag, path, weight, article, main, hint, link):
+        self.tag, self.path, self.children, self.weight = tag, path, [], weight
+        self.article, self.main, self.hint, self.link = article, main, hint, link
 
-    def __init__(self, tag, path, weight, article, main):
-        self.tag, self.path, self.children = tag, path, []
-        self.weight, self.article, self.main = weight, article, main
 
+class Block(NamedTuple):
+    path: str
+    text: str
+    article: bool
+    main: bool
+    hint: bool
 
-def page_blocks(source: str | None) -> tuple[list[tuple[str, str]], dict[str, list[str]], bool]:
-    """(path, text) of the blocks that no purpose rules out, child sequences by path, and whether the article is marked."""
-    root = _Node("", "", True, False, False)
-    stack, found, styles, text = [root], [], {}, []
+
+def page_blocks(source: str | None) -> tuple[list[Block], list[bool], dict[str, list[str]], bool]:
+    """Blocks that no purpose rules out, which of them are in the main part, child sequences by path, whether that is marked."""
+    root = _Node("", "", True, False, False, False, False)
+    stack, found, styles, text, linked = [root], [], {}, [], []
 
     def flush():
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
+            links = sum(map(len, linked))
             text.clear()
+            linked.clear()
             if joined and stack[-1].weight:
                 node = next(n for n in reversed(stack) if n.tag not in INLINE)
-                found.append((node.path, joined, node.article, node.main))
+                if not (node.hint and 2 * links >= len(joined)):
+                    found.append(Block(node.path, joined, node.article, node.main, node.hint))
+
+    def add(part):
+        text.append(part)
+        if stack[-1].link:
+            linked.append(part)
 
     def close(depth):
         while len(stack) > depth:
@@ -102,10 +128,10 @@ def page_blocks(source: str | None) -> tuple[list[tuple[str, str]], dict[str, li
     while at < end:
         m = _TOKEN.search(source, at)
         if m is None:
-            text.append(source[at:])
+            add(source[at:])
             break
         if m.start() > at:
-            text.append(source[at:m.start()])
+            add(source[at:m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -149,20 +175,24 @@ def page_blocks(source: str | None) -> tuple[list[tuple[str, str]], dict[str, li
         if tag in ("html", "body", "article", "main"):
             good = not words & REMARKS
         else:
-            good = tag not in NEVER and not words & PURPOSE and (inside or tag != "header" and not words & OUTSIDE)
+            ruled = words & PURPOSE - HINTS if inside else words & (PURPOSE | OUTSIDE)
+            good = tag not in NEVER and not ruled and (inside or tag != "header")
         if tag in VOID:
             continue
         if tag in RAW:
             raw = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
             at = raw.end() if raw else end
             continue
-        stack.append(_Node(tag, f"{up.path}/{sign}", up.weight and good, article and good, main and good))
+        stack.append(_Node(tag, f"{up.path}/{sign}", up.weight and good, article and good, main and good,
+                           up.hint or bool(inside and words & HINTS), up.link or tag == "a"))
     flush()
     close(0)
-    for mark in (2, 3):
-        if any(b[mark] for b in found):
-            return [(p, t) for p, t, *marks in found if marks[mark - 2]], styles, True
-    return [(p, t) for p, t, *_ in found], styles, False
+    own = sum(len(b.text) for b in found if b.article)
+    if own and own >= MARK_SHARE * sum(len(b.text) for b in found):
+        return found, [b.article for b in found], styles, True
+    if any(b.main for b in found):
+        return found, [b.main for b in found], styles, True
+    return found, [True] * len(found), styles, False
 
 
 def _host(url: str | None) -> str:
@@ -176,60 +206,71 @@ def _key(*parts: str) -> int:
     return xxhash.xxh64_intdigest("\0".join(parts)) - (1 << 63)
 
 
-_PARSED = ("row {row}, marked boolean, blocks array<struct<key:bigint,hash:bigint,text:string>>, "
+_PAIR = pa.struct([("key", pa.int64()), ("hash", pa.int64())])
+_BLOCK = pa.struct([("key", pa.int64()), ("hash", pa.int64()), ("hint", pa.bool_()), ("text", pa.string())])
+_UPS = pa.struct([("key", pa.int64()), ("ups", pa.list_(pa.int64()))])
+_PARSED = ("row {row}, marked boolean, main bigint, blocks array<struct<key:bigint,hash:bigint,hint:boolean,text:string>>, "
            "styles array<struct<key:bigint,hash:bigint>>, ups array<struct<key:bigint,ups:array<bigint>>>")
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """row (the page without html), its blocks with their node and text hashes, its nodes' presentations and ancestors."""
+    """row (the page without html), whether it marks its main part, a hash of that part, blocks with their node and text hashes
+    (and the text of those in the main part), its nodes' presentations and the ancestors of nodes with text."""
     rows = pages.select(F.struct(*[c for c in pages.columns if c != "html"]).alias("row"), "url", "html")
     schema = _PARSED.format(row=rows.schema["row"].dataType.simpleString())
 
     def parse(batches):
         for b in chunks(batches, "html"):
-            marked, blocks, styles, ups = [], [], [], []
+            marked, mains, blocks, styles, ups = [], [], [], [], []
             for url, source in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
                 host = _host(url)
-                found, shapes, own = page_blocks(source)
-                keys = {p: _key(host, p) for p in shapes} | {p: _key(host, p) for p, _ in found}
+                found, main, shapes, own = page_blocks(source)
+                keys = {p: _key(host, p) for p in shapes} | {x.path: _key(host, x.path) for x in found}
                 marked.append(own)
-                blocks.append([{"key": keys[p], "hash": _key(t), "text": t} for p, t in found])
+                mains.append(_key(host, *[x.text for x, inside in zip(found, main) if inside]))
+                blocks.append([{"key": keys[x.path], "hash": _key(x.text), "hint": x.hint, "text": x.text if inside else None}
+                               for x, inside in zip(found, main)])
                 styles.append([{"key": keys[p], "hash": _key(*s)} for p, s in shapes.items()])
                 above = []
-                for p in {p for p, _ in found} if not own else ():
+                for p in {x.path for x in found}:
                     steps = p.split("/")
                     chain = ["/".join(steps[:i]) for i in range(2, len(steps))]
                     above.append({"key": keys[p], "ups": [keys.get(x) or _key(host, x) for x in chain]})
                 ups.append(above)
-            pair = pa.struct([("key", pa.int64()), ("hash", pa.int64())])
             yield pa.RecordBatch.from_arrays(
-                [b.column("row"), pa.array(marked, pa.bool_()),
-                 pa.array(blocks, pa.list_(pa.struct([("key", pa.int64()), ("hash", pa.int64()), ("text", pa.string())]))),
-                 pa.array(styles, pa.list_(pair)),
-                 pa.array(ups, pa.list_(pa.struct([("key", pa.int64()), ("ups", pa.list_(pa.int64()))])))],
-                names=["row", "marked", "blocks", "styles", "ups"])
+                [b.column("row"), pa.array(marked, pa.bool_()), pa.array(mains, pa.int64()), pa.array(blocks, pa.list_(_BLOCK)),
+                 pa.array(styles, pa.list_(_PAIR)), pa.array(ups, pa.list_(_UPS))],
+                names=["row", "marked", "main", "blocks", "styles", "ups"])
 
     return rows.mapInArrow(parse, schema)
 
 
-def low_importance(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
-    """Contents (key, hash) and branches (key) below the threshold, from the merged trees of all hosts."""
-    spread = (pages.select(F.inline("styles")).groupBy("key", "hash").agg(F.count("*").alias("c"))
-              .groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.ln("c")).alias("s")))
-    nodes = spread.where(F.col("m") >= min_pages).select(
-        "key", "m", ((F.ln("m") - F.col("s") / F.col("m")) / F.ln("m")).alias("presentation"))
-    texts = (pages.select("marked", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(
-        b["key"].alias("key"), b["hash"].alias("hash"))))).alias("t")).where("NOT marked").select("t.*")
-        .groupBy("key", "hash").agg(F.count("*").alias("c")))
-    content = texts.join(nodes, "key", "left").select(
-        "key", "hash", "c", F.coalesce(1 - F.ln("c") / F.ln("m"), F.lit(1.0)).alias("importance"))
+def importances(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
+    """Contents (key, hash, importance) and nodes with text (key, importance: the least of the branches that hold it), from the
+    merged trees of all hosts; only those that can be removed."""
+    apart = pages.groupBy("main").agg(F.min("uid").alias("uid")).select("uid")
+    pages = pages.join(apart, "uid", "left_semi")
+    nodes = (pages.select(F.inline("styles")).groupBy("key", "hash").agg(F.count("*").alias("c"))
+             .groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.ln("c")).alias("s"))
+             .where(F.col("m") >= min_pages).select("key", F.ln("m").alias("ln_m"),
+                                                    (1 - F.col("s") / F.col("m") / F.ln("m")).alias("presentation")))
+    found = F.array_distinct(F.transform("blocks", lambda b: b.dropFields("text")))
+    texts = pages.select(F.inline(found)).groupBy("key", "hash", "hint").agg(F.count("*").alias("c"))
+    # Rarer ones are above the threshold on any node, so they need not be joined.
+    content = (texts.where((F.col("c") >= min_pages ** (1 - threshold)) & ~F.col("hint")).join(nodes, "key")
+               .select("key", "hash", (1 - F.ln("c") / F.col("ln_m")).alias("importance"))
+               .union(texts.where(F.col("hint") & (F.col("c") > 1)).select("key", "hash", F.lit(0.0))))
     above = pages.select(F.inline("ups")).groupBy("key").agg(F.first("ups").alias("ups"))
-    below = (content.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("importance")).alias("v"))
-             .join(above, "key").select(F.explode(F.concat(F.array("key"), "ups")).alias("key"), "n", "v")
-             .groupBy("key").agg((F.sum("v") / F.sum("n")).alias("mean")))
-    branches = nodes.join(below, "key").where(
-        (1 - GAMMA) * F.col("presentation") + GAMMA * F.col("mean") < threshold).select("key")
-    return content.where(F.col("importance") < threshold).select("key", "hash"), branches
+    # Of all contents c(1 - ln c / ln m) below a node: sums by node first, then by branch.
+    sums = texts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.ln("c")).alias("s")).join(
+        nodes, "key", "left").select("key", "n", F.coalesce(F.col("n") - F.col("s") / F.col("ln_m"), "n").alias("v"))
+    chains = above.select(F.col("key").alias("own"), F.explode(F.concat(F.array("key"), "ups")).alias("key"))
+    means = (chains.join(sums.withColumnRenamed("key", "own"), "own").groupBy("key")
+             .agg((F.sum("v") / F.sum("n")).alias("mean")))
+    branches = nodes.join(means, "key").select(
+        "key", ((1 - GAMMA) * F.col("presentation") + GAMMA * F.col("mean")).alias("importance")).where(
+        F.col("importance") < threshold)
+    return content, chains.join(branches, "key").groupBy(F.col("own").alias("key")).agg(F.min("importance").alias("importance"))
 
 
 def main_text(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -238,20 +279,16 @@ def main_text(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = M
     (parsed(pages).withColumn("uid", F.monotonically_increasing_id())
      .write.option("compression", "zstd").parquet(path))
     tree = pages.sparkSession.read.parquet(path)
-    texts, branches = low_importance(tree, threshold, min_pages)
-    open_pages = tree.where("NOT marked")
-    blocks = open_pages.select("uid", F.posexplode("blocks").alias("at", "b")).select("uid", "at", "b.key", "b.hash")
-    chains = open_pages.select("uid", F.explode("ups").alias("u")).select(
-        "uid", F.col("u.key").alias("own"), F.explode(F.concat(F.array("u.key"), F.col("u.ups"))).alias("key"))
-    low = blocks.join(texts, ["key", "hash"], "left_semi").select("uid", "at")
-    cut = chains.join(branches, "key", "left_semi").select("uid", "own").distinct()
-    low = low.union(blocks.join(cut, (blocks["uid"] == cut["uid"]) & (blocks["key"] == cut["own"]), "left_semi")
-                    .select("uid", "at"))
-    drops = low.groupBy("uid").agg(F.collect_set("at").alias("drop"))
-    text = F.array_join(F.col("blocks.text"), "\n")
-    kept = open_pages.join(drops, "uid", "left").select("row", F.array_join(F.transform(F.filter(
-        "blocks", lambda b, i: F.coalesce(~F.array_contains("drop", i), F.lit(True))), lambda b: b["text"]), "\n").alias("text"))
-    return tree.where("marked").select("row", text.alias("text")).union(kept)
+    contents, branches = importances(tree, threshold, min_pages)
+    blocks = tree.select("uid", "marked", F.posexplode("blocks").alias("at", "b")).where("b.text IS NOT NULL").select(
+        "uid", "marked", "at", "b.key", "b.hash")
+    low = F.when(F.col("marked"), 1 - F.pow(1 - F.col("importance"), F.lit(RAISE))).otherwise(F.col("importance")) < threshold
+    drops = (blocks.join(contents, ["key", "hash"]).where(low).select("uid", "at")
+             .union(blocks.join(branches, "key").where(low).select("uid", "at"))
+             .groupBy("uid").agg(F.collect_set("at").alias("drop")))
+    kept = F.filter("blocks", lambda b, i: b["text"].isNotNull() & F.coalesce(~F.array_contains("drop", i), F.lit(True)))
+    return tree.select("uid", "row", "blocks").join(drops, "uid", "left").select(
+        "row", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

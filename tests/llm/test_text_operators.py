@@ -205,6 +205,89 @@ def test_pages_style_tree(spark):
     assert got[5] == "Text 5 of page\nEnds 5" and got[100] == "About us\nText 0 of page\nEnds 0\nAll rights"
 
 
+def texts_of(spark, rows, **options):
+    schema = "page_id long, url string, html string, row string, blocks string, uid string, main string"
+    rows = [(*r, "r", "b", "u", "m") for r in rows]
+    return {r.row.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, schema).repartition(4), **options).collect()}
+
+
+def test_pages_repeated_advert_in_articles(spark):
+    """Inside marked articles the entropy decides: a line of all articles goes; a passage that many quote, and an article
+    copied to many addresses of two hosts, stay whole."""
+    quote = "<p>A passage that many articles quote</p>"
+    page = "<body><article><h1>Title {0}</h1><p>Own text {0}</p>{1}<p>Buy our things now</p></article></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(i, quote if i % 2 else "")) for i in range(40)]
+    copied = "<body><article><h1>Wire story</h1><p>Copied text</p></article></body>"
+    rows += [(100 + i, f"http://{'h' if i % 2 else 'g'}.example/wire/{i}", copied) for i in range(60)]
+    got = texts_of(spark, rows)
+    assert got[0] == "Title 0\nOwn text 0" and got[1] == "Title 1\nOwn text 1\nA passage that many articles quote"
+    assert {got[100 + i] for i in range(60)} == {"Wire story\nCopied text"}
+
+
+def test_pages_mixed_host(spark):
+    """Pages with and without a marked article are one tree: what nearly all share goes where nothing is marked."""
+    shared = "<div class=z><p>All rights of the site</p></div>"
+    rows = [(i, f"http://h.example/{i}", f"<body><article><p>Marked text {i}</p></article>{shared}</body>") for i in range(50)]
+    rows += [(50 + i, f"http://h.example/{50 + i}", f"<body><div class=y><p>Open text {i}</p></div>{shared}</body>") for i in range(3)]
+    got = texts_of(spark, rows)
+    assert got == {i: f"Marked text {i}" for i in range(50)} | {50 + i: f"Open text {i}" for i in range(3)}
+
+
+def test_pages_teaser_and_hints(spark):
+    """An article with little of the text marks nothing; in an article a class name alone rules no real text out."""
+    teaser = "<body><article><p>Teaser</p></article><div class=story><p>{}</p></div></body>".format("The long story. " * 9)
+    hints = ("<article><p>Text</p><div class='related-work'><p>Earlier work found this</p></div><p class=notice>Note the scale</p>"
+             "<div class=related><a href=1>Other page</a></div><div class=ad>Buy</div><div class=comments>Me too</div></article>")
+    rows = [(1, "http://a.example", teaser), (2, "http://a.example", hints)]
+    rows += [(10 + i, f"http://n.example/{i}", f"<article><p>Text number {i}</p>{'<p class=notice>Beta site</p>' if i < 3 else ''}</article>")
+             for i in range(30)]
+    got = texts_of(spark, rows)
+    assert got[1] == "Teaser\n" + ("The long story. " * 9).strip() and got[2] == "Text\nEarlier work found this\nNote the scale"
+    assert {got[10 + i] for i in range(30)} == {f"Text number {i}" for i in range(30)}
+
+
+def test_pages_importances(spark):
+    """Entropies of a small site against a restatement in Python, counted over pages with different main parts."""
+    rng = np.random.default_rng(3)
+    pages = [f"<body><div class=x><p>{'abcd'[rng.integers(4)]}</p></div><div class=y><p>{'same' if rng.integers(9) else 'rare'}</p>"
+             f"{'<p>more</p>' if rng.integers(2) else ''}</div><p>{rng.integers(25)}</p></body>" for _ in range(80)]
+    rows = [(i, f"http://s.example/{i}", x) for i, x in enumerate(pages)]
+    tree = html.parsed(spark.createDataFrame(rows, "page_id long, url string, html string")).withColumn(
+        "uid", F.col("row.page_id")).cache()
+    contents, branches = html.importances(tree, 0.5)
+    apart = {}
+    for source in pages:
+        found, _, shapes, _ = html.page_blocks(source)
+        apart[tuple(b.text for b in found)] = (found, shapes)
+    m, texts, styles, below = Counter(), Counter(), defaultdict(Counter), defaultdict(list)
+    for found, shapes in apart.values():
+        shapes.pop("")
+        m.update(list(shapes))
+        for p, s in shapes.items():
+            styles[p][tuple(s)] += 1
+        texts.update({(b.path, b.text) for b in found})
+    importance = {(p, t): 1 - math.log(c) / math.log(m[p]) if m[p] >= html.MIN_PAGES else 1 for (p, t), c in texts.items()}
+    for (p, t), c in texts.items():
+        for q in m:
+            if p == q or p.startswith(q + "/"):
+                below[q] += [importance[p, t]] * c
+    branch = {p: 0.1 * -sum(c / m[p] * math.log(c / m[p]) for c in styles[p].values()) / math.log(m[p])
+              + 0.9 * sum(below[p]) / len(below[p]) for p in m if below[p] and m[p] >= html.MIN_PAGES}
+    key = lambda *x: html._key("s.example", *x)
+    got = {(r["key"], r["hash"]): r["importance"] for r in contents.collect() if r["importance"] < 0.5}
+    assert got == pytest.approx({(key(p), html._key(t)): i for (p, t), i in importance.items() if i < 0.5}) and got
+    least = {p: min(branch[q] for q in branch if p == q or p.startswith(q + "/")) for p, _ in texts}
+    assert {r["key"]: r["importance"] for r in branches.collect()} == pytest.approx({key(p): x for p, x in least.items() if x < 0.5})
+
+
+def test_pages_long(spark):
+    """A page of some megabytes and deep markup come back whole."""
+    long = "<article>" + "<p>word &amp; more </p>" * 200_000 + "</article>"
+    deep = "<div>" * 400 + "deep text" + "</div>" * 400
+    got = texts_of(spark, [(1, "http://a.example", long), (2, None, deep)])
+    assert got[1] == "\n".join(["word & more"] * 200_000) and got[2] == "deep text"
+
+
 def test_pages_empty(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
