@@ -33,8 +33,7 @@ import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealscreen.llm.common import (chunks, discard, freed, materialise, mix, pack, read, scratch_dir, shuffle_partitions,
-                                   unpack)
+from dealscreen.llm.common import (chunks, discard, freed, mix, pack, read, scratch_dir, shuffle_partitions, unpack)
 
 RANKS, PATTERN = "/opt/tokenizers/byte_bpe_50k.tiktoken", (
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")  # fixed: splits text before merges
@@ -182,7 +181,8 @@ def training_order(docs: DataFrame, uri: str, seq_len: int = SEQ_LEN, shard: int
     spark, stride = docs.sparkSession, HEADER + 2 * seq_len
     held = scratch_dir(spark)
     with freed(spark):
-        encoded(docs, path).write.option("compression", "zstd").parquet(held)
+        (encoded(docs, path).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", 6)
+         .parquet(held))
     stored = spark.read.parquet(held).withColumn(
         "part", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int"))
     sums = stored.groupBy("part").agg(F.max(F.col("at") + F.octet_length("ids") / 2).cast("long").alias("n")).collect()
@@ -261,10 +261,13 @@ def training_order(docs: DataFrame, uri: str, seq_len: int = SEQ_LEN, shard: int
     # Contiguous shards a range, told by their number alone: no sampling, which would place everything twice.
     ranges = min(shards, shuffle_partitions(spark))
     placed = stored.mapInArrow(place, "shard long, slots binary, inside binary, records binary, many binary, docs binary")
-    out = materialise(placed.repartitionById(ranges, (F.floor(F.col("shard") * ranges / shards)).cast("int"))
-                      .sortWithinPartitions("shard").mapInArrow(write_range, _SCHEMA))
+    out = (placed.repartitionById(ranges, (F.floor(F.col("shard") * ranges / shards)).cast("int"))
+           .sortWithinPartitions("shard").mapInArrow(write_range, _SCHEMA))
+    described = scratch_dir(spark)
+    with freed(spark):
+        out.write.option("compression", "zstd").parquet(described)
     discard(spark, held)
-    return out
+    return spark.read.schema(_SCHEMA).parquet(described)
 
 
 _PLACED = ["shard", "slots", "inside", "records", "many", "docs"]
