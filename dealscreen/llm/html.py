@@ -14,8 +14,8 @@ copied to many addresses isn't taken for a template. All pages of a host, with m
 
 Marks in the markup shift these importances:
 
-* Where a page marks its article (``article`` with ``MARK_SHARE`` of the text or more, else ``main``), importances i inside it are
-  raised to 1 - (1 - i) ** ``RAISE``: passages that many articles quote stay, what stands in nearly all of them goes. What is
+* Where a page marks its article (``article`` with ``MARK_SHARE`` of the text or more, else ``main``), importances i inside it
+  are raised to 1 - (1 - i) ** ``RAISE``: passages that many articles quote stay, what stands in nearly all of them goes. What is
   outside of it goes. An ``article`` with less of the text is a teaser and marks nothing.
 * Menus, footers, sidebars, forms, scripts, styles, adverts and reader comments that elements or class names tell have
   importance 0. Other class names that may tell a purpose (``HINTS``) have it outside of articles only; inside, such a branch
@@ -38,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealscreen.llm.common import chunks, read, scratch_dir
+from dealscreen.llm.common import chunks, materialise, read, scratch_dir
 
 GAMMA, THRESHOLD, MIN_PAGES, RAISE, MARK_SHARE = 0.9, 0.2, 8, 4, 0.25
 
@@ -207,29 +207,30 @@ def _key(*parts: str) -> int:
 
 
 _PAIR = pa.struct([("key", pa.int64()), ("hash", pa.int64())])
-_BLOCK = pa.struct([("key", pa.int64()), ("hash", pa.int64()), ("hint", pa.bool_()), ("text", pa.string())])
+_BLOCK = pa.struct([("key", pa.int64()), ("hash", pa.int64()), ("hint", pa.bool_()), ("inside", pa.bool_())])
 _UPS = pa.struct([("key", pa.int64()), ("ups", pa.list_(pa.int64()))])
-_PARSED = ("row {row}, marked boolean, main bigint, blocks array<struct<key:bigint,hash:bigint,hint:boolean,text:string>>, "
+_PARSED = ("row {row}, marked boolean, main bigint, blocks array<struct<key:bigint,hash:bigint,hint:boolean,inside:boolean>>, texts array<string>, "
            "styles array<struct<key:bigint,hash:bigint>>, ups array<struct<key:bigint,ups:array<bigint>>>")
 
 
 def parsed(pages: DataFrame) -> DataFrame:
     """row (the page without html), whether it marks its main part, a hash of that part, blocks with their node and text hashes
-    (and the text of those in the main part), its nodes' presentations and the ancestors of nodes with text."""
+    and whether they are in it, the texts of those that are, its nodes' presentations and the ancestors of nodes with text."""
     rows = pages.select(F.struct(*[c for c in pages.columns if c != "html"]).alias("row"), "url", "html")
     schema = _PARSED.format(row=rows.schema["row"].dataType.simpleString())
 
     def parse(batches):
         for b in chunks(batches, "html"):
-            marked, mains, blocks, styles, ups = [], [], [], [], []
+            marked, mains, blocks, texts, styles, ups = [], [], [], [], [], []
             for url, source in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
                 host = _host(url)
                 found, main, shapes, own = page_blocks(source)
                 keys = {p: _key(host, p) for p in shapes} | {x.path: _key(host, x.path) for x in found}
                 marked.append(own)
                 mains.append(_key(host, *[x.text for x, inside in zip(found, main) if inside]))
-                blocks.append([{"key": keys[x.path], "hash": _key(x.text), "hint": x.hint, "text": x.text if inside else None}
+                blocks.append([{"key": keys[x.path], "hash": _key(x.text), "hint": x.hint, "inside": inside}
                                for x, inside in zip(found, main)])
+                texts.append([x.text if inside else None for x, inside in zip(found, main)])
                 styles.append([{"key": keys[p], "hash": _key(*s)} for p, s in shapes.items()])
                 above = []
                 for p in {x.path for x in found}:
@@ -239,23 +240,26 @@ def parsed(pages: DataFrame) -> DataFrame:
                 ups.append(above)
             yield pa.RecordBatch.from_arrays(
                 [b.column("row"), pa.array(marked, pa.bool_()), pa.array(mains, pa.int64()), pa.array(blocks, pa.list_(_BLOCK)),
-                 pa.array(styles, pa.list_(_PAIR)), pa.array(ups, pa.list_(_UPS))],
-                names=["row", "marked", "main", "blocks", "styles", "ups"])
+                 pa.array(texts, pa.list_(pa.string())), pa.array(styles, pa.list_(_PAIR)), pa.array(ups, pa.list_(_UPS))],
+                names=["row", "marked", "main", "blocks", "texts", "styles", "ups"])
 
     return rows.mapInArrow(parse, schema)
 
 
 def importances(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
     """Contents (key, hash, importance) and nodes with text (key, importance: the least of the branches that hold it), from the
-    merged trees of all hosts; only those that can be removed."""
-    apart = pages.groupBy("main").agg(F.min("uid").alias("uid")).select("uid")
+    merged trees of all hosts; only those that can be removed.
+
+    What is joined to pages or blocks is written first, so that Spark picks the join by its true size.
+    """
+    apart = materialise(pages.groupBy("main").agg(F.min("uid").alias("uid")).select("uid"))
     pages = pages.join(apart, "uid", "left_semi")
     nodes = (pages.select(F.inline("styles")).groupBy("key", "hash").agg(F.count("*").alias("c"))
              .groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.ln("c")).alias("s"))
              .where(F.col("m") >= min_pages).select("key", F.ln("m").alias("ln_m"),
                                                     (1 - F.col("s") / F.col("m") / F.ln("m")).alias("presentation")))
-    found = F.array_distinct(F.transform("blocks", lambda b: b.dropFields("text")))
-    texts = pages.select(F.inline(found)).groupBy("key", "hash", "hint").agg(F.count("*").alias("c"))
+    found = F.array_distinct(F.transform("blocks", lambda b: b.dropFields("inside")))
+    texts = materialise(pages.select(F.inline(found)).groupBy("key", "hash", "hint").agg(F.count("*").alias("c")))
     # Rarer ones are above the threshold on any node, so they need not be joined.
     content = (texts.where((F.col("c") >= min_pages ** (1 - threshold)) & ~F.col("hint")).join(nodes, "key")
                .select("key", "hash", (1 - F.ln("c") / F.col("ln_m")).alias("importance"))
@@ -270,7 +274,8 @@ def importances(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int =
     branches = nodes.join(means, "key").select(
         "key", ((1 - GAMMA) * F.col("presentation") + GAMMA * F.col("mean")).alias("importance")).where(
         F.col("importance") < threshold)
-    return content, chains.join(branches, "key").groupBy(F.col("own").alias("key")).agg(F.min("importance").alias("importance"))
+    least = chains.join(branches, "key").groupBy(F.col("own").alias("key")).agg(F.min("importance").alias("importance"))
+    return materialise(content), materialise(least)
 
 
 def main_text(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -280,15 +285,14 @@ def main_text(pages: DataFrame, threshold: float = THRESHOLD, min_pages: int = M
      .write.option("compression", "zstd").parquet(path))
     tree = pages.sparkSession.read.parquet(path)
     contents, branches = importances(tree, threshold, min_pages)
-    blocks = tree.select("uid", "marked", F.posexplode("blocks").alias("at", "b")).where("b.text IS NOT NULL").select(
+    blocks = tree.select("uid", "marked", F.posexplode("blocks").alias("at", "b")).where("b.inside").select(
         "uid", "marked", "at", "b.key", "b.hash")
     low = F.when(F.col("marked"), 1 - F.pow(1 - F.col("importance"), F.lit(RAISE))).otherwise(F.col("importance")) < threshold
-    drops = (blocks.join(contents, ["key", "hash"]).where(low).select("uid", "at")
+    drops = materialise(blocks.join(contents, ["key", "hash"]).where(low).select("uid", "at")
              .union(blocks.join(branches, "key").where(low).select("uid", "at"))
              .groupBy("uid").agg(F.collect_set("at").alias("drop")))
-    kept = F.filter("blocks", lambda b, i: b["text"].isNotNull() & F.coalesce(~F.array_contains("drop", i), F.lit(True)))
-    return tree.select("uid", "row", "blocks").join(drops, "uid", "left").select(
-        "row", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
+    kept = F.filter("texts", lambda t, i: t.isNotNull() & F.coalesce(~F.array_contains("drop", i), F.lit(True)))
+    return tree.select("uid", "row", "texts").join(drops, "uid", "left").select("row", F.array_join(kept, "\n").alias("text"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
