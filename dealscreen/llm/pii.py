@@ -16,7 +16,8 @@ Text that only looks like one of them but fails validation is left alone, as is
 permuted one to one, so different values keep different pseudonyms.
 
 Defined cases: null text stays null, empty text empty; rows are independent, so repeated rows and ids don't matter; the
-key is a parameter (``key``), the same for all documents that shall stay linked.
+key is a parameter (``key``), the same for all documents that shall stay linked. Without it the session's
+``dealscreen.pii.key`` is taken, and where that is unset too, the public ``KEY``, with which anyone can undo the pseudonyms.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from dealscreen.llm.common import read
 
-KEY, ROUNDS = "dealscreen-pseudonyms", 10
+KEY, KEY_SETTING, ROUNDS = "dealscreen-pseudonyms", "dealscreen.pii.key", 10
 
 _FIRST_DAY, _DAYS = "DATE'1900-01-01'", (17, 4297)  # 17 * 4297 days: 1900-01-01 to 2099-12-31
 
@@ -214,8 +215,9 @@ def _interleaved(found: str, made: str) -> Column:
     return F.expr(f"array_join(zip_with({found}, {made}, (p, t) -> concat(p, coalesce(t, ''))), '')")
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """row (the document, all columns), the new text and how many strings were replaced."""
+    key = docs.sparkSession.conf.get(KEY_SETTING, KEY) if key is None else key
     pattern = F.lit(PATTERN)
     found = docs.select(F.struct("*").alias("row"), F.col(text).alias("old"),
                         F.regexp_extract_all(F.col(text), pattern, F.lit(0)).alias("found"))

@@ -175,6 +175,23 @@ def test_pii_long_matches(spark):
     assert pii.pseudonymise(docs.limit(0)).count() == 0
 
 
+def test_pii_key_of_the_session(spark):
+    """The session's key makes other pseudonyms than the public one, the same as when it is given; empty tables stay empty."""
+    docs = spark.createDataFrame([(1, "ask jane.doe@mail.example or 4111 1111 1111 1111"), (2, None), (3, "")], "doc_id long, text string")
+
+    def made(**options):
+        return {r.row.doc_id: r.new for r in pii.pseudonymise(docs, **options).collect()}
+
+    public = made()
+    spark.conf.set(pii.KEY_SETTING, "own 'key\\")
+    try:
+        own = made()
+        assert pii.pseudonymise(docs.where("doc_id > 9")).count() == 0
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert own == made(key="own 'key\\") and own[1] != public[1] == made(key=pii.KEY)[1] and (own[2], own[3]) == (None, "")
+
+
 def test_pii_stage(spark, docs):
     out = pii.replace_private(spark, docs, "")
     assert out.dtypes == docs.dtypes and out.count() == docs.count()
