@@ -122,6 +122,21 @@ def test_quality_of_a_language_is_its_own(spark):
     assert perplexities(rare) == perplexities(rare + other)
 
 
+def test_quality_counts_rare_words_and_bigrams_of_a_large_language(spark):
+    """However much text a language has, a word found twice is known and a bigram found once counts."""
+    rng = np.random.default_rng(3)
+    large = [(i, " ".join(f"o{x}" for x in rng.integers(0, 40, 160000)), "en") for i in range(14)]
+    rare = [(100 + i, " ".join(f"r{x}" for x in range(60)), "en") for i in range(2)] + [(102, "r3 r9 r5 o1 o2", "en"), (103, None, None)]
+    df = spark.createDataFrame(large + rare, "doc_id long, text string, lang string").repartition(5)
+    model = quality.train(df)
+    assert {f"r{x}" for x in range(60)} <= set(model.vocabulary.words["en"][0].to_pylist())
+    got = {r.doc_id: r for r in quality.perplexities(df).collect()}
+    # The two texts' bigrams occur in them alone: each word is nearly certain after the one before it.
+    assert got[100].perplexity == got[101].perplexity < 0.5 < got[102].perplexity
+    # The model's parts in their buckets score like the whole one.
+    assert got == {r.doc_id: r for r in quality.scored(df, spark.sparkContext.broadcast(model)).collect()}
+
+
 def test_quality_empty(spark, no_docs):
     assert quality.keep_good(spark, no_docs, "").count() == 0
 
