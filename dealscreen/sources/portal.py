@@ -70,8 +70,8 @@ def search_url_col(layout: str, city, state, beds, baths, property_type) -> Colu
     raise ValueError(f"unknown layout {layout!r}")
 
 
-def _record(source: str, c: SearchCriteria, **fields: Column) -> Column:
-    """A portal record struct in the fixed field order, defaults filled in."""
+def _record_fields(source: str, c: SearchCriteria, **fields: Column) -> dict[str, Column]:
+    """A portal record's fields by name, defaults filled in."""
     defaults = {
         "source": F.lit(source), "listing_key": F.lit(""), "address": F.lit(""), "city": F.lit(c.city),
         "state": F.lit(c.state), "postal_code": F.lit(""), "list_price": F.lit(None),
@@ -80,8 +80,13 @@ def _record(source: str, c: SearchCriteria, **fields: Column) -> Column:
         "monthly_hoa": F.lit(0.0), "has_hoa": F.lit(False), "apn": F.lit(""), "value_estimate": F.lit(None),
         "estimate_source": F.lit(DEFAULT_ESTIMATE_SOURCE),
     }
-    defaults.update(fields)
-    return F.struct(*[defaults[n].cast(t).alias(n) for n, t in PORTAL_RECORD_FIELDS])
+    return {n: v.cast(dict(PORTAL_RECORD_FIELDS)[n]) for n, v in (defaults | fields).items()}
+
+
+def _record(source: str, c: SearchCriteria, **fields: Column) -> Column:
+    """A portal record struct in the fixed field order."""
+    made = _record_fields(source, c, **fields)
+    return F.struct(*[made[n].alias(n) for n, _ in PORTAL_RECORD_FIELDS])
 
 
 # JSON keys of a home record per layout and field, in fallback
@@ -126,27 +131,24 @@ def _common(h: Column, layout: str, c: SearchCriteria) -> dict[str, Column]:
     }
 
 
-def _record_a(h: Column, source: str, c: SearchCriteria) -> Column:
+def _fields_a(h: Column, c: SearchCriteria) -> dict[str, Column]:
     price = nullif_zero(js.first(h, _paths("a", "price"), "double", 0.0))
     sqft = nullif_zero(js.first(h, _paths("a", "sqft"), "double", 0.0))
-    return _record(source, c, **_common(h, "a", c), address=_address(h), list_price=price, sqft=sqft,
-                   value_estimate=price)
+    return {**_common(h, "a", c), "address": _address(h), "list_price": price, "sqft": sqft, "value_estimate": price}
 
 
-def _record_b(h: Column, source: str, c: SearchCriteria) -> Column:
+def _fields_b(h: Column, c: SearchCriteria) -> dict[str, Column]:
     """Price and area arrive as display text ("$350,000", "1,200 sqft")."""
     price = number_from_text(js.first(h, _paths("b", "price"), "string", ""))
     sqft = number_from_text(js.first(h, _paths("b", "sqft"), "string", ""))
     address = js.first(h, _paths("b", "address"), "string", "")
-    return _record(source, c, **_common(h, "b", c), address=address, list_price=price, sqft=sqft,
-                   value_estimate=price)
+    return {**_common(h, "b", c), "address": address, "list_price": price, "sqft": sqft, "value_estimate": price}
 
 
-def _record_c(h: Column, source: str, c: SearchCriteria) -> Column:
+def _fields_c(h: Column, c: SearchCriteria) -> dict[str, Column]:
     price = nullif_zero(js.first(h, _paths("c", "price"), "double", 0.0))
     sqft = nullif_zero(js.first(h, _paths("c", "sqft"), "double", 0.0))
-    return _record(source, c, **_common(h, "c", c), address=_address(h), list_price=price, sqft=sqft,
-                   value_estimate=price)
+    return {**_common(h, "c", c), "address": _address(h), "list_price": price, "sqft": sqft, "value_estimate": price}
 
 
 def _results(cands: list[Column], layout: str) -> Column:
@@ -161,7 +163,7 @@ def _results(cands: list[Column], layout: str) -> Column:
     raise ValueError(f"unknown layout {layout!r}")
 
 
-_RECORD = {"a": _record_a, "b": _record_b, "c": _record_c}
+_FIELDS = {"a": _fields_a, "b": _fields_b, "c": _fields_c}
 
 
 def map_portal_records(pages: DataFrame, layout: str, source: str | None = None,
@@ -172,7 +174,8 @@ def map_portal_records(pages: DataFrame, layout: str, source: str | None = None,
     Layout "a" falls back to one key-only record per home-card element on
     pages whose JSON gave no records. The page is parsed once: each stage is
     its own projection, so the island and result list are not re-evaluated
-    per field.
+    per field. Fields are columns over a row per record, so a query that asks
+    for some computes no others.
     """
     c = criteria or SearchCriteria()
     src = source or f"portal_{layout}"
@@ -181,20 +184,24 @@ def map_portal_records(pages: DataFrame, layout: str, source: str | None = None,
     use_cards = card_fallback if card_fallback is not None else layout == "a"
     if layout not in RESULT_PATHS:
         raise ValueError(f"unknown layout {layout!r}")
-    parsed = ok.select(
-        *keep,
-        js.get(extract_json_island(F.col(html_col), patterns), "$.props.pageProps").alias("_props"),
-        (homecard_ids(F.col(html_col)) if use_cards else F.array().cast("array<string>")).alias("_cards"),
-    )
-    cands = parsed.select(*keep, "_cards", *[js.get("_props", f"$.{p}").alias(f"_c{i}")
-                                             for i, p in enumerate(RESULT_PATHS[layout])])
+    page = [html_col] if use_cards else []
+    parsed = ok.select(*keep, *page, js.get(extract_json_island(F.col(html_col), patterns), "$.props.pageProps").alias("_props"))
+    cands = parsed.select(*keep, *page, *[js.get("_props", f"$.{p}").alias(f"_c{i}") for i, p in enumerate(RESULT_PATHS[layout])])
     n = len(RESULT_PATHS[layout])
-    listed = cands.select(*keep, _results([F.col(f"_c{i}") for i in range(n)], layout).alias("_results"), "_cards")
-    recs = F.transform(F.col("_results"), lambda h: _RECORD[layout](h, src, c))
+    listed = cands.select(*keep, *page, _results([F.col(f"_c{i}") for i in range(n)], layout).alias("_results"))
+    # A row per record first, its fields then: only those that are asked for are read from it.
+    item = lambda h, i: F.struct(h.cast("variant").alias("_home"), i.cast("string").alias("_card"))
+    items = F.transform("_results", lambda h: item(h, F.lit(None)))
+    if use_cards:
+        # Elements are looked for only on pages without results.
+        cards = F.transform(homecard_ids(F.col(html_col)), lambda i: item(F.lit(None), i))
+        items = F.when(F.size("_results") > 0, items).otherwise(cards)
+    rows = listed.select(*keep, F.inline(items))
+    fields, found = _record_fields(src, c, **_FIELDS[layout](F.col("_home"), c)), F.col("_card").isNull()
     if use_cards:
-        cards = F.transform(F.col("_cards"), lambda i: _record(src, c, listing_key=i))
-        recs = F.when(F.size(F.col("_results")) > 0, recs).otherwise(cards)
-    return listed.select(*keep, F.inline(recs))
+        of_card = _record_fields(src, c, listing_key=F.col("_card"))
+        fields = {f: F.when(found, v).otherwise(of_card[f]) for f, v in fields.items()} | {"source": F.lit(src)}
+    return rows.select(*keep, *[fields[f].cast(t).alias(f) for f, t in PORTAL_RECORD_FIELDS])
 
 
 def map_portal_cards(pages: DataFrame, source: str = "portal_a", criteria: SearchCriteria | None = None,

@@ -209,3 +209,12 @@ def test_estimates_without_order_columns(spark):
                                  "ParcelNumber string, value_estimate double, estimate_source string")
     assert [tuple(r) for r in silver_value_estimates([feed]).collect()] == [("1A", 12.0, "avm")]
     assert quarantined_estimates([feed]).count() == 2
+
+
+def test_portal_reads_only_the_fields_that_are_asked_for(spark):
+    html = ('<script id="__NEXT_DATA__">{"props": {"pageProps": {"searchPageState": {"cat1": {"searchResults": '
+            '[{"zpid": "7", "area": "9 sqft"}, {"id": "8"}]}}}}}</script>')
+    found = pt.map_portal(spark.createDataFrame([(1, html)], "page_id long, html string"), "b").select("source", "ListingKey")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "$.zpid" in plan and "$.area" not in plan
+    assert sorted(r.ListingKey for r in found.collect()) == ["portal_b_7", "portal_b_8"]
