@@ -537,6 +537,62 @@ def test_scores_know_the_word_before_a_rare_word(spark):
     assert by[held] > 0.75 * by[alone]
 
 
+def test_scores_fit_on_every_training_document(spark, monkeypatch):
+    """The fit counts every bit of all training rows, without the row's own counts, however the rows are dealt."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) if x < 900)) for i in range(300)] + [(None, "w1 w2"), (5, None)]
+    docs, held = spark.createDataFrame(rows, "doc_id long, text string"), []
+    monkeypatch.setattr(mixing, "Model", type("Seen", (mixing.Model,), {
+        "__init__": lambda self, fitted: (held.append(fitted), mixing.Model.__mro__[1].__init__(self, fitted))[1]}))
+    codes = [mixing.train(mixing.packed_chunks(docs.repartition(n)))[1] for n in (1, 3)]
+    assert all((a == b).all() for a, b in zip(*held))
+    # All bits by brute force: nodes of all training rows, less the row's own.
+    tokens = mixing.Tokens(pa.array([t for _, t in rows], pa.string()))
+    train = mixing._train_rows([i for i, _ in rows])
+    distinct, inverse = np.unique(tokens.hash, return_inverse=True)
+    n = np.bincount(inverse[train[tokens.row]], minlength=len(distinct))
+    assert sum(held[0][1]) > 0 and codes[0].byte_lengths.tolist() == codes[1].byte_lengths.tolist()
+    letters = Counter(b"".join((t or "").encode().lower() for (_, t), x in zip(rows, train) if x))
+    letters[0] = letters[32]
+    assert codes[0].byte_lengths.tolist() == mixing.huffman(np.array([letters[i] + 1 for i in range(256)]))[1].tolist()
+    k = mixing._classes(n)
+    bits = codes[0].lengths[k] + codes[0].bits[k]
+    spelled = sum(len(w) + 1 for (_, t), x in zip(rows, train) if x for w in (t or "").encode().split()
+                  if n[np.searchsorted(distinct, mixing.Tokens(pa.array([w.decode()])).hash[0])] < 2)
+    words = int(bits[inverse[train[tokens.row]]].sum())
+    assert words + spelled <= int(held[0][1].sum()) <= words + 12 * spelled
+
+
+def test_scores_take_out_own_counts():
+    """A row's own counts are those of its symbols' nodes, by predictor and row."""
+    rng = np.random.default_rng(4)
+    texts = pa.array([" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 400) if x < 900) for _ in range(5)] + ["", "w1"])
+    t = mixing.Tokens(texts)
+    distinct, n = np.unique(t.hash, return_counts=True)
+    words = mixing.Words(distinct, n, int((n == 1).sum()), np.ones(256, np.int64))
+    symbols, key, code, firsts, number, row = mixing._events([(0, len(texts), t)], words)
+    s = symbols[0]
+    mine = mixing.expand(s, 0, len(s.code), firsts[0], *mixing._own(key[number], code[number], row))[3]
+    paths = [format(c, "064b")[:k] for c, k in zip(s.code.tolist(), s.length.tolist())]
+    for i in range(3):
+        place = list(zip(s.row.tolist(), s.context[i].tolist()))
+        nodes = Counter((c, p[:j]) for c, p in zip(place, paths) for j in range(len(p) + 1))
+        want = [[nodes[c, p[:j]], nodes[c, p[:j + 1]]] for c, p in zip(place, paths) for j in range(len(p))]
+        assert mine[i].T.tolist() == want
+
+
+def test_scores_fitted_weights_are_the_optimum():
+    """Cells drawn from known weights give these back."""
+    rng = np.random.default_rng(2)
+    cell = rng.integers(0, mixing.LEVELS**3, 4000) + 5 * mixing.LEVELS**3
+    x = np.stack([(cell // mixing.LEVELS**(2 - i) % mixing.LEVELS - mixing.LEVELS // 2) / mixing.FINE for i in range(3)])
+    p = 1 / (1 + np.exp(-(np.array([0.2, 0.5, 0.4]) @ x + 0.1)))
+    n = 100000
+    ones = np.rint(n * p).astype(np.int64)
+    model = mixing.Model([np.concatenate([2 * cell, 2 * cell + 1]), np.concatenate([n - ones, ones])])
+    assert np.allclose(model.weights[:3, 5], [0.2, 0.5, 0.4], atol=0.01) and abs(0.3 * model.weights[3, 5] - 0.1) < 0.01
+
+
 def test_scores_empty(no_docs):
     assert mixing.scores(no_docs).count() == 0
 
