@@ -29,9 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealscreen.llm.common import chunks, mix, read
+from dealscreen.llm.common import chunks, mix, read, returned
 
-MODEL, SAMPLES, SEED, CHUNK = "/opt/tokenizers/piece_bpe_32k.model", 2, 0, 2 << 20
+MODEL, SAMPLES, SEED, CHUNK, SLOT = "/opt/tokenizers/piece_bpe_32k.model", 2, 0, 2 << 20, 20
 _MUL, _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _PARTS = re.compile(" +[^ ]*")
 
@@ -67,9 +67,12 @@ class Pieces:
             for j, c in enumerate(piece):
                 h = (h * int(_MUL) + ord(c) + 1) & (2**64 - 1)
                 prefixes[h] = i if j == len(piece) - 1 else prefixes.get(h, -1)
-        keys = np.array(list(prefixes), np.uint64)
+        keys = np.array(list(prefixes), np.uint64) * _K1  # short prefixes' hashes are small numbers: spread them
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(list(prefixes.values()), np.int64)[order]
+        # Where the keys with the same first SLOT bits begin: a hash is looked for among those alone.
+        self.begin = np.searchsorted(self.keys >> np.uint64(64 - SLOT), np.arange(1 << SLOT, dtype=np.uint64)).astype(np.int32)
+        self.deepest = int(np.bincount(self.keys >> np.uint64(64 - SLOT)).max())
         worst = float(self.logp.min())
         # After the pieces: characters without a piece, by their 1 to 4 bytes.
         self.logp = np.concatenate([self.logp, worst * np.arange(1, 5)])
@@ -77,8 +80,14 @@ class Pieces:
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash starts a piece, and the piece it is (-1: none)."""
-        slot = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        h = h * _K1
+        slot = np.minimum(self.begin[h >> np.uint64(64 - SLOT)], len(self.keys) - 1)
         hit = self.keys[slot] == h
+        left = np.flatnonzero(~hit)
+        for _ in range(self.deepest - 1):
+            left = left[self.keys[slot[left]] < h[left]]
+            slot[left] = np.minimum(slot[left] + 1, len(self.keys) - 1)
+            hit[left] = self.keys[slot[left]] == h[left]
         return hit, np.where(hit, self.ids[slot], -1)
 
 
@@ -396,7 +405,7 @@ def sampled(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MO
 
     schema = f"row {rows.schema['row'].dataType.simpleString()}, samples {kind}{'' if digest else ', text string'}"
     row = F.struct(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept]).alias("row")
-    return rows.mapInArrow(run, schema).select(row, "samples")
+    return rows.mapInArrow(returned(run), schema).select(row, "samples")
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from dealscreen.llm import decontaminate, html, mixing, pieces, pii, quality, training_order
-from dealscreen.llm.common import scratch_dir, split_words
+from dealscreen.llm import common, decontaminate, html, mixing, pieces, pii, quality, training_order
+from dealscreen.llm.common import coded, scratch_dir, split_words
 
 
 def test_split_words(texts):
@@ -466,6 +466,51 @@ def test_training_order_empty(no_docs, spark):
     assert training_order.training_order(no_docs, scratch_dir(spark)).count() == 0
 
 
+# -- memory of workers, lookup of pieces
+
+def test_base_counts_do_not_depend_on_parts(monkeypatch, texts):
+    """Base counts of a chunk are taken of some words at a time; a text is never cut."""
+    given = pa.array([t for _, t in texts], pa.string())
+    words, offsets = split_words(given)
+    codes, _ = coded(words)
+    whole = quality._base_part(given, words, codes, offsets)
+    seen, part = [], quality._base_part
+    monkeypatch.setattr(quality, "_base_part", lambda t, *x: (seen.append(len(x[0])), part(t, *x))[1])
+    monkeypatch.setattr(quality, "BASE_WORDS", 500)
+    found = quality._base(given, words, codes, offsets)
+    assert all(found[c].tolist() == whole[c].tolist() for c in whole)
+    assert len(seen) > 5 and sum(seen) == len(words) and sorted(seen)[-2] <= 6000
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """Every batch comes through, and free memory goes back once the task has ended."""
+    done = []
+    monkeypatch.setattr(common, "give_back", lambda: done.append(1))
+    out = common.returned(lambda batches: (b * 2 for b in batches))(iter([1, 2, 3]))
+    assert next(out) == 2 and not done
+    assert list(out) == [4, 6] and done == [1]
+
+
+def test_piece_lookup():
+    """Every piece and every beginning of one is found by its hash, and nothing else."""
+    vocabulary = pieces.pieces(pieces.MODEL)
+    assert vocabulary.deepest < 16
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    want = {}
+    for i in range(0, vocabulary.size, 7):
+        if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)):
+            h = 0
+            for c in sp.id_to_piece(i):
+                h = (h * int(pieces._MUL) + ord(c) + 1) % 2**64
+            want[h] = i
+    hit, ids = vocabulary.find(np.array(list(want), np.uint64))
+    assert hit.all() and ids.tolist() == list(want.values())
+    hit, ids = vocabulary.find(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64) * np.uint64(2))
+    assert not hit.any() and (ids == -1).all()
+
+
 # -- scores
 
 def test_scores_counts_and_base(spark, docs, texts):
