@@ -30,12 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dealscreen.llm.common import (chunks, coded, discard, freed, materialise, materialise_buckets, mix, pack, read, rows_of,
-                                   scratch_dir, shuffle_partitions, split_words, unpack)
+                                   returned, scratch_dir, shuffle_partitions, split_words, unpack)
 from dealscreen.llm.substrings import _hashes
 
 KNOWN, WIDTH, LOW_SHARE, MIN_WORDS = 2, 6.0, 0.15, 50
 SALTS = 64
-BUCKET, CHUNK = 1 << 21, 8 << 20  # words a bucket of bigrams, bytes a chunk
+BUCKET, CHUNK, BASE_WORDS = 1 << 21, 8 << 20, 1 << 17  # words a bucket of bigrams, bytes a chunk, words counted at once
 PASSES = 4  # the bigrams are sent in so many passes, each with a share of the buckets, so that less is shuffled at once
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 START = 0  # a text's start in any language; each language's ids are its own start, its unknown word, its vocabulary
@@ -289,7 +289,17 @@ def _symbols(texts: pa.Array) -> list[int]:
 
 
 def _base(texts: pa.Array, words: pa.Array, codes: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Base counts and base_failed of each text."""
+    """Base counts and base_failed of each text, of some BASE_WORDS words (a longer text alone) at a time."""
+    out, a = [], 0
+    while not out or a < len(texts):
+        z = min(len(texts), max(a + 1, int(np.searchsorted(offsets, offsets[a] + BASE_WORDS, side="right")) - 1))
+        lo, hi = int(offsets[a]), int(offsets[z])
+        out.append(_base_part(texts.slice(a, z - a), words.slice(lo, hi - lo), codes[lo:hi], offsets[a:z + 1] - lo))
+        a = z
+    return {c: np.concatenate([x[c] for x in out]) for c in out[0]}
+
+
+def _base_part(texts: pa.Array, words: pa.Array, codes: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n_words, repeats = np.diff(offsets), _repeats(codes, offsets)
     return {"n_words": n_words, "word_chars": _characters(words, offsets), "n_symbols": np.array(_symbols(texts)),
             "n_dup_lines": np.array([_dup_lines(t) if t else 0 for t in texts.to_pylist()]), "n_repeat_words": repeats,
@@ -589,7 +599,7 @@ def perplexities(docs: DataFrame, *more: str) -> DataFrame:
     types = {c: rows.schema[c].dataType.simpleString() for c in kinds}
     buckets = shuffle_partitions(spark)
     given, numbered, held, added = (scratch_dir(spark) for _ in range(4))
-    split = materialise(rows.mapInArrow(_state(buckets, kinds), ", ".join(f"{c} array<{t}>" for c, t in types.items()) + f", {_STATE}")
+    split = materialise(rows.mapInArrow(returned(_state(buckets, kinds)), ", ".join(f"{c} array<{t}>" for c, t in types.items()) + f", {_STATE}")
                         .withColumn("chunk", F.monotonically_increasing_id()), given)
     words = materialise(split.select("chunk", F.inline("sent")).groupBy("bucket").applyInArrow(_number_words, _WORDS), numbered)
     state = materialise_buckets(split.drop("sent"), "chunk", buckets, held)
@@ -601,7 +611,7 @@ def perplexities(docs: DataFrame, *more: str) -> DataFrame:
     pairs = max(buckets, (state.agg(F.sum("n_words")).first()[0] or 0) // BUCKET)
     for share in range(PASSES):
         part = (state.select("chunk", "offsets", "codes").join(answers, "chunk")
-                .mapInArrow(_send_bigrams(sent, pairs, share), "bucket int, chunk long, keys binary, ns binary")
+                .mapInArrow(returned(_send_bigrams(sent, pairs, share)), "bucket int, chunk long, keys binary, ns binary")
                 .groupBy("bucket").applyInArrow(_total_bigrams(sent), _BIGRAMS))
         with freed(spark):
             part.write.partitionBy("kind").mode("append").parquet(added)
@@ -621,7 +631,7 @@ def perplexities(docs: DataFrame, *more: str) -> DataFrame:
     found = facts.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("place", "bucket", "lang", "ranks", "stats")).alias("found"))
     counts = bigrams.where("kind = 'n'").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "ranks")).alias("counts"))
     return state.drop("n_words").join(found, "chunk", "left").join(counts, "chunk", "left").drop("chunk").mapInArrow(
-        _score(spark.sparkContext.broadcast(Sums(numbering, by_lang, ends)), pairs, kinds),
+        returned(_score(spark.sparkContext.broadcast(Sums(numbering, by_lang, ends)), pairs, kinds)),
         ", ".join(f"{c} {t}" for c, t in types.items()) + ", " + ", ".join(f"{c} long" for c in _NUMBERS)
         + ", base_failed boolean, perplexity double")
 

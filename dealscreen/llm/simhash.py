@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from dealscreen.llm.common import LOWER, chunks, materialise, read, remap, rows_of, split_words
+from dealscreen.llm.common import LOWER, chunks, materialise, read, remap, returned, rows_of, split_words
 from dealscreen.llm.xxh import xxh64_slices
 
 SHINGLE, DISTANCE, SEGMENTS, BUCKET = 3, 2, 2, 64
@@ -83,7 +83,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] |
     rows = docs.select(F.struct(*others, F.lit(None).cast("byte").alias("_")).alias("row"), F.col("text").cast("string").alias("text"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, fingerprint long{', text string' if whole else ''}"
     row = F.struct(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept]).alias("row")
-    return rows.mapInArrow(add, schema).select(row, "fingerprint")
+    return rows.mapInArrow(returned(add), schema).select(row, "fingerprint")
 
 
 def _masks(bits: int, radius: int) -> list[int]:
