@@ -12,7 +12,7 @@ from dealscreen import oracle_sql as osql
 from dealscreen.checks import register
 from dealscreen.checks.core import bronze
 from dealscreen.checks.landing import STREAM_SLICES
-from dealscreen.config import Namespace, ensure_namespace, scratch_path
+from dealscreen.config import Namespace, ensure_namespace, pin, scratch_path
 from dealscreen.operators.publish import publish
 from dealscreen.operators.rank import rank_deals
 from dealscreen.plans.refresh import RefreshTables, refresh
@@ -25,7 +25,9 @@ ESTIMATE_SLICES = ["year(as_of) < 1996", "year(as_of) BETWEEN 1996 AND 1997", "y
 def _refreshed(spark: SparkSession, sf: str, listings: bool = True) -> RefreshTables:
     """Three landings of listings and estimates, of which the last one is older than the second."""
     tables = RefreshTables(spark, scratch_path(spark, "refresh"), buckets=8)
-    b, e = bronze(spark, sf), fx.estimate_feed(spark, sf)
+    # Every landing reads its slice of both: the adapter's join runs once, not once a landing.
+    b = pin(bronze(spark, sf), "refresh-input") if listings else None
+    e = pin(fx.estimate_feed(spark, sf), "refresh-input")
     for i in (0, 2, 1):
         refresh(tables, b.where(STREAM_SLICES[i]) if listings else None, [e.where(ESTIMATE_SLICES[i])], estimate_order=fx.ESTIMATE_ORDER)
     return tables

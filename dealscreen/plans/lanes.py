@@ -46,5 +46,5 @@ def run_lanes(spark: SparkSession, bronze: DataFrame, estimate_feeds: Sequence[D
         own = own_estimates(mine).withColumn("lane", F.lit(lane))
         given = [f.where(F.col("lane") == lane) for f in feeds]
         out[lane] = run_pipeline(spark, mine, [*given, own], ns=ns, a=a, method=method, location_root=location_root,
-                                 listing_order=listing_order, estimate_order=estimate_order, lane=lane)
+                                 listing_order=listing_order, estimate_order=estimate_order, lane=lane, feeds_written=True)
     return out

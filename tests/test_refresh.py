@@ -143,3 +143,27 @@ def test_open_reader_finishes_and_old_snapshots_expire(spark, served):
 def test_table_that_was_not_published_is_taken_over(spark, served):
     spark.range(5).write.saveAsTable(served)
     assert publish(spark.range(6), served).count() == 6
+
+
+def test_landings_read_inputs_that_were_written_once(spark, sf_dir, monkeypatch):
+    """The adapter's join of orders and lineitem isn't part of what each landing reads."""
+    from dealscreen.checks import refresh as checks
+
+    seen = []
+    monkeypatch.setattr(checks, "refresh", lambda tables, bronze, feeds, **kw: seen.extend([bronze, *feeds]))
+    checks._refreshed(spark, sf_dir)
+    assert len(seen) == 6 and all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in seen)
+
+
+def test_a_run_makes_its_estimate_feeds_once(spark, sf_dir, monkeypatch):
+    """Quarantine and silver read the feed's rows as they were written, not the join that makes them."""
+    from dealscreen import fixtures as fx
+    from dealscreen.checks.core import bronze
+    from dealscreen.config import Namespace, scratch_path
+    from dealscreen.plans import pipeline
+
+    seen, silver = [], pipeline.silver_value_estimates
+    monkeypatch.setattr(pipeline, "silver_value_estimates", lambda feeds, order: (seen.extend(feeds), silver(feeds, order))[1])
+    pipeline.run_pipeline(spark, bronze(spark, sf_dir), [fx.estimate_feed(spark, sf_dir)], ns=Namespace(tenant="feeds_once"),
+                          estimate_order=fx.ESTIMATE_ORDER, location_root=scratch_path(spark, "warehouse"))
+    assert len(seen) == 1 and "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
