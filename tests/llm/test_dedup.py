@@ -118,6 +118,27 @@ def test_substring_tables_of_shorter_windows_are_deleted(docs, monkeypatch):
     assert not [t.name for t in docs.sparkSession.catalog.listTables() if t.name.startswith("llm_")]
 
 
+def test_substring_short_windows_are_not_stored(spark, monkeypatch):
+    """Common words in ever new order: tables of places hold none of them, only windows whose both halves are repeated."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(200)]
+    passage = " ".join(rng.choice(vocabulary) for _ in range(14))
+    made = [(i, " ".join(rng.choice(vocabulary) for _ in range(120))) for i in range(60)] + [(100, passage), (101, f"x {passage}")]
+    docs, places = spark.createDataFrame(made, "doc_id long, text string").repartition(5), []
+    plain = substrings.materialise_buckets
+
+    def stored(df, key, n, path, **options):
+        table = plain(df, key, n, path, **options)
+        if "code" in table.columns:
+            places.append(sum(len(substrings.unpack(r.code, "uint32")) for r in table.collect()))
+        return table
+
+    monkeypatch.setattr(substrings, "materialise_buckets", stored)
+    got = substrings.deduplicated(docs).collect()
+    assert Counter(tuple(r)[:4] for r in got) == Counter(removed_words(made))
+    assert places == [4, 0]  # the passage's two windows of 13 words in both documents
+
+
 def removed_bytes(texts, length=200):
     count = Counter()
     for _, t in texts:
