@@ -156,6 +156,16 @@ def components(links: DataFrame) -> DataFrame:
         state = new
 
 
+def _with_root(marked: DataFrame, distance: int, segments: int, bucket: int) -> DataFrame:
+    """Rows (id, fingerprint and others) with their component's smallest fingerprint and id."""
+    light = materialise(marked.groupBy("fingerprint").agg(F.min("id").alias("id")))
+    roots = components(near_pairs(light.select(F.col("fingerprint").alias("fp")), distance, segments, bucket))
+    named = light.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+        "fingerprint", "id", F.coalesce("root", "fingerprint").alias("root"))
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    return marked.join(named.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS,
                     bucket: int = BUCKET, keep: list[str] | None = None) -> DataFrame:
     """row, fingerprint (long), root (the component's smallest fingerprint) and component_id of every document row.
@@ -163,13 +173,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     The rows with fingerprints are written once.
     """
     marked = materialise(with_fingerprint(docs, shingle, keep))
-    light = materialise(marked.select("fingerprint", F.col("row.doc_id").alias("id")).groupBy("fingerprint")
-                        .agg(F.min("id").alias("id")))
-    roots = components(near_pairs(light.select(F.col("fingerprint").alias("fp")), distance, segments, bucket))
-    named = light.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", "id", F.coalesce("root", "fingerprint").alias("root"))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    return marked.join(named.join(least, "root").select("fingerprint", "root", "component_id"), "fingerprint")
+    found = _with_root(marked.withColumn("id", F.col("row.doc_id")), distance, segments, bucket)
+    return found.select("fingerprint", "row", "root", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +186,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each component stays, the one with the smallest id (null last), then the smallest hash of its text.
 
-    Components are told apart by their fingerprints: equal ids in two of them are two documents.
+    Components are told apart by their fingerprints: equal ids in two of them are two documents. The rows are written once,
+    numbered; numbers, ids and hashes tell which stay, and only the rows that stay are joined to their numbers.
     """
-    first = Window.partitionBy("root").orderBy(F.col("row.doc_id").asc_nulls_last(), F.xxhash64("row.text"))
-    return near_duplicates(docs).withColumn("first", F.row_number().over(first)).where("first = 1").select("row.*")
+    marked = materialise(with_fingerprint(docs).select(
+        "row", "fingerprint", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("hash"),
+        F.monotonically_increasing_id().alias("number")))
+    first = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), "hash", "number")
+    stays = (_with_root(marked.drop("row"), DISTANCE, SEGMENTS, BUCKET).withColumn("first", F.row_number().over(first))
+             .where("first = 1").select("number"))
+    return marked.select("number", "row").join(materialise(stays).hint("merge"), "number", "left_semi").select("row.*")

@@ -245,6 +245,12 @@ def test_keep_one(spark, docs, texts):
     assert sorted((r.doc_id for r in got), key=str) == sorted((c for c, in want), key=str)
 
 
+def test_keep_one_moves_texts_once(spark, docs):
+    """Which rows stay is told by numbers, ids and hashes; whole rows meet those numbers in one join."""
+    plan = simhash.keep_one(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Join LeftSemi" in plan and "Window" not in plan
+
+
 def test_keep_one_tells_documents_of_equal_ids_apart(spark):
     """Unlinked texts that share an id are documents of their own; copies without ids are one."""
     a, b, c = ("".join(f"{w}{i} " for i in range(80)) for w in ("red", "green", "blue"))
