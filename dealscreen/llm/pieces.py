@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dealscreen.llm.common import chunks, mix, read, returned
 
-MODEL, SAMPLES, SEED, CHUNK, SLOT = "/opt/tokenizers/piece_bpe_32k.model", 2, 0, 2 << 20, 20
+MODEL, SAMPLES, SEED, CHUNK, SLOT = "/opt/tokenizers/piece_bpe_32k.model", 2, 0, 4 << 20, 20
 _MUL, _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _PARTS = re.compile(" +[^ ]*")
 
@@ -245,11 +245,14 @@ def sample(texts: pa.Array, seeds: np.ndarray, k: int, vocabulary: Pieces) -> li
     # Open sets of each text: (bound, path, part, step, edges taken there); step None: all other ways through the part.
     waiting: list[list] = [[] for _ in range(rows)]
     jobs = [(r, None, 0, None, (), float(bounds[r])) for r in range(rows) if offsets[r + 1] > offsets[r]]
+    ramp = np.arange(int(np.diff(offsets).max()), dtype=np.uint64) * _MUL
     for turn in range(k):
         nodes, keys, sums, spans = [], [], [], []
+        starts = mix(root + _times(turn, _K1))
+        draws = _uniform((root + _times(turn, _K2))[:, None] + np.arange(2, dtype=np.uint64)) if turn else None
         for r, path, part, step, taken, bound in jobs:
             lo, hi = int(offsets[r]), int(offsets[r + 1])
-            keys.append(mix(_plus(root[r], _times(turn, _K1)))[0] + np.arange(part, hi - lo, dtype=np.uint64) * _MUL)
+            keys.append(starts[r] + ramp[part:hi - lo])
             if path is None:
                 spans.append((r, lo, None, bound))
                 nodes.append(heads[lo:hi])
@@ -258,7 +261,7 @@ def sample(texts: pa.Array, seeds: np.ndarray, k: int, vocabulary: Pieces) -> li
             start = int(path.ends[part - 1]) if part else 0
             at, edges = path.at[start:path.ends[part]], path.edges[start:path.ends[part]]
             before, other = _inner(lattice, at, edges)
-            u = _uniform(_plus(root[r], _times(turn, _K2)) + np.arange(2, dtype=np.uint64))
+            u = draws[r]
             if step is None:
                 # The set falls into those that leave the part's way at one of its steps.
                 mass = before[:-1] * other
@@ -290,7 +293,7 @@ def sample(texts: pa.Array, seeds: np.ndarray, k: int, vocabulary: Pieces) -> li
         log -= np.concatenate(sums)
         per_job = np.array([len(n) for n in nodes])
         ends = np.cumsum(per_job)
-        jobs = []
+        jobs, made = [], []
         for (r, first, opened, bound), a, z in zip(spans, ends - per_job, ends):
             base = int(step_ends[a - 1]) if a else 0
             at, edges, own_ends = all_at[base:step_ends[z - 1]], all_edges[base:step_ends[z - 1]], step_ends[a:z] - base
@@ -300,64 +303,82 @@ def sample(texts: pa.Array, seeds: np.ndarray, k: int, vocabulary: Pieces) -> li
                 path = _Path(at, edges, own_ends, np.concatenate([[0.0], np.cumsum(own)]))
             else:
                 old, start, at0, edges0 = opened
-                own = own.copy()
                 own[0] += vocabulary.logp[lattice.id[at0, edges0]].sum()
                 path = _Path(np.concatenate([old.at[:start], at0, at]), np.concatenate([old.edges[:start], edges0, edges]),
                              np.concatenate([old.ends[:part], own_ends + start + len(at0)]),
                              np.concatenate([old.before[:part], old.before[part] + np.concatenate([[0.0], np.cumsum(own)])]))
             found[r].append(path)
-            key = (root[r] ^ _K2) + (np.arange(part, part + len(own), dtype=np.uint64) * _MUL + _times(turn, _K1))
-            other = -np.expm1(np.minimum(own, 0.0))
+            made.append((path, part))
+        # The other ways through each part, of all texts at once.
+        other = -np.expm1(np.minimum(log, 0.0))
+        # In a part just changed only what lies beyond the new edge is open.
+        other[(ends - per_job)[[opened is not None for _, _, opened, _ in spans]]] = 0.0
+        other[other < 1e-13] = 0.0
+        key = (np.repeat(root[[r for r, _, _, _ in spans]] ^ _K2, per_job)
+               + (np.concatenate([ramp[part:part + n] for (_, part), n in zip(made, per_job)]) + _times(turn, _K1)))
+        with np.errstate(divide="ignore"):
+            bounds = _truncated(np.concatenate([path.before[part:-1] for path, part in made]) + np.log(other),
+                                np.repeat([bound for _, _, _, bound in spans], per_job), key)
+        for (r, _, opened, bound), (path, part), a, z in zip(spans, made, ends - per_job, ends):
             if opened is not None:
-                # In the part just changed only what lies beyond the new edge is open.
-                other[0] = 0.0
-                s0, s1 = start + len(at0), int(path.ends[part])
-                before, beside = _inner(lattice, path.at[start:s1], path.edges[start:s1])
-                mass = (before[:-1] * beside)[len(at0):]
-                for i in np.flatnonzero(mass > 0):
-                    g = _truncated(path.before[part] + np.log(mass[i:i + 1]), bound, mix(key[:1]) + _times(int(i) + 1, _K1))
-                    waiting[r].append((float(g[0]), path, part, len(at0) + int(i), (int(path.edges[s0 + i]),)))
-            # The other ways through each part; only the largest bounds can still be needed.
-            other[other < 1e-13] = 0.0
-            with np.errstate(divide="ignore"):
-                g = _truncated(path.before[part:-1] + np.log(other), bound, key)
-            need = k + 1 - len(found[r])
-            best = np.argpartition(-g, need)[:need + 1] if len(g) > need + 1 else np.arange(len(g))
-            waiting[r] += [(float(g[i]), path, part + int(i), None, ()) for i in best if g[i] > -np.inf]
+                s0, s1 = opened[1] + len(opened[2]), int(path.ends[part])
+                before, beside = _inner(lattice, path.at[opened[1]:s1], path.edges[opened[1]:s1])
+                mass = (before[:-1] * beside)[s0 - opened[1]:]
+                rest = np.flatnonzero(mass > 0)
+                g = _truncated(path.before[part] + np.log(mass[rest]), bound, mix(key[a:a + 1]) + (rest + 1).astype(np.uint64) * _K1)
+                waiting[r] += [(b, path, part, s0 - opened[1] + i, (int(path.edges[s0 + i]),)) for b, i in zip(g.tolist(), rest.tolist())]
+            # Only the largest bounds can still be needed.
+            g, need = bounds[a:z], k + 1 - len(found[r])
+            best = np.argpartition(-g, need)[:need + 1].tolist() if len(g) > need + 1 else range(len(g))
+            waiting[r] += [(float(g[i]), path, part + i, None, ()) for i in best if g[i] > -np.inf]
             waiting[r].sort(key=lambda x: -x[0])
             if waiting[r] and turn + 1 < k:
                 g, path, part, step, taken = waiting[r].pop(0)
                 jobs.append((r, path, part, step, taken, g))
+    paths = [path for of in found for path in of]
+    ids = iter(_ids(lattice, paths))
     out = []
     for r in range(rows):
         kappa = waiting[r][0][0] if waiting[r] else -np.inf
-        made = [(_ids(lattice, path), float(path.before[-1]),
+        made = [(next(ids), float(path.before[-1]),
                  float(-np.expm1(-np.exp(min(path.before[-1] - kappa, 700.0))))) for path in found[r]]
         out.append(made or [(np.empty(0, np.int32), 0.0, 1.0)])
     return out
 
 
-def _ids(lattice: Lattice, path: _Path) -> np.ndarray:
-    """Piece ids of the path; a character without a piece becomes its bytes' pieces."""
-    ids = lattice.id[path.at, path.edges]
-    voc = lattice.vocabulary
-    lone = np.flatnonzero(ids >= voc.size)
-    if not len(lone):
-        return ids
-    parts, last = [], 0
-    for i in lone.tolist():
-        parts += [ids[last:i], voc.byte_ids[list(chr(lattice.character[path.at[i]]).encode())]]
-        last = i + 1
-    return np.concatenate([*parts, ids[last:]])
+def _ids(lattice: Lattice, paths: list[_Path]) -> list[np.ndarray]:
+    """Piece ids of the paths; a character without a piece becomes its bytes' pieces."""
+    if not paths:
+        return []
+    cuts, voc = np.cumsum([len(path.at) for path in paths])[:-1], lattice.vocabulary
+    out = np.split(lattice.id[np.concatenate([path.at for path in paths]), np.concatenate([path.edges for path in paths])], cuts)
+    for n, (path, ids) in enumerate(zip(paths, out)):
+        if not len(ids) or ids.max() < voc.size:
+            continue
+        parts, last = [], 0
+        for i in np.flatnonzero(ids >= voc.size).tolist():
+            parts += [ids[last:i], voc.byte_ids[list(chr(lattice.character[path.at[i]]).encode())]]
+            last = i + 1
+        out[n] = np.concatenate([*parts, ids[last:]])
+    return out
 
 
 def decode(ids, vocabulary: Pieces) -> str:
     """The text of the pieces, without the space in front."""
-    joined = vocabulary.surface.take(pa.array(np.asarray(ids, np.int32)))
+    return decoded([np.asarray(ids, np.int32)], vocabulary)[0]
+
+
+def decoded(lists: list[np.ndarray], vocabulary: Pieces) -> list[str]:
+    """The texts of several lists of pieces."""
+    joined = vocabulary.surface.take(pa.array(np.concatenate([np.empty(0, np.int32), *lists]).astype(np.int32)))
+    if not len(joined):
+        return [""] * len(lists)
+    offsets = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset:joined.offset + len(joined) + 1]
+    ends = offsets[np.cumsum([0, *map(len, lists)])].tolist()
     data = joined.buffers()[2]
-    text = data.to_pybytes()[:joined.nbytes and int(pc.sum(pc.binary_length(joined)).as_py() or 0)] if data else b""
-    text = text.decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
+    data = data.to_pybytes() if data else b""
+    texts = [data[a:z].decode("utf-8", "replace") for a, z in zip(ends, ends[1:])]
+    return [t[1:] if t.startswith(" ") else t for t in texts]
 
 
 _SAMPLES = "array<struct<ids:array<int>,log_prob:double,inclusion:double>>"
@@ -381,12 +402,13 @@ def sampled(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MO
 
     def run(batches):
         vocabulary = pieces(model)
-        for b in chunks(batches, limit=CHUNK if digest else CHUNK // 4):
+        for b in chunks(batches, limit=CHUNK if digest else CHUNK // 8):
             texts = b.column("text").to_pylist()
             made = sample(b.column("text"), row_seeds(b.column("key"), seed), k, vocabulary)
             if digest:
+                back = iter(decoded([i for s in made for i, _, _ in s], vocabulary))
                 lists = [[{"n_pieces": len(i), "ids_sha256": hashlib.sha256(i.astype("<i4").tobytes()).hexdigest(),
-                           "round_trip": decode(i, vocabulary) == (t or ""), "log_prob": p, "inclusion": q}
+                           "round_trip": next(back) == (t or ""), "log_prob": p, "inclusion": q}
                           for i, p, q in s] for s, t in zip(made, texts)]
                 type_ = pa.list_(pa.struct([("n_pieces", pa.int64()), ("ids_sha256", pa.string()),
                                             ("round_trip", pa.bool_()), ("log_prob", pa.float64()), ("inclusion", pa.float64())]))

@@ -654,3 +654,16 @@ def test_query_matches_sql(spark, sf_dir, name):
     want = con.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
     assert Counter(map(tuple, QUERIES[name](spark, sf_dir).select(columns).collect())) == Counter(want.fetchall())
+
+
+def test_piece_draws_and_texts_are_made_at_once(monkeypatch):
+    """A batch's draws for all texts' parts are one call, and so are the texts of its samples."""
+    vocabulary, calls = pieces.pieces(pieces.MODEL), []
+    texts = [f"some words {i} here é \U0001f600" for i in range(40)] + ["", " ", "one"]
+    plain = pieces._truncated
+    monkeypatch.setattr(pieces, "_truncated", lambda *x: calls.append(len(x[0])) or plain(*x))
+    made = pieces.sample(pa.array(texts), np.arange(len(texts), dtype=np.uint64), 1, vocabulary)
+    assert len(calls) == 1
+    ids = [s[0][0] for s in made]
+    assert pieces.decoded(ids, vocabulary) == [pieces.decode(i, vocabulary) for i in ids] == texts
+    assert pieces.decoded([], vocabulary) == [] and pieces.decoded([np.empty(0, np.int32)], vocabulary) == [""]
