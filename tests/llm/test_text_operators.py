@@ -567,6 +567,40 @@ def test_scores_count_every_context(monkeypatch, hot):
     assert "".join(map(str, bit)) == "".join(paths)
 
 
+def test_scores_give_every_node_once():
+    """A bucket gives a chunk the count of each node of its paths once; the chunk has the whole paths of all chunks' events."""
+    rng = np.random.default_rng(6)
+    keys, codes = rng.integers(0, 2**63, 30).astype(np.uint64), rng.integers(0, 2**14, 500).astype(np.uint64) << np.uint64(50)
+    drawn = [(keys[rng.zipf(1.4, 4000) % 30], codes[rng.integers(0, 500, 4000)]) for _ in range(3)]
+    events, rows = [mixing._distinct(k, c)[:2] for k, c in drawn], []
+    for chunk, (key, code) in enumerate(events):
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        rows.append({"bucket": 0, "chunk": chunk, "h": common.pack(np.diff(key[heads], prepend=np.uint64(0))),
+                     "size": common.pack(np.diff(np.append(heads, len(key))).astype(np.uint32)), "code": common.pack(code),
+                     "n": common.pack(np.ones(len(key), np.uint32))})
+    total = Counter((k, c) for key, code in events for k, c in zip(key.tolist(), code.tolist()))
+    nodes = Counter()
+    for (k, c), n in total.items():
+        nodes.update({(k, format(c, "064b")[:j]): n for j in range(65)})
+    members = Counter((k, format(c, "064b")[:j]) for k, c in total for j in range(65))
+    for (key, code), row in zip(events, mixing._total_events(pa.Table.from_pylist(rows)).to_pylist()):
+        depth, start, counts = mixing._given([row], key, code)
+        paths = [[(k, format(c, "064b")[:j]) for j in range(d + 1)] for k, c, d in zip(key.tolist(), code.tolist(), depth.tolist())]
+        assert all(members[p[-1]] == 1 and all(members[x] > 1 for x in p[:-1]) for p in paths)
+        assert [counts[a:a + d + 1].tolist() for a, d in zip(start, depth)] == [[nodes[x] for x in p] for p in paths]
+        assert len(common.unpack(row["counts"], np.uint32)) == len({x for p in paths for x in p})
+
+
+def test_scores_sort_equal_upper_bits():
+    """Keys and codes that differ in their lowest bits alone are told apart and sorted."""
+    rng = np.random.default_rng(8)
+    key = (np.uint64(7) << np.uint64(40)) + rng.integers(0, 9, 5000).astype(np.uint64)
+    code = (np.uint64(5) << np.uint64(60)) + rng.integers(0, 9, 5000).astype(np.uint64)
+    k, c, number = mixing._distinct(key, code)
+    assert list(zip(k.tolist(), c.tolist())) == sorted(set(zip(key.tolist(), code.tolist())))
+    assert (k[number] == key).all() and (c[number] == code).all()
+
+
 def test_scores_know_the_word_before_a_rare_word(spark):
     """A word that is not among the most frequent ones is a context like every other."""
     rng = np.random.default_rng(5)
