@@ -4,16 +4,21 @@ Listings and estimates are tagged once (``lane``) and written partitioned by it;
 Every table of a run is written to the lane's database after a check that the rows are that lane's (``run_pipeline``), so
 no public source reaches the licensed tables, nor a licensed one the public tables. Estimates that portal rows carry
 themselves follow their rows. Rows of unknown origin are licensed: the lane that is not given away.
+
+The inputs are independent of each other, and so are the lanes: they are written at the same time, so that cores that one
+job leaves idle (few tasks, the last ones, commits) are the other's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealscreen.config import LICENSED, PUBLIC, Assumptions, Namespace, lane_column, scratch_path
+from dealscreen.config import LICENSED, PUBLIC, Assumptions, Namespace, ensure_namespace, lane_column, scratch_path
 from dealscreen.plans.pipeline import run_pipeline
 from dealscreen.plans.silver import own_estimates
 from dealscreen.schemas import BRONZE_SCHEMA, ESTIMATE_ORDER, LISTING_ORDER, conform
@@ -30,6 +35,13 @@ def route(df: DataFrame, source_col: str, public_sources: Sequence[str], name: s
     return spark.read.schema(tagged.schema).parquet(path)
 
 
+def _together(spark: SparkSession, runs: Sequence[Callable]) -> list:
+    """The results of independent runs, at the same time; all have ended when the first error is raised."""
+    with ThreadPoolExecutor(len(runs)) as pool:
+        futures = [pool.submit(inheritable_thread_target(spark)(run)) for run in runs]
+    return [f.result() for f in futures]
+
+
 def run_lanes(spark: SparkSession, bronze: DataFrame, estimate_feeds: Sequence[DataFrame], ns: Namespace | None = None,
               a: Assumptions | None = None, method: str = "exact", listing_order: Sequence[str] = tuple(LISTING_ORDER),
               estimate_order: Sequence[str] = tuple(ESTIMATE_ORDER), location_root: str | None = None,
@@ -38,13 +50,18 @@ def run_lanes(spark: SparkSession, bronze: DataFrame, estimate_feeds: Sequence[D
     from dealscreen.config import PUBLIC_SOURCES
 
     sources = PUBLIC_SOURCES if public_estimate_sources is None else public_estimate_sources
-    listings = route(conform(bronze, BRONZE_SCHEMA), "source", public_listing_sources, "lane-bronze")
-    feeds = [route(f, "estimate_source", sources, "lane-feed") for f in estimate_feeds]
-    out = {}
-    for lane in (LICENSED, PUBLIC):
+    ns = ns or Namespace.from_spark(spark)
+    ensure_namespace(spark, ns, location_root)
+    listings, *feeds = _together(spark, [
+        lambda: route(conform(bronze, BRONZE_SCHEMA), "source", public_listing_sources, "lane-bronze"),
+        *[lambda f=f: route(f, "estimate_source", sources, "lane-feed") for f in estimate_feeds]])
+
+    def run(lane: str) -> DataFrame:
         mine = listings.where(F.col("lane") == lane)
         own = own_estimates(mine).withColumn("lane", F.lit(lane))
         given = [f.where(F.col("lane") == lane) for f in feeds]
-        out[lane] = run_pipeline(spark, mine, [*given, own], ns=ns, a=a, method=method, location_root=location_root,
-                                 listing_order=listing_order, estimate_order=estimate_order, lane=lane, feeds_written=True)
-    return out
+        return run_pipeline(spark, mine, [*given, own], ns=ns, a=a, method=method, location_root=location_root,
+                            listing_order=listing_order, estimate_order=estimate_order, lane=lane, feeds_written=True)
+
+    lanes = (LICENSED, PUBLIC)
+    return dict(zip(lanes, _together(spark, [lambda lane=lane: run(lane) for lane in lanes])))

@@ -1,6 +1,7 @@
 """Indexed lookups, mergeable value states, lanes, contracts, home cards and price texts."""
 
 import random
+import threading
 import uuid
 
 import pyarrow.parquet as pq
@@ -12,6 +13,7 @@ from dealscreen.functions.text import suspicious_price
 from dealscreen.operators.lookup import lookup, write_lookup
 from dealscreen.operators.value_state import K, merge_states, state_values, value_state
 from dealscreen.operators.triangulate import value_triangulation
+from dealscreen.plans import lanes
 from dealscreen.plans.lanes import run_lanes
 from dealscreen.plans.pipeline import PipelineTables, run_pipeline
 from dealscreen.schemas import SILVER_VALUE_ESTIMATES_SCHEMA, enforce
@@ -101,6 +103,24 @@ def test_lanes_are_kept_apart(spark, tmp_path, ns):
         assert {r.lane for r in ns.read(spark, lane, "bronze_listings").select("lane").distinct().collect()} == {lane}
 
 
+def test_lanes_run_at_the_same_time(spark, tmp_path, ns, monkeypatch):
+    """Each lane waits for the other to begin; an error in one is raised, after the other has ended."""
+    both, ended = threading.Barrier(2, timeout=60), []
+
+    def run(spark_, rows, feeds, lane, **kw):
+        both.wait()
+        if lane == "public":
+            raise ValueError("of one lane")
+        ended.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(lanes, "run_pipeline", run)
+    feed = spark.createDataFrame([("1-A", 5.0, "avm"), ("2-A", 6.0, "county")], "ParcelNumber string, value_estimate double, estimate_source string")
+    with pytest.raises(ValueError, match="of one lane"):
+        run_lanes(spark, _bronze(spark), [feed], ns=ns, location_root=str(tmp_path))
+    assert len(ended) == 1 and ended[0] > 0
+
+
 def test_rows_of_the_other_lane_fail_the_run(spark, tmp_path, ns):
     mixed = _bronze(spark).withColumn("lane", F.when(F.col("ListingKey") == "L1", "licensed").otherwise("public"))
     feed = spark.createDataFrame([], "ParcelNumber string, value_estimate double, estimate_source string")
