@@ -114,7 +114,8 @@ def near_pairs(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENT
     w = Window.partitionBy("seg", "value").orderBy("fp")
     buckets = (entries.withColumn("n", F.row_number().over(w)).where(F.col("n") <= bucket + 1)
                .groupBy("seg", "value").agg(F.collect_list("fp").alias("fps")))
-    met = fps.select("fp", F.inline(F.flatten(F.array(*probes)))).join(buckets, ["seg", "value"]).select(
+    # Spark takes a ball for one row, so it would broadcast all of them: neither side ever is.
+    met = fps.select("fp", F.inline(F.flatten(F.array(*probes)))).join(buckets.hint("merge"), ["seg", "value"]).select(
         "fp", F.when(F.size("fps") <= bucket, F.filter(
             "fps", lambda x: (x > F.col("fp")) & _near(x, F.col("fp"), distance))).alias("found"))
     met = materialise(met.where("found IS NULL OR size(found) > 0"))

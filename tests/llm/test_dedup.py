@@ -237,6 +237,15 @@ def test_simhash_hot_buckets_lose_no_link(spark):
             assert len({got.get(p, p) for p in group}) == 1
 
 
+def test_simhash_balls_are_never_broadcast(spark, monkeypatch):
+    """Spark takes 66 probes of a fingerprint for one row: their join must not be left to sizes."""
+    plans, write = [], simhash.materialise
+    fps = write(spark.createDataFrame([((i * 0x9E3779B97F4A7C15) % 2**63,) for i in range(50)], "fp long"))
+    monkeypatch.setattr(simhash, "materialise", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or write(df))
+    assert simhash.near_pairs(fps).count() == 0
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
 def test_keep_one(spark, docs, texts):
     kept = simhash.keep_one(spark, docs, "")
     assert kept.columns == docs.columns
