@@ -254,6 +254,15 @@ def test_keep_one(spark, docs, texts):
     assert sorted((r.doc_id for r in got), key=str) == sorted((c for c, in want), key=str)
 
 
+def test_keep_one_broadcasts_no_balls(docs, monkeypatch):
+    """Nor in the pipeline's stage: whatever is exploded is joined by merging."""
+    plans, write = [], simhash.materialise
+    monkeypatch.setattr(simhash, "materialise", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or write(df))
+    simhash.keep_one(docs.sparkSession, docs, "")
+    probes = [p for p in plans if "Generate inline" in p and "Join" in p]
+    assert probes and not any("BroadcastHashJoin" in p for p in probes)
+
+
 def test_keep_one_moves_texts_once(spark, docs):
     """Which rows stay is told by numbers, ids and hashes; whole rows meet those numbers in one join."""
     plan = simhash.keep_one(spark, docs, "")._jdf.queryExecution().optimizedPlan().toString()
