@@ -2,15 +2,16 @@
 
 1. Vectors become integers (floor of ``SCALE`` times each component). Each half of the vector has its own codebook,
    fitted on at most ``SAMPLE`` rows (the smallest hashes of all rows' numbers); every row of the table is indexed: its
-   cell is the pair of its halves' nearest codewords. Per codeword the largest distance of a row (its radius) is kept.
-2. The score of a query with any row of cell (i, j) is at most the sum of two half-score bounds,
-   q1.c_i + |q1| r_i and q2.c_j + |q2| r_j. A heap over the two sorted sequences (multi-sequence) gives the cells by falling bound.
+   cell is the pair of its halves' nearest codewords. Per cell the largest distances of a row (its radii) are kept.
+2. The score of a query with any row of cell (i, j) is at most q1.c_i + q2.c_j and the lesser of |q1| r1 + |q2| r2 and |q| r,
+   the cell's radii of either half and of whole vectors. The at most ``CODES``^2 sums are sorted: cells by falling bound.
 3. A query asks for scores in windows [low, high], the best k of each. It visits cells until their rows number
    ``FIRST``, then ``GROWTH`` times as many, then all; it stops where the next bound lies below what every window still
    can use (its low end, or its k-th best score so far): then the windows are certified and exact.
-4. A cell's rows lie in blocks of ``BLOCK`` rows, so a cell with a third of all rows is many blocks; a request goes to
-   (cell, block) with up to ``GROUP`` queries, is joined there, scored as one product of matrices, and sends back at most
-   k rows a query and window.
+4. A cell's rows lie in blocks of ``BLOCK`` rows, so a cell with a third of all rows is many blocks; blocks that follow
+   each other are a bucket of about ``BUCKET`` components. A request goes to a bucket with up to ``GROUP`` queries, each
+   sent there once with one bit for each cell. A bucket scores each block as products of matrices with the queries that
+   want its cell, raises windows' low ends by what it has found, and sends back at most k rows a query and window.
 
 ``mine`` searches positives (one open window, the same label) and then the negatives (a window for each positive, other labels).
 
@@ -23,8 +24,6 @@ after scaling are held there; repeated rows are rows of their own; an empty tabl
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from dealscreen.llm.common import materialise, read
+from dealscreen.llm.common import discard, give_back, materialise, pack, read, returned, scratch_dir, shuffle_partitions, unpack
 
 SCALE, LIMIT = 256, 1 << 22
 #: Rows that the codebooks are fitted on at most, codewords a half at most, rows a cell aimed at, rounds of fitting.
 SAMPLE, CODES, CELL_ROWS, FITS = 1 << 14, 64, 64, 8
 #: Rows a block, queries a request; rows visited in the first round, and their growth in the second.
 BLOCK, GROUP, FIRST, GROWTH = 2048, 256, 1024, 8
+#: Components of a bucket's vectors; scores, and found rows, held at once there.
+BUCKET, SCORES, FOUND = 1 << 21, 1 << 19, 1 << 20
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 3, 50, 95
 _OPEN = 1 << 62
 
@@ -94,29 +95,51 @@ class Index:
     blocks: DataFrame
     dims: int
     halves: tuple[np.ndarray, np.ndarray]
-    radii: tuple[np.ndarray, np.ndarray]
+    radii: tuple[np.ndarray, np.ndarray, np.ndarray]  # by cell: of the halves and of whole vectors
     counts: np.ndarray  # rows by cell
     block: int
+    buckets: int
 
     def parts(self) -> np.ndarray:
         return -(-self.counts // self.block)
 
+    def ranges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each bucket's first cell, and the one after its last (a cell of several blocks may be in more than one)."""
+        parts = self.parts()
+        cell = np.repeat(np.arange(len(parts)), parts)
+        bucket = _bucket_of(self.counts, parts, self.buckets)
+        at = np.arange(self.buckets)
+        if not len(cell):
+            return at * 0, at * 0
+        first, last = np.searchsorted(bucket, at), np.searchsorted(bucket, at, side="right")
+        low, high = (cell[np.minimum(x, len(cell) - 1)] for x in (first, np.maximum(last, 1) - 1))
+        return np.where(last > first, low, 0), np.where(last > first, high + 1, 0)
+
+
+def _bucket_of(counts: np.ndarray, parts: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of every block, in the order of cells and parts: they rise, and are equally full."""
+    size = np.repeat(counts / np.maximum(parts, 1), parts)
+    before = np.cumsum(size) - size
+    return np.minimum(before * (buckets / max(size.sum(), 1)), buckets - 1).astype(np.int64)
+
 
 _INDEXED = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("label", pa.int64()), ("v", pa.list_(pa.int32())),
                       ("a", pa.int32()), ("b", pa.int32()), ("da", pa.float64()), ("db", pa.float64())])
-_BLOCKS = pa.schema([("cell", pa.int64()), ("part", pa.int64()), ("rows", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())),
-                     ("labels", pa.list_(pa.int64())), ("matrix", pa.binary())])
+_BLOCKS = pa.schema([("bucket", pa.int64()), ("cell", pa.int64()), ("rows", pa.binary()), ("ids", pa.list_(pa.int64())),
+                     ("labels", pa.binary()), ("matrix", pa.binary())])
 
 
-def _pack(dims: int):
-    def pack(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("id", "ascending"), ("row", "ascending")])  # nulls last: ties are in order
-        matrix = _matrix(group["v"].combine_chunks(), dims)
-        return pa.Table.from_pylist([{
-            "cell": group["cell"][0].as_py(), "part": group["part"][0].as_py(), "rows": group["row"].to_pylist(),
-            "ids": group["id"].to_pylist(), "labels": group["label"].to_pylist(), "matrix": matrix.tobytes()}], _BLOCKS)
+def _block(dims: int, first: np.ndarray, bucket: np.ndarray):
+    """A block, in the order of its labels. first: the number of each cell's first block; bucket: by number."""
+    def made(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("label", "ascending"), ("row", "ascending")])
+        cell, part = group["cell"][0].as_py(), group["part"][0].as_py()
+        rows, labels = (pack(group[c].to_numpy()) for c in ("row", "label"))
+        matrix = pack(_matrix(group["v"].combine_chunks(), dims).ravel())
+        return pa.Table.from_pylist([{"bucket": int(bucket[first[cell] + part]), "cell": cell, "rows": rows,
+                                      "ids": group["id"].to_pylist(), "labels": labels, "matrix": matrix}], _BLOCKS)
 
-    return pack
+    return made
 
 
 def build(rows: DataFrame, codes: int = CODES, sample: int = SAMPLE, cell_rows: int = CELL_ROWS, block: int = BLOCK) -> Index | None:
@@ -138,79 +161,91 @@ def build(rows: DataFrame, codes: int = CODES, sample: int = SAMPLE, cell_rows:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "id", "label")), b.column("v").cast(pa.list_(pa.int32())),
                                               pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(di), pa.array(dj)], schema=_INDEXED)
 
-    placed = materialise(rows.mapInArrow(assign, from_arrow_schema(_INDEXED)))
+    path = scratch_dir(rows.sparkSession)
+    placed = materialise(rows.mapInArrow(returned(assign), from_arrow_schema(_INDEXED)), path)
     width = len(halves[1])
     placed = placed.withColumn("cell", F.col("a").cast("long") * width + F.col("b"))
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("da").alias("da"), F.max("db").alias("db")).collect()
-    counts, radii = np.zeros(len(halves[0]) * width, np.int64), (np.zeros(len(halves[0])), np.zeros(width))
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("da").alias("da"), F.max("db").alias("db"),
+                                       F.max(F.hypot("da", "db")).alias("d")).collect()
+    counts = np.zeros(len(halves[0]) * width, np.int64)
+    radii = tuple(np.zeros((len(halves[0]), width)) for _ in range(3))
     for c in cells:
         counts[c.cell] = c.n
-        radii[0][c.cell // width] = max(radii[0][c.cell // width], c.da)
-        radii[1][c.cell % width] = max(radii[1][c.cell % width], c.db)
-    parts = F.element_at(F.array(*[F.lit(int(p)) for p in np.maximum(1, -(-counts // block))]), (F.col("cell") + 1).cast("int"))
+        for r, own in zip(radii, (c.da, c.db, c.d)):
+            r.flat[c.cell] = own
+    n_parts = -(-counts // block)
+    buckets = int(max(1, min(n_parts.sum(), max(shuffle_partitions(rows.sparkSession), -(-n * dims // BUCKET)))))
+    parts = F.element_at(F.array(*[F.lit(int(p)) for p in np.maximum(1, n_parts)]), (F.col("cell") + 1).cast("int"))
     blocks = materialise(placed.withColumn("part", F.pmod(F.xxhash64("row"), parts.cast("long"))).select("row", "id", "label", "v", "cell", "part")
-                         .groupBy("cell", "part").applyInArrow(_pack(dims), from_arrow_schema(_BLOCKS)))
-    return Index(blocks, dims, halves, radii, counts, block)
-
+                         .groupBy("cell", "part").applyInArrow(
+                             _block(dims, np.cumsum(n_parts) - n_parts, _bucket_of(counts, n_parts, buckets)), from_arrow_schema(_BLOCKS)))
+    discard(rows.sparkSession, path)
+    return Index(blocks, dims, halves, radii, counts, block, buckets)
 
-def falling_cells(q: np.ndarray, halves, radii) -> Iterator[tuple[float, int]]:
-    """All cells as (bound, cell) by falling bound: a heap over the two halves' sorted bounds."""
-    cut, width = halves[0].shape[1], len(halves[1])
-    bounds = [h @ part + r * np.sqrt(part @ part) for h, r, part in zip(halves, radii, (q[:cut], q[cut:]))]
-    order = [np.argsort(-b, kind="stable") for b in bounds]
-    a, b = (bound[o].tolist() for bound, o in zip(bounds, order))
-    heap = [(-a[0] - b[0], 0, 0)]
-    while heap:
-        bound, i, j = heapq.heappop(heap)
-        # Scores are whole numbers: half a point more than covers what the bound's floats may lack.
-        yield 0.5 - bound, int(order[0][i]) * width + int(order[1][j])
-        if j + 1 < len(b):
-            heapq.heappush(heap, (-a[i] - b[j + 1], i, j + 1))
-        if j == 0 and i + 1 < len(a):
-            heapq.heappush(heap, (-a[i + 1] - b[0], i + 1, 0))
 
+def falling_cells(q: np.ndarray, halves, radii, least: float = -np.inf, counts: np.ndarray | None = None, rows: float = np.inf) -> np.ndarray:
+    """The cells by falling bound, as (bound, cell), whose bound is ``least`` or more and before which lie less than ``rows`` rows.
 
-_REQUESTS = pa.schema([("cell", pa.int64()), ("part", pa.int64()), ("q_rows", pa.list_(pa.int64())), ("q_labels", pa.list_(pa.int64())),
-                       ("q_matrix", pa.binary()), ("low", pa.binary()), ("high", pa.binary())])
+    radii: of each half by its codewords or by cell; then, if given, of the whole vectors by cell. Equal bounds fall by cell.
+    """
+    cut = halves[0].shape[1]
+    a, b = halves[0] @ q[:cut], halves[1] @ q[cut:]
+    one, two = q[:cut] @ q[:cut], q[cut:] @ q[cut:]
+    reach = np.sqrt(one) * radii[0].reshape(len(a), -1) + np.sqrt(two) * radii[1]
+    if len(radii) > 2:
+        reach = np.minimum(reach, np.sqrt(one + two) * radii[2])
+    # Scores are whole numbers: half a point, and a share of large ones, covers what the bound's floats may lack.
+    bound = (a[:, None] + b + reach).ravel() + (0.5 + 1e-12 * (np.abs(a).max() + np.abs(b).max() + reach.max()))
+    cell, most = np.flatnonzero(bound >= least), 64
+    while True:
+        taken = cell
+        if rows < np.inf and most < len(cell):
+            taken = cell[bound[cell] >= np.partition(bound[cell], len(cell) - most)[len(cell) - most]]
+        taken = taken[np.argsort(-bound[taken], kind="stable")]
+        if rows < np.inf:
+            covered = np.cumsum(counts[taken])
+            if len(taken) < len(cell) and covered[-1] < rows:
+                most *= 8
+                continue
+            taken = taken[covered - counts[taken] < rows]
+        out = np.empty(len(taken), [("bound", float), ("cell", np.int64)])
+        out["bound"], out["cell"] = bound[taken], taken
+        return out
+
+
+_REQUESTS = pa.schema([("bucket", pa.int64()), *[(x, pa.binary()) for x in ("q_rows", "q_labels", "q_matrix", "low", "high", "wants")]])
 
 
 def _requests(index: Index, skip: int, budget: float):
-    """Requests of queries (row, label, v, low, high, best) to the blocks of the cells they visit in this round."""
-    dims, halves, radii, counts, parts = index.dims, index.halves, index.radii, index.counts.tolist(), index.parts().tolist()
+    """Requests of queries (row, label, v, low, high, best) to the buckets of the cells they visit in this round."""
+    dims, halves, radii, counts, (first, end) = index.dims, index.halves, index.radii, index.counts, index.ranges()
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, GROUP):
                 b = batch.slice(start, GROUP)
-                m, wanted = _matrix(b.column("v"), dims), defaultdict(list)
-                rows, labels = b.column("row").to_pylist(), b.column("label").to_pylist()
+                m, wants = _matrix(b.column("v"), dims), np.zeros((b.num_rows, len(counts)), bool)
+                rows, labels = (b.column(c).to_numpy() for c in ("row", "label"))
                 highs = b.column("high").to_pylist()
                 # What each window can still use: its low end, or the k-th best so far.
                 lows = [[max(x, y) for x, y in zip(low, best)] for low, best in zip(b.column("low").to_pylist(), b.column("best").to_pylist())]
                 for i, (low, high) in enumerate(zip(lows, highs)):
                     least = min((x for x, y in zip(low, high) if x <= y), default=None)
-                    covered = 0
                     if least is None:
                         continue
-                    for bound, cell in falling_cells(m[i].astype(np.float64), halves, radii):
-                        if bound < least or covered >= budget:
-                            break
-                        if covered >= skip and counts[cell]:
-                            wanted[cell].append(i)
-                        covered += counts[cell]
+                    cell = falling_cells(m[i].astype(np.float64), halves, radii, least, counts, budget)["cell"]
+                    wants[i, cell[np.cumsum(counts[cell]) - counts[cell] >= skip]] = True
+                wants &= counts > 0
                 width, out = max(map(len, highs), default=0), []
                 low = np.array([x + [1] * (width - len(x)) for x in lows], np.int64).reshape(-1, width)
                 high = np.array([x + [0] * (width - len(x)) for x in highs], np.int64).reshape(-1, width)
-                for cell, who in wanted.items():
-                    row = {"cell": cell, "q_rows": [rows[i] for i in who], "q_labels": [labels[i] for i in who],
-                           "q_matrix": m[who].tobytes(), "low": low[who].tobytes(), "high": high[who].tobytes()}
-                    for part in range(parts[cell]):
-                        out.append(row | {"part": part})
-                        if len(out) == 32:
-                            yield pa.RecordBatch.from_pylist(out, _REQUESTS)
-                            out = []
+                for bucket, (a, z) in enumerate(zip(first, end)):
+                    who = np.flatnonzero(wants[:, a:z].any(axis=1))
+                    if len(who):
+                        out.append([bucket, *map(pack, (rows[who], labels[who], m[who].ravel(), low[who].ravel(), high[who].ravel(),
+                                                        np.packbits(wants[who, a:z])))])
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, _REQUESTS)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _REQUESTS)], schema=_REQUESTS)
 
     return request
 
@@ -218,37 +253,88 @@ def _requests(index: Index, skip: int, budget: float):
 _FOUND = pa.schema([("row", pa.int64()), ("w", pa.int32()), ("score", pa.int64()), ("id", pa.int64()), ("found", pa.int64())])
 
 
-def _score(dims: int, k: int, same_label: bool):
-    """The best k rows of a block in each window of each query of a request."""
-    def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-        most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * dims
-        if most < 2.0 ** 53:  # floats hold every sum exactly
-            return (x.astype(np.float64) @ q.astype(np.float64).T).astype(np.int64)
-        return x.astype(np.int64) @ q.astype(np.int64).T
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for n in range(batch.num_rows):
-                r = batch.slice(n, 1).to_pylist()[0]
-                rows, q_rows = np.array(r["rows"], np.int64), np.array(r["q_rows"], np.int64)
-                x, q = (np.frombuffer(r[c], np.int32).reshape(-1, dims) for c in ("matrix", "q_matrix"))
-                low, high = (np.frombuffer(r[c], np.int64).reshape(len(q), -1) for c in ("low", "high"))
-                s = products(x, q)
-                same = np.array(r["labels"], np.int64)[:, None] == np.array(r["q_labels"], np.int64)[None, :]
-                s[~(same if same_label else ~same) | (rows[:, None] == q_rows[None, :])] = -_OPEN
-                order = np.argsort(-s, axis=0, kind="stable")  # rows lie by id, so ties stay in order
-                s = np.take_along_axis(s, order, 0)
-                made = []
-                for w in range(low.shape[1]):
-                    first = (s > high[:, w]).sum(0)
-                    for j in range(k):
-                        at = np.minimum(first + j, len(s) - 1)
-                        got = s[at, np.arange(len(q))]
-                        hit = np.flatnonzero((first + j < len(s)) & (got >= low[:, w]) & (got > -_OPEN) & (low[:, w] <= high[:, w]))
-                        made.append((q_rows[hit], np.full(len(hit), w, np.int32), got[hit], order[at[hit], hit]))
-                q_row, w, got, at = (np.concatenate(c) for c in zip(*made))
-                ids = pa.array(r["ids"], pa.int64()).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(q_row), pa.array(w), pa.array(got), ids, pa.array(rows[at])], schema=_FOUND)
+def _products(x: np.ndarray, q: np.ndarray, most: float) -> np.ndarray:
+    """Exact scores. most: no sum of products' sizes, and so no part of it, is larger."""
+    for kind, limit in ((np.float32, 2.0 ** 24), (np.float64, 2.0 ** 53)):
+        if most < limit * 0.999:
+            return x.astype(kind) @ q.astype(kind).T
+    return x.astype(np.int64) @ q.astype(np.int64).T
+
+
+def _best(found: np.ndarray, ids: np.ndarray, unnamed: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k of each query and window of what was found (a column each: query, window, score, place), and the k-th ones."""
+    q, w, score, at = found
+    found = found[:, np.lexsort((rows[at], ids[at], unnamed[at], -score, w, q))]
+    head = np.flatnonzero(np.append(True, (found[:2, 1:] != found[:2, :-1]).any(axis=0)))
+    rank = np.arange(found.shape[1]) - np.repeat(head, np.diff(np.append(head, found.shape[1])))
+    return found[:, rank < k], found[:, rank == k - 1]
+
+
+def _score(dims: int, k: int, same_label: bool, first: np.ndarray, end: np.ndarray):
+    """The best k rows of a bucket in each window of each query that asks it. first, end: each bucket's cells."""
+    def score(requests: pa.Table, blocks: pa.Table) -> pa.Table:
+        if not requests.num_rows or not blocks.num_rows:
+            return _FOUND.empty_table()
+        bucket = blocks["bucket"][0].as_py()
+        cells = end[bucket] - first[bucket]
+        q_rows, q_labels = ([unpack(x, np.int64) for x in requests[c].to_pylist()] for c in ("q_rows", "q_labels"))
+        n = [len(x) for x in q_rows]
+        q = np.concatenate([unpack(x, np.int32) for x in requests["q_matrix"].to_pylist()]).reshape(-1, dims)
+        wants = np.concatenate([np.unpackbits(unpack(x, np.uint8), count=i * cells).reshape(i, cells)
+                                for i, x in zip(n, requests["wants"].to_pylist())])
+        ends = [[unpack(x, np.int64).reshape(i, -1) for i, x in zip(n, requests[c].to_pylist())] for c in ("low", "high")]
+        width = max(x.shape[1] for x in ends[0])
+        low, high = (np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1])), constant_values=v) for x in part]) for part, v in zip(ends, (1, 0)))
+        order = np.argsort(np.concatenate(q_labels), kind="stable")
+        q_rows, q_labels, q, wants, low, high = (x[order] for x in (np.concatenate(q_rows), np.concatenate(q_labels), q, wants, low, high))
+        del ends, requests
+        norms, wants = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)), np.ascontiguousarray(wants.T)
+        least = np.where(low <= high, low, _OPEN).min(axis=1)  # what a query can use at all
+        ids = pa.concat_arrays([x.flatten() for x in blocks["ids"].chunks])
+        rows, labels = ([unpack(x, np.int64) for x in blocks[c].to_pylist()] for c in ("rows", "labels"))
+        every, base = np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+        unnamed, named = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        kept, total = [], 0
+        for place, cell, own_rows, own_labels, matrix in zip(base, blocks["cell"].to_pylist(), rows, labels, blocks["matrix"]):
+            who = np.flatnonzero(wants[cell - first[bucket]])
+            if not len(who):
+                continue
+            x = unpack(matrix.as_py(), np.int32).reshape(-1, dims)
+            size = np.sqrt((x.astype(np.float64) ** 2).sum(axis=1))
+            # Rows lie by label, and so do queries.
+            spans = [(0, len(x), who)]
+            if same_label:
+                label, a = np.unique(own_labels, return_index=True)
+                spans = [(i, j, who[slice(*np.searchsorted(q_labels[who], (v, v + 1)))]) for v, i, j in zip(label, a, np.append(a[1:], len(x)))]
+            for a, z, asks in spans:
+                step = max(1, SCORES // (z - a))
+                for i in range(0, len(asks), step):
+                    own = asks[i:i + step]
+                    s = _products(x[a:z], q[own], size[a:z].max() * norms[own].max())
+                    limit = {"float32": 2**24, "float64": 2**53}.get(s.dtype.name, _OPEN)  # beyond every score
+                    edge = np.clip(least[own], -limit, limit).astype(s.dtype)
+                    at, of = np.divmod(np.flatnonzero(s >= edge), len(own))
+                    got, of, at = s[at, of].astype(np.int64), own[of], at + a
+                    good = (own_rows[at] != q_rows[of]) & (same_label | (own_labels[at] != q_labels[of]))
+                    got, of, at = got[good], of[good], at[good]
+                    made = []
+                    for w in range(width):
+                        hit = np.flatnonzero((low[of, w] <= got) & (got <= high[of, w]))
+                        made.append(np.stack([of[hit], np.full(len(hit), w), got[hit], at[hit] + place]))
+                    made = np.concatenate(made, axis=1)
+                    if made.size:
+                        made, kth = _best(made, named, unnamed, every, k)
+                        low[kth[0], kth[1]] = np.maximum(low[kth[0], kth[1]], kth[2])
+                        least[kth[0]] = np.where(low[kth[0]] <= high[kth[0]], low[kth[0]], _OPEN).min(axis=1)
+                        kept, total = [*kept, made], total + made.shape[1]
+                if total > FOUND:
+                    kept = [_best(np.concatenate(kept, axis=1), named, unnamed, every, k)[0]]
+                    total = min(kept[0].shape[1], FOUND // 2)
+        give_back()
+        if not kept:
+            return _FOUND.empty_table()
+        of, w, got, at = _best(np.concatenate(kept, axis=1), named, unnamed, every, k)[0]
+        return pa.Table.from_arrays([pa.array(q_rows[of]), pa.array(w, pa.int32()), pa.array(got), ids.take(pa.array(at)), pa.array(every[at])], schema=_FOUND)
 
     return score
 
@@ -261,7 +347,8 @@ def search(index: Index, queries: DataFrame, k: int, same_label: bool, first: in
     """
     spark, best = queries.sparkSession, None
     order = [F.col("score").desc(), F.col("id").asc_nulls_last(), F.col("found")]
-    spread = queries.repartitionByRange("row").select("row", "label", "v", "low", "high")
+    spread = queries.repartitionByRange(shuffle_partitions(spark), "row").select("row", "label", "v", "low", "high")
+    blocks = index.blocks.repartition(index.buckets, "bucket").groupBy("bucket")
     rounds = [(0, first), (first, first * growth), (first * growth, float("inf"))]
     for skip, budget in rounds:
         lowest = F.transform("low", lambda x: F.lit(-_OPEN))
@@ -272,8 +359,9 @@ def search(index: Index, queries: DataFrame, k: int, same_label: bool, first: in
                 F.map_from_entries(F.collect_list(F.struct("w", "score"))).alias("kth"))
             asked = spread.join(kth, F.col("row") == F.col("r"), "left").withColumn("best", F.when(F.col("kth").isNull(), lowest).otherwise(
                 F.transform("low", lambda x, i: F.coalesce(F.element_at("kth", i), F.lit(-_OPEN))))).drop("r", "kth")
-        requests = asked.mapInArrow(_requests(index, skip, budget), from_arrow_schema(_REQUESTS))
-        found = requests.join(index.blocks, ["cell", "part"]).mapInArrow(_score(index.dims, k, same_label), from_arrow_schema(_FOUND))
+        requests = asked.mapInArrow(returned(_requests(index, skip, budget)), from_arrow_schema(_REQUESTS))
+        found = requests.repartition(index.buckets, "bucket").groupBy("bucket").cogroup(blocks).applyInArrow(
+            _score(index.dims, k, same_label, *index.ranges()), from_arrow_schema(_FOUND))
         found = found if best is None else found.unionByName(best.drop("rank"))
         best = materialise(found.withColumn("rank", F.row_number().over(Window.partitionBy("row", "w").orderBy(*order))).where(F.col("rank") <= k))
     return best

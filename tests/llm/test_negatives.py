@@ -106,3 +106,28 @@ def test_scores_beyond_floats(spark):
     out = negatives.mine(table, negatives.build(table), table.where("id = 0"))
     want = expected([(0, rows[0][1], 0), *rows[1:]])  # expected() moves label 0 of row 0 to 1
     assert len(want) == 2 and sorted(map(tuple, out.collect()), key=str) == want
+
+
+def test_cells_that_cover_enough_rows_are_the_first_ones():
+    """A search that stops early sorts no more cells than it needs; the next round goes on where it stopped, also among equal bounds."""
+    rng = np.random.default_rng(4)
+    halves = rng.integers(-9, 9, (20, 2)).astype(float), rng.integers(-9, 9, (25, 2)).astype(float)
+    radii = [rng.integers(0, 3, (20, 25)).astype(float) for _ in range(3)]
+    counts = rng.integers(0, 4, 500)
+    for q in np.array([[1, 2, 0, -1], [0, 0, 0, 0], [3, 0, 0, 1]], float):
+        cell = negatives.falling_cells(q, halves, radii)["cell"]
+        before = np.cumsum(counts[cell]) - counts[cell]
+        for rows in (1, 40, 700, 10000):
+            assert negatives.falling_cells(q, halves, radii, counts=counts, rows=rows)["cell"].tolist() == cell[before < rows].tolist()
+
+
+def test_a_query_is_sent_once_to_a_bucket(spark):
+    """What a request takes doesn't grow with the cells that it visits, and rows aren't joined to queries: that filled the disk and memory."""
+    rows = made(900)
+    table = materialise(negatives.vectors(frame(spark, rows)))
+    index = negatives.build(table, cell_rows=4, sample=256)
+    asked = table.where("id % 50 = 0").select("row", "label", "v", *[F.array(F.lit(x)).alias(c) for c, x in (
+        ("low", 1 - (1 << 62)), ("high", 1 << 62), ("best", -(1 << 62)))])
+    n, cells = asked.count(), int((index.counts > 0).sum())
+    sent = sum(b.nbytes for b in negatives._requests(index, 0, float("inf"))(asked.toArrow().to_batches()))
+    assert cells > 50 and sent < n * cells * index.dims
