@@ -25,6 +25,7 @@ other; no document group is special, copies are merged as equal entries.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,12 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dealscreen.llm.common import (materialise, mix, pack, read, shuffle_partitions, sliding_min, unpack)
+from dealscreen.llm.common import (give_back, materialise, mix, pack, read, returned, shuffle_partitions, sliding_min, unpack)
 from dealscreen.llm.substrings import packed_chunks
 
 LENGTH, GRAM, HOT, BLOCK = 200, 24, 4096, 8
+#: Bytes whose anchors are looked for at once (a longer text alone): that takes about a hundred times as much.
+PART = 1 << 19
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -49,7 +52,21 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """first, last, anchor, name: windows that start at first..last have this anchor; name is its gram's hash."""
+    """first, last, anchor, name: windows that start at first..last have this anchor; name is its gram's hash.
+
+    Windows lie in one text, so whole texts are taken, ``PART`` bytes at a time.
+    """
+    out, a = [], 0
+    while a < len(offsets) - 1:
+        z = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PART, side="right")) - 1)
+        start = offsets[a]
+        *places, name = _anchors(data[start:offsets[z]], offsets[a:z + 1] - start)
+        out.append([*(x + start for x in places), name])
+        a = z
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else _anchors(data, offsets)
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     empty = (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
     if len(data) < LENGTH:
         return empty
@@ -154,14 +171,6 @@ def front_decode(shared, rest) -> list[bytes]:
     return out
 
 
-def _split(joined: bytes, sizes: list[int]) -> list[bytes]:
-    out, at = [], 0
-    for n in sizes:
-        out.append(joined[at:at + n])
-        at += n
-    return out
-
-
 def _zipped(strings: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(strings))
 
@@ -194,28 +203,31 @@ def _send_runs(buckets: int):
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                array, offsets = _bytes_of(b.column("texts").slice(r, 1).flatten())
-                data = array.tobytes()
-                first, last, anchor, name = anchors(array, offsets)
+                whole, offsets = _bytes_of(b.column("texts").slice(r, 1).flatten())
+                first, last, anchor, name = anchors(whole, offsets)
+                data = whole.tobytes()
                 chosen = [(np.cumsum(unpack(x["at"], np.uint32), dtype=np.int64), unpack(x["hot"], np.uint8))
                           for x in b.column("found")[r].as_py()]
-                at = np.concatenate([c[0] for c in chosen])
-                entries = []
-                for f, z, a, h, hot in zip(first[at].tolist(), last[at].tolist(), anchor[at].tolist(), name[at].tolist(),
-                                           np.concatenate([c[1] for c in chosen]).tolist()):
-                    for key, x0, x1 in _entries(data, f, z, a, h, hot > 0):
-                        entries.append((key.to_bytes(8, "big") + data[a:x1 + LENGTH], x0, a))
-                entries.sort()
-                ranges: list[list] = [[] for _ in range(buckets)]
-                for e in entries:
-                    ranges[int.from_bytes(e[0][:8], "big") // width].append(e)
-                rows = []
-                for i, part in enumerate(ranges):
-                    if part:
-                        shared, rest = front_code([e[0] for e in part])
-                        back, more = front_code([data[x0:a][::-1] for _, x0, a in part])
-                        rows.append((i, len(part), _lists(shared, [len(x) for x in rest], back, [len(x) for x in more]),
-                                     _lists([e[1] for e in part]), _zipped(rest), _zipped(more)))
+                at, hot = (np.concatenate(c) for c in zip(*chosen))
+                keys, places = array("Q", name[at[hot == 0]].tobytes()), [array("q", x[at[hot == 0]].tobytes()) for x in (first, last, anchor)]
+                for f, z, a, h in zip(*(x[at[hot > 0]].tolist() for x in (first, last, anchor, name))):
+                    for key, x0, x1 in _entries(data, f, z, a, h, True):
+                        keys.append(key)
+                        for x, v in zip(places, (x0, x1, a)):
+                            x.append(v)
+                del first, last, anchor, name
+                key = np.frombuffer(keys, np.uint64)
+                bucket = (key // np.uint64(width)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                cuts, rows = np.searchsorted(bucket[order], np.arange(buckets + 1)), []
+                for i in np.flatnonzero(np.diff(cuts)).tolist():  # a range's strings at a time
+                    own = order[cuts[i]:cuts[i + 1]]
+                    x0, x1, a = (np.frombuffer(x, np.int64)[own].tolist() for x in places)
+                    part = sorted((k.to_bytes(8, "big") + data[m:y + LENGTH], x, m) for k, x, y, m in zip(key[own].tolist(), x0, x1, a))
+                    shared, rest = front_code([e[0] for e in part])
+                    back, more = front_code([data[x:m][::-1] for _, x, m in part])
+                    rows.append((i, len(part), _lists(shared, [len(x) for x in rest], back, [len(x) for x in more]),
+                                 _lists([e[1] for e in part]), _zipped(rest), _zipped(more)))
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x[0] for x in rows], pa.int32()), pa.array([b.column("chunk")[r].as_py()] * len(rows), pa.int64()),
@@ -286,25 +298,31 @@ def merge_runs(runs: list[tuple[list[int], list[bytes]]]):
             node //= 2
 
 
-def _group_windows(group: list, lcps: list[int]) -> list[tuple[int, int, int]]:
-    """(entry, first, number) of repeated windows of the entries (chunk, place, before, behind) with one key.
+class _Strings:
+    """Strings that lie one after the other; each is cut out when it is asked for."""
 
-    lcps[i]: common prefix of the keys of entries i - 1 and i, without the key itself; the first is 0.
+    def __init__(self, joined: bytes, sizes: np.ndarray):
+        self.joined, self.ends = joined, array("q", np.append(0, np.cumsum(sizes, dtype=np.int64)).tobytes())
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.joined[self.ends[i]:self.ends[i + 1]]
+
+
+def _group_windows(counts: dict, reach: dict) -> dict:
+    """The first places and numbers of repeated windows of every distinct (before, behind) with one key.
+
+    counts: how often each occurs; reach: the longest common prefix of its ``behind`` with another entry's.
     """
-    counts: dict[tuple[bytes, bytes], int] = {}
-    for _, _, before, behind in group:
-        counts[before, behind] = counts.get((before, behind), 0) + 1
     if len(counts) == 1:
-        n = len(group[0][2]) + len(group[0][3]) - LENGTH + 1
-        return [(i, 0, n) for i in range(len(group))] if len(group) > 1 else []
-    near = [max(lcps[i], lcps[i + 1] if i + 1 < len(lcps) else 0) for i in range(len(group))]
-    reach = {}
-    for (_, _, before, behind), r in zip(group, near):
-        reach[before, behind] = max(r, reach.get((before, behind), 0))
+        (before, behind), n = next(iter(counts.items()))
+        return {(before, behind): [(0, len(before) + len(behind) - LENGTH + 1)]} if n > 1 else {}
     seen: dict[bytes, int] = {}
     for (before, behind), n in counts.items():
         whole = before + behind
-        # The window at i has LENGTH - (len(before) - i) bytes from its anchor on; more than r of them are unique.
+        # The window at i has LENGTH - (len(before) - i) bytes from its anchor on; more than reach of them are unique.
         for i in range(min(len(whole) - LENGTH, len(before) - LENGTH + reach[before, behind]) + 1):
             w = whole[i:i + LENGTH]
             seen[w] = seen.get(w, 0) + n
@@ -318,45 +336,64 @@ def _group_windows(group: list, lcps: list[int]) -> list[tuple[int, int, int]]:
                     own[-1][1] += 1
                 else:
                     own.append([i, 1])
-        spans[before, behind] = own
-    return [(e, a, n) for e, (_, _, before, behind) in enumerate(group) for a, n in spans[before, behind]]
+        if own:
+            spans[before, behind] = own
+    return spans
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Merge a range's runs and find its repeated windows: chunk, first places and numbers."""
+    """Merge a range's runs and find its repeated windows: chunk, first places and numbers.
+
+    Of a run the joined strings and lists of numbers are held; of a key's entries each distinct string once.
+    """
     runs, places, backs, chunks = [], [], [], table["chunk"].to_pylist()
-    for n, numbers, at, behind, before in zip(*(table[c].to_pylist() for c in ("n", "numbers", "places", "behind", "before"))):
-        shared, sizes, back, more = unpack(numbers, np.uint32).reshape(4, n).tolist()
-        runs.append((shared, _split(_unzipped(behind), sizes)))
-        backs.append([x[::-1] for x in front_decode(back, _split(_unzipped(before), more))])
-        places.append(unpack(at, np.uint32).tolist())
-    found: dict[int, list] = {}
-    group, lcps, key = [], [], None
+    for n, numbers, at, behind, before in zip(*(table[c] for c in ("n", "numbers", "places", "behind", "before"))):
+        shared, sizes, back, more = unpack(numbers.as_py(), np.uint32).reshape(4, n.as_py())
+        runs.append((array("I", shared.tobytes()), _Strings(_unzipped(behind.as_py()), sizes)))
+        backs.append((array("I", back.tobytes()), _Strings(_unzipped(before.as_py()), more)))
+        places.append(array("I", unpack(at.as_py(), np.uint32).tobytes()))
+    found: dict[int, tuple[array, array]] = {}
+    last = [b""] * len(runs)  # of each run: what stands before its last entry, backwards
+    group: dict[tuple[bytes, bytes], array] = {}  # runs and places of each distinct entry
+    reach, key, pair = {}, None, None
 
     def close():
-        for e, a, n in _group_windows(group, lcps) if len(group) > 1 else ():
-            found.setdefault(group[e][0], []).append((group[e][1] + a, n))
+        for x, spans in (_group_windows({x: len(v) // 2 for x, v in group.items()}, reach) if pair else {}).items():
+            own = group[x]
+            for run, place in zip(own[::2], own[1::2]):
+                starts, numbers = found.setdefault(chunks[run], (array("I"), array("I")))
+                for a, n in spans:
+                    starts.append(place + a)
+                    numbers.append(n)
 
     for run, i, s, known in merge_runs(runs):
+        shared, more = backs[run]
+        last[run] = last[run][:shared[i]] + more[i]
         if s[:8] != key:
             close()
-            group, lcps, key = [], [], s[:8]
-        lcps.append(max(known - 8, 0) if group else 0)
-        group.append((chunks[run], places[run][i], backs[run][i], s[8:]))
+            group, reach, key, pair, known = {}, {}, s[:8], None, 8
+        common, before = max(known - 8, 0), pair
+        pair = (last[run][::-1], s[8:])
+        group.setdefault(pair, array("I")).extend((run, places[run][i]))
+        for x in (before, pair):
+            if x is not None:
+                reach[x] = max(common, reach.get(x, 0))
     close()
-    return pa.table([pa.array(list(found), pa.int64()),
-                     pa.array([_lists([x[0] for x in v], [x[1] for x in v]) for v in found.values()], pa.binary())],
-                    names=["chunk", "spans"])
+    out = pa.table([pa.array(list(found), pa.int64()), pa.array([_lists(*v) for v in found.values()], pa.binary())],
+                   names=["chunk", "spans"])
+    del runs, backs, places, found, last, group
+    give_back()
+    return out
 
 
 def repeated_windows(chunks: DataFrame, hot: int = HOT) -> DataFrame:
     """chunk and spans (first places and numbers of repeated windows) by key range."""
     spark = chunks.sparkSession
     buckets = 2 * shuffle_partitions(spark)
-    grams = materialise(chunks.select("chunk", "texts").mapInArrow(_count_grams(buckets), _COUNT)
+    grams = materialise(chunks.select("chunk", "texts").mapInArrow(returned(_count_grams(buckets)), _COUNT)
                         .groupBy("bucket").applyInArrow(_repeated_grams(hot), "chunk long, at binary, hot binary"))
     chosen = grams.groupBy("chunk").agg(F.collect_list(F.struct("at", "hot")).alias("found"))
-    runs = chunks.join(chosen, "chunk").select("chunk", "texts", "found").mapInArrow(_send_runs(buckets), _RUN)
+    runs = chunks.join(chosen, "chunk").select("chunk", "texts", "found").mapInArrow(returned(_send_runs(buckets)), _RUN)
     out = materialise(runs.groupBy("bucket").applyInArrow(_merge, "chunk long, spans binary"))
     return out
 
@@ -365,14 +402,14 @@ def _assemble(batches):
     for b in batches:
         for r in range(b.num_rows):
             data, offsets = _bytes_of(b.column("texts").slice(r, 1).flatten())
-            cover = np.zeros(len(data) + 1, np.int64)
+            cover = np.zeros(len(data) + 1, np.int32)
             for x in b.column("found")[r].as_py() or ():
                 first, n = unpack(x, np.uint32).reshape(2, -1).astype(np.int64)
                 np.add.at(cover, first, 1)
                 np.add.at(cover, first + n - 1 + LENGTH, -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            total = np.concatenate([[0], np.cumsum(gone)])
-            n_removed = total[offsets[1:]] - total[offsets[:-1]]
+            gone = np.cumsum(cover[:-1], out=cover[:-1]) > 0
+            del cover
+            n_removed = np.array([np.count_nonzero(gone[a:z]) for a, z in zip(offsets[:-1], offsets[1:])], np.int64)
             spans, hashes = [], []
             for a, z, n in zip(offsets[:-1], offsets[1:], n_removed):
                 own = gone[a:z]
@@ -386,10 +423,10 @@ def _assemble(batches):
 
 def deduplicated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document row."""
-    chunks = packed_chunks(docs)
+    chunks = packed_chunks(docs, buckets=shuffle_partitions(docs.sparkSession))
     found = repeated_windows(chunks, hot).groupBy("chunk").agg(F.collect_list("spans").alias("found"))
     return chunks.join(found, "chunk", "left").select("ids", "texts", "found").mapInArrow(
-        _assemble, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        returned(_assemble), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
